@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, token_counts
+from . import embedding_dedup, mixing, quality_rules, sharding, simhash_dedup, token_counts
 from ._common import documents, materialize
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,18 +22,35 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = materialize(mixing.measure(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"), "op6-sizes")
+    return mixing.mix_documents(sized).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     measured = materialize(quality_rules.with_measures(docs).drop("text"), "op9-measures")
     return quality_rules.judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(materialize(sharding.describe(documents(spark, sf_dir)), "op10-rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op4_token_counts": op4_token_counts,
+        "op6_mixing": op6_mixing,
+        "op7_simhash_dedup": op7_simhash_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.ORACLE_SQL}
