@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, quality_rules, sharding, simhash_dedup, token_counts
+from . import embedding_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, token_counts, toxicity
 from ._common import documents, materialize
 
 
@@ -15,6 +15,16 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_codec.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), path)
+    coded = sentencepiece_codec.decode_documents(coded, path)
+    back = F.col("decoded") == F.coalesce(F.translate("text", sentencepiece_codec.MARK, " "), F.lit(""))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), back.alias("round_trip"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(mixing.measure(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"), "op6-sizes")
     return mixing.mix_documents(sized).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -31,6 +45,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     measured = materialize(quality_rules.with_measures(docs).drop("text"), "op9-measures")
@@ -44,9 +62,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_token_counts": op4_token_counts,
+        "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
     }
