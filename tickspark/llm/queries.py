@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, token_counts, toxicity
+from . import embedding_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, token_counts, toxicity
 from ._common import documents, materialize
 
 
@@ -15,6 +15,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_pii": op2_pii,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_counts": op4_token_counts,
         "op5_toxicity": op5_toxicity,
