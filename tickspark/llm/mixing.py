@@ -133,6 +133,15 @@ def copies(taken: Column, size: Column) -> Column:
     return F.when(size > 0, F.round(taken / F.greatest(size, F.lit(1)))).otherwise(0).cast("int")
 
 
+def repeat_documents(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, in whole copies. Rows alike in id, source and text get the same number, rounded from their mean."""
+    name = F.xxhash64("doc_id", "source", text)
+    sized = materialize(measure(docs.select("doc_id", "source", text, name.alias("__name")), text).drop(text), "mix-sizes")
+    taken = mix_documents(sized, block, seed).groupBy("__name").agg(F.round(F.avg(copies(F.col("taken"), F.col("size")))).cast("int").alias("__copies"))
+    rows = docs.withColumn("__name", name).join(taken.where("__copies > 0"), "__name")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents

@@ -19,7 +19,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, WORD_CLASS, text_or_empty, words_of
+from ._common import SPACE_CLASS, WORD_CLASS, materialize, text_or_empty, words_of
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -114,3 +114,10 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     match = F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))
     joined = measured.join(thresholds(measured, lang, source), match, "left")
     return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~outlier).drop("__lang", "__source", "__cut")
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns only."""
+    boxed = docs.select(F.struct("*").alias("__row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    measured = materialize(with_measures(boxed).drop("text"), "quality-measures")
+    return judge(measured).where("kept").select("__row.*")

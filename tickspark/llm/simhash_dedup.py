@@ -208,3 +208,20 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (doc_id, fingerprint, component_id) for every row of ``docs``."""
     printed = materialize(with_fingerprints(docs.select("doc_id", F.col(text).alias("__text")), "__text").select("doc_id", "fp"), "simhash-fingerprints")
     return printed.join(component_ids(printed), "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each component: the one whose ``doc_id`` names it. Of rows that share that id (or have none) the least text stays, once."""
+    printed = materialize(with_fingerprints(docs.select("doc_id", F.col(text).alias("__text")), "__text").select("doc_id", "fp"), "simhash-fingerprints")
+    names = materialize(component_ids(printed), "simhash-names")
+    rows = printed.join(names, "fp")
+    alike = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().where("count > 1")
+    if alike.limit(1).count() == 0 and rows.where("doc_id IS NULL").limit(1).count() == 0:
+        # ids name rows: only the ids to drop travel, not the texts
+        lost = rows.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    boxed = with_fingerprints(docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.col(text).alias("__text")), "__text").join(names, "fp")
+    own = boxed.where(F.col("__id").eqNullSafe(F.col("component_id")))
+    first = Window.partitionBy(F.coalesce(F.col("component_id"), F.col("fp")), F.col("component_id").isNull()).orderBy("__text", F.xxhash64("__row"))
+    # a component without any id has no name to share: its fingerprints were named null one by one, so each fp keeps one row
+    return own.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")
