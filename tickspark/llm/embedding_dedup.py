@@ -67,9 +67,12 @@ def nested_pivots(sample: np.ndarray, most: int) -> np.ndarray:
 
 
 class CoverTree:
-    """Points are sorted so that a node owns a slice. A node is (centre, covering radius, from, to, children)."""
+    """Points are sorted so that a node owns a slice. A node is (centre, covering radius, from, to, children).
 
-    def __init__(self, points: np.ndarray) -> None:
+    A node within ``dense`` of its centre stays whole: its points are about as near to one another as links reach, so no bound would part them.
+    """
+
+    def __init__(self, points: np.ndarray, dense: float = 1e-3) -> None:
         self.order = np.arange(len(points))
         self.points = points
         self.centre, self.radius, self.lo, self.hi, self.children = [], [], [], [], []
@@ -77,7 +80,7 @@ class CoverTree:
         while todo:
             node, radius = todo.pop()
             lo, hi = self.lo[node], self.hi[node]
-            if hi - lo <= LEAF or self.radius[node] < 1e-3:
+            if hi - lo <= LEAF or self.radius[node] <= dense:
                 continue
             while radius >= self.radius[node]:
                 radius /= 2
@@ -221,12 +224,12 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             for x, y, is_same in zip(batch["a"], batch["b"], batch["same"]):
                 ids_a, weight_a = np.array([r["node"] for r in x], np.int64), np.array([r["copies"] for r in x], np.int64)
-                tree_a = CoverTree(_vectors([r["vector"] for r in x]))
+                tree_a = CoverTree(_vectors([r["vector"] for r in x]), reach)
                 if is_same:
                     ids_b, weight_b, tree_b = ids_a, weight_a, tree_a
                 else:
                     ids_b, weight_b = np.array([r["node"] for r in y], np.int64), np.array([r["copies"] for r in y], np.int64)
-                    tree_b = CoverTree(_vectors([r["vector"] for r in y]))
+                    tree_b = CoverTree(_vectors([r["vector"] for r in y]), reach)
                 n_a, n_b, links = compare_trees(tree_a, tree_b, threshold, bool(is_same), weight_a, weight_b)
                 for ids, n in ((ids_a, n_a), (ids_b, n_b)):
                     if n.any():
