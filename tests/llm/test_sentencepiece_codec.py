@@ -16,7 +16,7 @@ def check(texts):
     codec = sentencepiece_codec.model(PATH)
     for text, ids in zip(texts, codec.encode(texts)):
         assert ids.tolist() == LIB.encode(text), text
-        assert codec.decode(ids.tolist()) == LIB.decode(ids.tolist()) == text.replace("▁", " "), text
+        assert sentencepiece_codec.piece_bytes(PATH).decode(ids.tolist()) == LIB.decode(ids.tolist()) == text.replace("▁", " "), text
 
 
 @pytest.mark.parametrize("text", ["", " ", "  ", "a", " a", "a ", "a  b   c    d     e", "▁", "▁▁x▁y", "\n\n\t\r", "漢字 éß 😀 \x00 x", "<s></s><0x41><unk>", "a" * 3000, "ab" * 999, "aaa aaaa aaaaa", " " * 99 + "x"])
@@ -43,4 +43,6 @@ def test_nulls_repeats_clashes_and_empty_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "the the", "y"), (2, "", None)], "doc_id long, text string, ids string")
     out = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(df, PATH), PATH)
     assert sorted((r.doc_id or 0, r.ids, r.decoded) for r in out.collect()) == [(0, LIB.encode("the the"), "the the"), (1, [], ""), (1, [], ""), (2, [], "")]
+    both = sentencepiece_codec.encode_and_decode(df, PATH)
+    assert sorted(map(repr, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(repr, out.select("doc_id", "ids", "decoded").collect()))
     assert sentencepiece_codec.encode_documents(df.where("false"), PATH).count() == 0

@@ -23,8 +23,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_codec.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), path)
-    coded = sentencepiece_codec.decode_documents(coded, path)
+    coded = sentencepiece_codec.encode_and_decode(documents(spark, sf_dir).select("doc_id", "text"), path)
     back = F.col("decoded") == F.coalesce(F.translate("text", sentencepiece_codec.MARK, " "), F.lit(""))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), back.alias("round_trip"))
 

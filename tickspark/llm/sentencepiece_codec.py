@@ -36,7 +36,7 @@ from ._common import text_or_empty
 
 MARK = "▁"
 #: Code points indexed at a time, chunks that a worker remembers (none longer than the third bound), and slots of the table of checked pairs.
-INDEX_CHARS, CACHE_ENTRIES, CACHE_LENGTH, PAIR_SLOTS = 1_000_000, 500_000, 64, 1 << 21
+INDEX_CHARS, CACHE_ENTRIES, CACHE_LENGTH, PAIR_SLOTS = 200_000, 300_000, 64, 1 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _LANE = 4  # 16-bit symbols in a 64-bit key
 
@@ -49,12 +49,12 @@ class PieceModel:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
-        self.piece_text = [sp.id_to_piece(i) for i in range(size)]
+        piece_text = [sp.id_to_piece(i) for i in range(size)]
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         normal = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         normal.sort(key=lambda i: (-sp.get_score(i), i))
         self.ids = np.array(normal, dtype=np.int32)
-        self.pieces = [self.piece_text[i] for i in normal]
+        self.pieces = [piece_text[i] for i in normal]
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece reaches over a word mark")
         rank = {p: r for r, p in enumerate(self.pieces)}
@@ -87,7 +87,6 @@ class PieceModel:
         self.low, self.high = self._keys(low), self._keys(high)
         self.seen_pair, self.seen_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         self.chunks: dict[str, bytes] = {}
-        self.bytes_of = [bytes([self.byte_ids.index(i)]) if i in set(self.byte_ids) else b"" if sp.is_control(i) or sp.is_unknown(i) else self.piece_text[i].encode() for i in range(size)]
 
     @staticmethod
     def _last_merge(piece: str, rank: dict[str, int]) -> tuple[bool, int, int]:
@@ -191,7 +190,8 @@ class PieceModel:
         total = int(count.sum())
         which = np.repeat(np.arange(len(count)), count)
         at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + first[which]
-        return suffixes[at], self.lengths[which], self.matched[which]
+        # numbers of 32 bits from here on: the edges are the largest arrays
+        return suffixes[at].astype(np.int32), self.lengths[which].astype(np.int32), self.matched[which].astype(np.int32)
 
     def _index(self, chunks: list[str]) -> None:
         """Segment new chunks together and remember them."""
@@ -204,9 +204,9 @@ class PieceModel:
         inside[begin + size] = False
         symbols[~inside] = 0
         start, length, piece = self._edges(symbols)
-        lone = np.flatnonzero((symbols == 0) & inside)
-        start, length, piece = np.concatenate([start, lone]), np.concatenate([length, np.ones(len(lone), np.int64)]), np.concatenate([piece, np.full(len(lone), -1)])
-        offset = start - np.repeat(begin, size + 1)[start]
+        lone = np.flatnonzero((symbols == 0) & inside).astype(np.int32)
+        start, length, piece = np.concatenate([start, lone]), np.concatenate([length, np.ones(len(lone), np.int32)]), np.concatenate([piece, np.full(len(lone), -1, np.int32)])
+        offset = (start - np.repeat(begin, size + 1)[start]).astype(np.int32)
         order = np.argsort(offset, kind="stable")
         start, length, piece, offset = start[order], length[order], piece[order], offset[order]
         last, back = np.full(len(code) + 1, -2, np.int64), np.zeros(len(code) + 1, np.int64)
@@ -217,7 +217,7 @@ class PieceModel:
                 ok = slice(None)
             else:
                 ok = np.flatnonzero(last[s] > -2)
-                ok = ok[self.fits(last[s[ok]], p[ok])]
+                ok = ok[self.fits(last[s[ok]], p[ok].astype(np.int64))]
             end = s[ok] + length[a:b][ok]
             last[end], back[end] = p[ok], s[ok]
         # walk back from every chunk's end
@@ -282,19 +282,44 @@ class PieceModel:
             del known[c]
         return out
 
+
+class PieceBytes:
+    """What each piece id stands for; all that decoding needs."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+
+        def plain(i: int) -> bytes:
+            if sp.is_byte(i):
+                return bytes([int(sp.id_to_piece(i)[3:5], 16)])
+            return b"" if sp.is_control(i) or sp.is_unknown(i) else sp.id_to_piece(i).encode()
+
+        self.bytes_of = [plain(i) for i in range(sp.get_piece_size())]
+
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def piece_bytes(path: str) -> PieceBytes:
+    return PieceBytes(path)
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
     """One per Python worker and model file."""
     return PieceModel(path)
 
 
-#: Texts encoded together; their new chunks share suffix arrays.
-_BATCH = 2000
+#: Texts encoded together: their new chunks share suffix arrays, and so many rows leave a worker at a time.
+_BATCH = 500
+
+
+def _pieces_of(texts: pd.Series) -> Iterator[pd.Series]:
+    return (texts.iloc[i : i + _BATCH] for i in range(0, len(texts), _BATCH))
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -304,7 +329,8 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = model(model_path)
         for texts in batches:
-            yield pd.Series([x for i in range(0, len(texts), _BATCH) for x in codec.encode(texts.iloc[i : i + _BATCH])], dtype=object)
+            for part in _pieces_of(texts):
+                yield pd.Series(codec.encode(part), dtype=object)
 
     return docs.withColumn("ids", ids(text_or_empty(F.col(text))))
 
@@ -314,8 +340,24 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
     @F.pandas_udf(StringType())
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = model(model_path)
+        codec = piece_bytes(model_path)
         for rows in batches:
-            yield pd.Series([codec.decode(x.tolist()) for x in rows], dtype=object)
+            for part in _pieces_of(rows):
+                yield pd.Series([codec.decode(x.tolist()) for x in part], dtype=object)
 
     return encoded.withColumn("decoded", decoded(F.coalesce(F.col("ids"), F.array().cast("array<int>"))))
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """Add ``ids`` and ``decoded`` as the two functions above do, in one pass of one worker."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec, back = model(model_path), piece_bytes(model_path)
+        for texts in batches:
+            for part in _pieces_of(texts):
+                ids = codec.encode(part)
+                yield pd.DataFrame({"ids": ids, "decoded": [back.decode(x.tolist()) for x in ids]})
+
+    own = docs.withColumn("__coded", coded(text_or_empty(F.col(text))))
+    return own.withColumn("ids", F.col("__coded.ids")).withColumn("decoded", F.col("__coded.decoded")).drop("__coded")
