@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the text that they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs, path), path)
+    coded = sentencepiece_codec.encode_and_decode(docs, path)
     return coded.select("doc_id", "lang", "source", F.col("decoded").alias("text"), F.length("decoded").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
