@@ -338,6 +338,13 @@ def all_sql() -> dict[str, str]:
         "risk_violations": sql(*CORE, f"v AS (SELECT *, (available_ms // {HOUR}) % 7 AS k, CASE WHEN long THEN 1{D} ELSE -1{D} END AS sg FROM ideas)", "u AS (SELECT *, 0.004::DOUBLE * k AS risk_fraction, entry + sg * risk * (k - 1) AS take_profit FROM v)", "x AS (SELECT *, abs(take_profit - entry) / risk AS rr, list_filter([CASE WHEN symbol NOT IN ('click', 'view', 'purchase', 'login') THEN 'PAIR_NOT_ALLOWED' END, CASE WHEN NOT (risk_fraction > 0 AND risk_fraction <= 0.01) THEN 'RISK_OUT_OF_BOUNDS' END, CASE WHEN abs(take_profit - entry) / risk < 3 - 1e-12 THEN 'REWARD_TOO_SMALL' END, CASE WHEN NOT CASE WHEN long THEN stop_loss < entry AND entry < take_profit ELSE take_profit < entry AND entry < stop_loss END THEN 'PRICES_OUT_OF_ORDER' END], lambda x: x IS NOT NULL) AS vs FROM u)", select="SELECT candidate_id, array_to_string(vs, ',') AS violations, len(vs) = 0 AS accepted, round(rr, 6) AS rr FROM x"),
         "conformal_sets": sql(*FULL, PLAIN, f"sc AS (SELECT candidate_id, symbol, available_ms, 0.05{D} + 0.9{D} * ((available_ms // {HOUR}) % 23) / 22{D} AS p, (gross_r > 0)::INT AS y FROM plain)", f"cal AS (SELECT symbol, 1 - CASE WHEN y = 1 THEN p ELSE 1 - p END AS s, row_number() OVER (PARTITION BY symbol ORDER BY 1 - CASE WHEN y = 1 THEN p ELSE 1 - p END) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM sc WHERE available_ms < {fx.START + 20 * DAY})", f"th AS (SELECT symbol, s AS threshold FROM cal WHERE k = least(n - 1, greatest(0, floor((n - 1) * (1{D} - 0.1{D}) + 0.999999{D}))))", "ls AS (SELECT *, list_filter([CASE WHEN p <= threshold THEN '0' END, CASE WHEN 1 - p <= threshold THEN '1' END], lambda x: x IS NOT NULL) AS labels FROM sc LEFT JOIN th USING (symbol))", select="SELECT candidate_id, round(p, 6) AS p, round(threshold, 6) AS threshold, array_to_string(labels, ',') AS labels, len(labels) <> 1 AS abstain FROM ls"),
         "exit_plans": sql(*CORE, f"k AS (SELECT candidate_id, entry, risk, long, v.* FROM ideas, (VALUES (1{D}, 'FIXED_R', 1), (3{D}, 'FIXED_R', 0), (2{D}, 'STRUCTURAL', 0)) v(gross_r, target_type, priority))", "w AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY priority, gross_r DESC)::INT AS rank FROM k)", select=f"SELECT candidate_id, rank, gross_r, target_type, 0.5{D} AS fraction, round(CASE WHEN long THEN entry + risk * gross_r ELSE entry - risk * gross_r END, 6) AS price FROM w WHERE rank <= 2"),
+        "stress_matrix": sql(*CORE, fx.costs_sql(), "b AS (SELECT i.candidate_id, i.risk, i.direction = 'LONG' AS hit, coalesce(c.entry_slip, 0.2::DOUBLE) AS e, coalesce(c.exit_slip, 0.3::DOUBLE) AS x, coalesce(c.commission_r, 0::DOUBLE) AS c, coalesce(c.stop_slip, 0::DOUBLE) AS s, coalesce(c.rollover_r, 0::DOUBLE) AS r, coalesce(c.event_slip, 0::DOUBLE) AS v FROM ideas i LEFT JOIN costs c USING (session, regime, direction))",
+            "m AS (SELECT b.*, t.* FROM b, (VALUES ('BASELINE_1X', 'N', 1::DOUBLE), ('BASELINE_1.25X', 'N', 1.25::DOUBLE), ('BASELINE_1.5X', 'N', 1.5::DOUBLE), ('BASELINE_2X', 'N', 2::DOUBLE), ('HIGH_VOLATILITY', 'H', 1::DOUBLE), ('NEWS_EVENT', 'E', 1::DOUBLE), ('ROLLOVER', 'R', 1::DOUBLE), ('JOINT_EXECUTION_STRESS', 'J', 1::DOUBLE), ('NORMAL', 'N', 1::DOUBLE)) t(scenario, g, mult))",
+            "p AS (SELECT candidate_id, scenario, CASE g WHEN 'H' THEN e * 1.25::DOUBLE WHEN 'E' THEN e + v WHEN 'J' THEN e * 2 + v ELSE e END * (0.0001::DOUBLE / risk * mult) AS entry_cost_r, CASE g WHEN 'H' THEN x * 1.5::DOUBLE WHEN 'E' THEN x + v WHEN 'J' THEN x * 2.5::DOUBLE + v ELSE x END * (0.0001::DOUBLE / risk * mult) AS exit_cost_r, CASE WHEN g = 'J' AND hit THEN s * 2 ELSE 0 END * (0.0001::DOUBLE / risk * mult) AS stop_cost_r, c * mult AS commission_cost_r, CASE WHEN g IN ('R', 'J') THEN 2 * r ELSE r END * mult AS rollover_cost_r FROM m)",
+            select="SELECT candidate_id, scenario, round(entry_cost_r, 6) AS entry_cost_r, round(exit_cost_r, 6) AS exit_cost_r, round(stop_cost_r, 6) AS stop_cost_r, round(commission_cost_r, 6) AS commission_cost_r, round(rollover_cost_r, 6) AS rollover_cost_r, round(entry_cost_r + exit_cost_r + stop_cost_r + commission_cost_r + rollover_cost_r, 6) AS total_cost_r FROM p"),
+        "rolling_robust_z": sql(TICKS, GAPS, BASE, "o AS (SELECT symbol, bar_end_ms AS ts_ms, ln(bid_high / bid_low) AS rv, spread_median AS sm FROM base)", "l AS (SELECT *, list(rv) OVER w AS lr, list(sm) OVER w AS ls FROM o WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING))", "m AS (SELECT *, coalesce(len(lr), 0) AS history, list_median(lr) AS mr, list_median(ls) AS ms FROM l)",
+            "z AS (SELECT symbol, ts_ms, history, CASE WHEN history >= 2 THEN (rv - mr) / greatest(1.4826::DOUBLE * list_median(list_transform(lr, lambda x: abs(x - mr))), 1e-9::DOUBLE) ELSE 0 END AS zr, CASE WHEN history >= 2 THEN (sm - ms) / greatest(1.4826::DOUBLE * list_median(list_transform(ls, lambda x: abs(x - ms))), 1e-9::DOUBLE) ELSE 0 END AS zs FROM m)",
+            select="SELECT symbol, ts_ms, history::INT AS history, round(zs, 4) AS spread_median_z, history >= 30 AND greatest(zr, zs) >= 3 AS unstable FROM z"),
         "stream_bar_view": sql(TICKS, GAPS, BASE, select=f"SELECT symbol, bar_start_ms, bar_end_ms, {rounded('bid_open', 'bid_close', 'ask_high')}, tick_count, {rounded('spread_median')}, extreme_count FROM base"),
     }
     return out

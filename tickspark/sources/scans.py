@@ -39,10 +39,10 @@ def csv_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 
 def csv_bad_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """The lines that :func:`csv_ticks` would refuse, as they stand in the file."""
+    """The rows that :func:`csv_ticks` would refuse: what could be read of them, and ``bad_line`` as it stands in the file."""
     kinds = {"time_ms": "long", "bid": "double", "ask": "double", "flags": "int"}
     schema = _struct(" ".join(f"{n}:{kinds.get(n, 'string')}" for n in names) + " bad_line:string")
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").csv(path).where("bad_line IS NOT NULL").select("bad_line")
+    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").csv(path).where("bad_line IS NOT NULL")
 
 
 def parquet_ticks(spark: SparkSession, path: str, symbols: list[str] | None = None, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
