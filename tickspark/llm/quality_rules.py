@@ -26,7 +26,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_ROWS, FENCE, SKETCH_K = 200, 3.0, 800
 
 #: Measure -> the least that its upper cut may be, so that groups without spread keep ordinary texts.
-FLOORS = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.15, "mean_word": 12.0}
+FLOORS = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.30, "mean_word": 12.0}
 
 
 def _repeat_words(with_windows: DataFrame, window: int) -> DataFrame:

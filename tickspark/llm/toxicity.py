@@ -67,7 +67,11 @@ def mine(rows: DataFrame) -> list[str]:
     lean = (a / p) / (a / p + b / n)  # share of toxic among its texts if both kinds were as frequent
     scored = total.withColumn("gain", gain).withColumn("lean", lean).where("lean > 0.9 AND a >= 3")
     tried = total.count()
-    best = scored.where(F.col("gain") >= 2 * math.log(max(tried, 2))).orderBy(F.desc("gain"), "term").limit(MAX_TERMS)
+    # first the bar of the luckiest of all; then, as so many are real, the one that lets in about one lucky term for sixty of those
+    bar = 2 * math.log(max(tried, 2))
+    sure = scored.where(F.col("gain") >= bar).count()
+    bar = min(bar, bar - 2 * math.log(max(sure, 1)) + 4.6)
+    best = scored.where(F.col("gain") >= bar).orderBy(F.desc("gain"), "term").limit(MAX_TERMS)
     return [r["term"] for r in best.collect()]
 
 
