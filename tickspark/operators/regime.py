@@ -32,12 +32,15 @@ def rolling_robust_z(df: DataFrame, keys: list[str], order: str, columns: list[s
     for c in columns:
         out = out.withColumn(f"__{c}_m", _median(F.col(f"__{c}")))
     for c in columns:
-        out = out.withColumn(f"__{c}_d", _median(F.transform(f"__{c}", lambda x, c=c: F.abs(x - F.col(f"__{c}_m")))))
+        middle = F.col(f"__{c}_m")
+        out = out.withColumn(f"__{c}_a", F.transform(f"__{c}", lambda x: F.abs(x - middle)))
+    for c in columns:
+        out = out.withColumn(f"__{c}_d", _median(F.col(f"__{c}_a")))
     for c in columns:
         z = (F.col(c) - F.col(f"__{c}_m")) / F.greatest(1.4826 * F.col(f"__{c}_d"), F.lit(floor))
         out = out.withColumn(f"{c}_z", F.when(F.size(f"__{c}") >= least, z).otherwise(0.0))
     out = out.withColumn("history", F.size(f"__{columns[0]}"))
-    return out.drop(*(f"__{c}{x}" for c in columns for x in ("", "_m", "_d")))
+    return out.drop(*(f"__{c}{x}" for c in columns for x in ("", "_m", "_a", "_d")))
 
 
 def robust_threshold(df: DataFrame, keys: list[str], order: str, threshold: float = 3.0, window: int = 288, ready: int = 30) -> DataFrame:

@@ -45,11 +45,18 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, va
         found = F.first("__value", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
     out = both.withColumn("__found", found)
     if bucket_ms:
+        # the edge of each filled bucket serves the empty stretch beside it, listed bucket by bucket; beyond the outermost one it serves all
         pick = F.max_by if backward else F.min_by
-        per = both.groupBy("symbol", "__bucket").agg(pick("__value", F.when(F.col("__value").isNotNull(), F.struct("__t", "__side", "__tie"))).alias("__v"))
-        over = Window.partitionBy("symbol").orderBy("__bucket")
-        edge = F.last("__v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if backward else F.first("__v", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
-        out = out.where("__row IS NOT NULL").join(per.select("symbol", "__bucket", edge.alias("__edge")), keys).withColumn("__found", F.coalesce("__found", "__edge"))
+        filled = right.select("symbol", F.floor(F.col(right_time) / bucket_ms).cast("long").alias("__bucket"), F.struct(F.col(right_time).alias("t"), tie.cast("long").alias("o")).alias("__at"), F.struct(*keep).alias("__v"))
+        filled = filled.groupBy("symbol", "__bucket").agg(pick("__v", "__at").alias("__edge"))
+        order_b = Window.partitionBy("symbol").orderBy("__bucket")
+        beside = F.lead("__bucket").over(order_b) if backward else F.lag("__bucket").over(order_b)
+        filled = filled.withColumn("__beside", beside)
+        stretch = F.sequence(F.col("__bucket") + 1, F.col("__beside")) if backward else F.sequence(F.col("__beside"), F.col("__bucket") - 1)
+        near = filled.where("__beside IS NOT NULL").select("symbol", F.explode(stretch).alias("__bucket"), "__edge")
+        outer = filled.where("__beside IS NULL").select("symbol", F.col("__bucket").alias("__last"), F.col("__edge").alias("__outer"))
+        beyond = F.col("__bucket") > F.col("__last") if backward else F.col("__bucket") < F.col("__last")
+        out = out.where("__row IS NOT NULL").join(near, keys, "left").join(outer, "symbol", "left").withColumn("__found", F.coalesce("__found", "__edge", F.when(beyond, F.col("__outer"))))
     return out.where("__row IS NOT NULL").select("__row.*", F.col("__found").alias(value))
 
 

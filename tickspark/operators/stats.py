@@ -50,7 +50,7 @@ def correlations(trades: DataFrame, features: list[str], target: str, keys: list
 
 def target_before_stop(paths: DataFrame, targets: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0), values: str = "path", keys: list[str] = ["symbol"]) -> DataFrame:
     """Of ordered excursions in R, the share that shows a target strictly before the first value at or below -1; empty paths are unclear."""
-    first = lambda test: F.array_min(F.filter(F.transform(values, lambda v, i: F.when(test(v), i)), lambda i: i.isNotNull()))
+    first = lambda test: F.array_min(F.transform(values, lambda v, i: F.when(test(v), i)))
     stop = F.coalesce(first(lambda v: v <= -1.0), F.lit(1 << 30))
     shares = [F.avg(F.coalesce(first(lambda v, t=t: v >= t) < stop, F.lit(False)).cast("double")).alias(f"hit_{str(t).replace('.', '_')}r") for t in targets]
     return paths.groupBy(*keys).agg(F.count("*").alias("paths"), *shares, F.count_if(F.size(values) == 0).alias("unclear"))

@@ -83,6 +83,7 @@ def ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.generate(all_bars(spark, sf_dir), lookback=LOOKBACK, stride=STRIDE)
 
 
+@shared
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ideas(spark, sf_dir).select("symbol", F.col("candidate_id").alias("event_id"), F.col("available_ms").alias("start_ms"), (F.col("available_ms") + HORIZON * HOUR).alias("label_end_ms"))
     return splits.numbered(made)

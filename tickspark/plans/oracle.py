@@ -219,7 +219,7 @@ FOLD_OUTCOMES = (*FULL, INDEXED, "open_events AS (SELECT i.* FROM indexed i ANTI
 _LEVELS = f"""
 levels_ AS (SELECT symbol || ':' || bar_end_ms AS candidate_id, symbol, CASE WHEN bid_close >= bid_open THEN 'LONG' ELSE 'SHORT' END AS direction, (bid_close + ask_close) / 2 AS level, greatest(bid_high - bid_low, 0.0001{D}) AS atr, bar_end_ms AS available_ms FROM base),
 searched AS (SELECT l.*, t.seq, t.time_ms, (t.bid + t.ask) / 2 AS mid, greatest(0.1{D} * atr, 1.5{D} * greatest(t.ask - t.bid, 0)) AS threshold FROM levels_ l JOIN ticks t ON t.symbol = l.symbol AND t.time_ms BETWEEN l.available_ms AND l.available_ms + {3 * HOUR}),
-excursions AS (SELECT candidate_id, symbol, direction, level, atr, min(seq) AS event_seq, min_by(time_ms, seq) AS event_ms, min_by(mid, seq) AS event_mid, min_by(threshold, seq) AS threshold, CASE WHEN min_by(mid, seq) > level THEN 1 ELSE -1 END AS side FROM searched WHERE abs(mid - level) >= threshold GROUP BY ALL)"""
+excursions AS (SELECT candidate_id, symbol, direction, level, atr, min(seq) AS event_seq, min_by(time_ms, seq) AS event_ms, min_by(mid, seq) AS event_mid, min_by(threshold, seq) AS threshold, CASE WHEN min_by(mid, seq) > any_value(level) THEN 1 ELSE -1 END AS side FROM searched WHERE abs(mid - level) >= threshold GROUP BY candidate_id, symbol, direction, level, atr)"""
 _TIMED = f"timed AS (SELECT candidate_id, net_r, regime, {session('available_ms')} AS session, {dst('available_ms')} AS dst_state, {benchmark('available_ms', 60)} AS benchmark FROM plain)"
 _POSTERIOR = f"""
 low AS (SELECT session, benchmark, dst_state, regime, count(*) AS n, avg(net_r) AS m, stddev_samp(net_r) AS s FROM timed GROUP BY ALL),

@@ -293,6 +293,7 @@ def stress_matrix(spark, sf_dir):
     return m.select("candidate_id", "scenario", *(r(c) for c in ("entry_cost_r", "exit_cost_r", "stop_cost_r", "commission_cost_r", "rollover_cost_r", "total_cost_r")))
 
 
+@fx.shared
 def _fold_outcomes(spark, sf_dir) -> DataFrame:
     """Outcomes of the validation events of the folds before the locked holdout: what the policy tables are made of."""
     indexed = fx.indexed(spark, sf_dir)
