@@ -303,7 +303,7 @@ def all_sql() -> dict[str, str]:
             f"e AS (SELECT DISTINCT ON (candidate_id) candidate_id, event_code, scheduled_ms FROM c JOIN calendar k ON k.impact = 'HIGH' AND k.scheduled_ms BETWEEN available_ms - {3 * HOUR} AND available_ms + {HOUR} AND k.as_of_ms <= available_ms ORDER BY candidate_id, abs(available_ms - scheduled_ms), scheduled_ms, event_id)",
             select=f"SELECT candidate_id, symbol, available_ms, CASE WHEN scheduled_ms IS NULL THEN 'NEUTRAL' ELSE 'HARD_VETO' END AS effect, coalesce(event_code, 'NO_SCHEDULED_HIGH_IMPACT_EVENT') AS event, round((available_ms - scheduled_ms) / 1000{D}, 6) AS seconds_from_release, CASE WHEN scheduled_ms IS NULL THEN 0{D} ELSE -1{D} END AS signal FROM c LEFT JOIN e USING (candidate_id)"),
         "post_event_summary": sql(TICKS, fx.calendar_sql(), select=f"SELECT event_id, s.symbol, scheduled_ms, count(t.seq) AS ticks, round(quantile_cont((t.ask - t.bid) / 0.0001{D}, 0.5), 6) AS median_spread, round((max((t.bid + t.ask) / 2) - min((t.bid + t.ask) / 2)) / 0.0001{D}, 6) AS range_pips FROM calendar, (SELECT DISTINCT symbol FROM ticks) s LEFT JOIN ticks t ON t.symbol = s.symbol AND t.time_ms BETWEEN scheduled_ms AND scheduled_ms + {2 * HOUR} GROUP BY ALL"),
-        "candidate_events": sql(*CORE, select=f"SELECT candidate_id, symbol, direction, available_ms, {rounded('entry', 'stop_loss')}, regime, session, {rounded('impulse', 'mid_impulse', 'past_median')} FROM ideas"),
+        "candidate_events": sql(*CORE, select=f"SELECT candidate_id, symbol, direction, available_ms, {rounded('entry', 'stop_loss', digits=9)}, regime, session, {rounded('impulse', 'mid_impulse', 'past_median', digits=9)} FROM ideas"),
         "candidate_families": sql(*CORE, f"fam AS (SELECT *, unnest(list_filter(['BASELINE_MOMENTUM', CASE WHEN (regime = 'BULL') = long THEN 'TREND_PULLBACK' END, CASE WHEN bar_no >= {fx.LOOKBACK} AND CASE WHEN long THEN bid_low < past_low AND bid_close > bid_open ELSE ask_high > past_high AND ask_close < ask_open END THEN 'SWEEP_REVERSAL' END, CASE WHEN bar_no > {fx.LOOKBACK} AND rng >= 1.5{D} * past_mean THEN 'RANGE_EXPANSION' END], lambda x: x IS NOT NULL)) AS family FROM ideas)", select="SELECT family, family || ':' || candidate_id AS family_candidate_id, symbol, direction FROM fam"),
         "dataset_manifest": sql(TICKS, GAPS, BARS, select=f"SELECT symbol, timeframe, count(*) AS rows, count(*) FILTER ({UNUSABLE}) AS unusable, min(bar_start_ms) AS start_ms, max(bar_end_ms) AS end_ms FROM bars GROUP BY ALL"),
         "walk_forward_folds": sql(*CORE, INDEXED, folds("indexed"), select="SELECT symbol, fold_id, idx, event_id, role FROM folds"),

@@ -248,7 +248,7 @@ def post_event_summary(spark, sf_dir):
 
 
 def _candidate_columns(c: DataFrame) -> DataFrame:
-    return c.select("candidate_id", "symbol", "direction", "available_ms", r("entry"), r("stop_loss"), "regime", "session", r("impulse"), r("mid_impulse"), r("past_median"))
+    return c.select("candidate_id", "symbol", "direction", "available_ms", r("entry", None, 9), r("stop_loss", None, 9), "regime", "session", r("impulse", None, 9), r("mid_impulse", None, 9), r("past_median", None, 9))
 
 
 @query
