@@ -117,9 +117,7 @@ def idea(spark, direction="LONG", entry=1.0, stop=0.99, target=1.03, at=0, hold=
     return spark.createDataFrame([("c", "S", direction, entry, stop, target, MONDAY + at, hold)], "candidate_id string, symbol string, direction string, entry double, stop_loss double, take_profit double, available_ms long, max_holding_ms long")
 
 
-@pytest.mark.parametrize(
-    ("direction", "stop", "target", "rows", "outcome", "net"),
-    [
+BARRIER_CASES = [
         ("LONG", 0.99, 1.03, [(0, 0.999, 1.0), (10, 1.03, 1.031)], "TAKE_PROFIT", 3.0),
         ("SHORT", 1.01, 0.97, [(0, 1.0, 1.001), (10, 0.969, 0.97)], "TAKE_PROFIT", 3.0),
         ("LONG", 0.99, 1.03, [(0, 0.999, 1.0), (10, 0.985, 0.986)], "STOP_LOSS", -1.5),
@@ -130,15 +128,23 @@ def idea(spark, direction="LONG", entry=1.0, stop=0.99, target=1.03, at=0, hold=
         ("LONG", 0.99, 1.03, [(0, 0.999, 1.0)], "DATA_EXHAUSTED", None),
         ("LONG", 0.99, 1.03, [(0, 0.98, 0.985)], "NO_FILL", None),
         ("LONG", 0.99, 1.03, [(-5, 0.98, 0.985)], "NO_FILL", None),
-    ],
-)
-def test_tick_barriers(spark, direction, stop, target, rows, outcome, net):
-    r = one(labels.tick_barriers(idea(spark, direction, 1.0, stop, target), quotes(spark, *rows)))
-    assert r.outcome == outcome
-    assert (r.net_r is None) == (net is None) and (net is None or abs(r.net_r - net) < 1e-9)
-    if net is not None:
-        assert abs(r.gross_r - r.spread_cost_r - r.slippage_cost_r - r.commission_cost_r - r.net_r) < 1e-12
-        assert r.label == (outcome == "TAKE_PROFIT")
+    ]
+
+
+def test_tick_barriers(spark):
+    made = feed = None
+    for k, (direction, stop, target, rows, _, _) in enumerate(BARRIER_CASES):
+        own = idea(spark, direction, 1.0, stop, target).withColumn("symbol", F.lit(f"S{k}")).withColumn("candidate_id", F.lit(f"{k}"))
+        seen = ticks(spark, [(MONDAY + t, b, a, 6) for t, b, a in rows], f"S{k}")
+        made, feed = (own, seen) if made is None else (made.unionByName(own), feed.unionByName(seen))
+    out = {int(r.candidate_id): r for r in labels.tick_barriers(made, feed).collect()}
+    for k, (*_, outcome, net) in enumerate(BARRIER_CASES):
+        r = out[k]
+        assert r.outcome == outcome, k
+        assert (r.net_r is None) == (net is None) and (net is None or abs(r.net_r - net) < 1e-9), k
+        if net is not None:
+            assert abs(r.gross_r - r.spread_cost_r - r.slippage_cost_r - r.commission_cost_r - r.net_r) < 1e-12
+            assert r.label == (outcome == "TAKE_PROFIT")
 
 
 def path_bars(spark, lows_highs):
@@ -146,9 +152,7 @@ def path_bars(spark, lows_highs):
     return spark.createDataFrame(rows, "symbol string, timeframe string, bar_start_ms long, bar_end_ms long, bid_open double, bid_high double, bid_low double, bid_close double, ask_open double, ask_high double, ask_low double, ask_close double")
 
 
-@pytest.mark.parametrize(
-    ("bars_", "fixed", "partial"),
-    [
+PATH_CASES = [
         ([(0.999, 1.031)], ("TAKE_PROFIT", 3.0), ("VERTICAL", 1.5)),
         ([(0.98, 1.031)], ("AMBIGUOUS_CONSERVATIVE_STOP", -1.0), ("AMBIGUOUS_CONSERVATIVE_STOP", -1.0)),
         ([(1.0, 1.011), (0.98, 1.0)], ("STOP_LOSS", -1.0), ("STOP_LOSS", -1.0)),
@@ -156,17 +160,22 @@ def path_bars(spark, lows_highs):
         ([(1.0, 1.011), (1.0, 1.035)], ("TAKE_PROFIT", 3.0), ("TAKE_PROFIT", 2.0)),
         ([(0.98, 1.0)], ("STOP_LOSS", -1.0), ("STOP_LOSS", -1.0)),
         ([(1.0, 1.004)] * 3, ("VERTICAL", 0.2), ("VERTICAL", 0.2)),
-    ],
-)
-def test_bar_outcomes(spark, bars_, fixed, partial):
-    made = idea(spark).withColumn("regime", F.lit("BULL")).withColumn("session", F.lit("ASIA"))
-    out = labels.bar_outcomes(made, path_bars(spark, bars_), spark.createDataFrame([], COST), 3)
-    got = {r.policy: r for r in out.where("scenario = 'BASELINE_2X'").collect()}
-    for name, (outcome, gross) in (("FIXED_RR", fixed), ("PARTIAL_TRAILING", partial)):
-        r = got[name]
-        assert (r.outcome, round(r.gross_r, 9)) == (outcome, gross)
-        # the fallback costs half a pip on a risk of a hundred pips; a timed-out exit pays it once
-        assert abs(r.cost_r - 0.005 * (1 if outcome == "VERTICAL" else 2)) < 1e-9
+    ]
+
+
+def test_bar_outcomes(spark):
+    made = paths = None
+    for k, (bars_, _, _) in enumerate(PATH_CASES):
+        own = idea(spark).withColumn("regime", F.lit("BULL")).withColumn("session", F.lit("ASIA")).withColumn("symbol", F.lit(f"S{k}")).withColumn("candidate_id", F.lit(f"{k}"))
+        path = path_bars(spark, bars_).withColumn("symbol", F.lit(f"S{k}"))
+        made, paths = (own, path) if made is None else (made.unionByName(own), paths.unionByName(path))
+    out = {(int(r.candidate_id), r.policy): r for r in labels.bar_outcomes(made, paths, spark.createDataFrame([], COST), 3).where("scenario = 'BASELINE_2X'").collect()}
+    for k, (_, fixed, partial) in enumerate(PATH_CASES):
+        for name, (outcome, gross) in (("FIXED_RR", fixed), ("PARTIAL_TRAILING", partial)):
+            r = out[k, name]
+            assert (r.outcome, round(r.gross_r, 9)) == (outcome, gross), k
+            # the fallback costs half a pip on a risk of a hundred pips; a timed-out exit pays it once
+            assert abs(r.cost_r - 0.005 * (1 if outcome == "VERTICAL" else 2)) < 1e-9
 
 
 def test_joint_stress_is_no_multiple(spark):
