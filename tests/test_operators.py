@@ -285,7 +285,7 @@ def test_states_follow_their_features(spark):
 
 
 def test_regimes(spark):
-    z = spark.createDataFrame([("S", i, v, 0.0) for i, v in enumerate([0, 3, 3, 3, 0, 3, -2, -2, -2])], "symbol string, ts_ms long, volatility_z double, spread_z double")
+    z = spark.createDataFrame([("S", i, float(v), 0.0) for i, v in enumerate([0, 3, 3, 3, 0, 3, -2, -2, -2])], "symbol string, ts_ms long, volatility_z double, spread_z double")
     got = [(r.regime, r.duration) for r in regime.duration_filter(z, ["symbol"], "ts_ms").orderBy("ts_ms").collect()]
     assert got == [("NORMAL", 1), ("NORMAL", 2), ("NORMAL", 3), ("HIGH_STRESS", 3), ("HIGH_STRESS", 4), ("HIGH_STRESS", 5), ("HIGH_STRESS", 6), ("HIGH_STRESS", 7), ("LOW_VOL", 3)]
     level = lambda i: 1.0 + 0.01 * (i % 3) if i < 80 else 10.0
