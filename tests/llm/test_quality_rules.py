@@ -46,3 +46,16 @@ def test_cut_follows_the_group(spark):
     df = spark.createDataFrame(plain + junk + long_words, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.kept for r in quality_rules.judge(quality_rules.with_measures(df)).collect()}
     assert not kept.pop(1000) and all(kept.values())
+
+
+def test_sketches_decide_below_any_fixed_cut(spark):
+    """Long words, symbols and repeats that are much for their group, but little in absolute terms."""
+    plain = [[f"word{(i * 31 + k) % 997}" for k in range(60)] for i in range(300)]
+    odd = [[f"{'x' * 9}{k}" for k in range(60)], [f"wor#{k}" if k < 4 else f"word{k}" for k in range(60)], [f"word{k % 44 if k >= 44 and k < 52 else k}" for k in range(60)]]
+    loud = [[f"wor{'#' if k < 4 + i % 9 else 'd'}{k}" for k in range(60)] for i in range(300)]
+    rows = [(g, " ".join(x), "en", "a") for g, x in enumerate(plain + odd)] + [(1000 + g, " ".join(x), "de", "b") for g, x in enumerate(loud)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in quality_rules.judge(quality_rules.with_measures(df)).collect()}
+    assert not any(r.base_failed for r in out.values())
+    # the third repeats 8 of 60 words twice, as rates go 0.27
+    assert {i for i, r in out.items() if not r.kept} == {300, 301, 302}

@@ -3,7 +3,9 @@
 Measures of each text feed a mergeable KLL quantile sketch per (lang, source).
 Sketches are merged upwards to a language and to the corpus, and each group's
 cut is an upper fence (third quartile plus ``FENCE`` times the interquartile
-range) of the narrowest level that has at least ``MIN_ROWS`` rows. The cuts are joined back to the rows.
+range) of the narrowest level that has at least ``MIN_ROWS`` rows. Where the quartiles
+are equal the fence starts from the group's ``TAIL`` quantile instead; a small spread
+of ``SPREADS`` keeps fences off the ordinary rows. The cuts are joined back to the rows.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null ``lang`` or ``source`` is a group of its own; repeated rows are judged
@@ -25,8 +27,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_ROWS, FENCE, SKETCH_K = 200, 3.0, 800
 
-#: Measure -> the least that its upper cut may be, so that groups without spread keep ordinary texts.
-FLOORS = {"symbol_rate": 0.10, "dup_line_rate": 0.30, "repeat_rate": 0.30, "mean_word": 12.0}
+#: Where the fence of a group with equal quartiles starts, and measure -> the least interquartile range that a fence reckons with.
+TAIL, SPREADS = 0.9, {"symbol_rate": 0.01, "dup_line_rate": 0.08, "repeat_rate": 0.08, "mean_word": 0.1}
 
 
 def _repeat_words(with_windows: DataFrame, window: int) -> DataFrame:
@@ -93,8 +95,8 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source")
 
     def cuts(df: DataFrame, tag: str, *keys: str) -> DataFrame:
         def cut(name: str) -> Column:
-            q1, q3 = (F.kll_sketch_get_quantile_double(f"__s_{name}", F.lit(q)) for q in (0.25, 0.75))
-            return F.round(F.greatest(q3 + FENCE * (q3 - q1), F.lit(FLOORS[name])), 2)
+            q1, q3, tail = (F.kll_sketch_get_quantile_double(f"__s_{name}", F.lit(q)) for q in (0.25, 0.75, TAIL))
+            return F.round(F.when(q3 > q1, q3).otherwise(tail) + FENCE * F.greatest(q3 - q1, F.lit(SPREADS[name])), 2)
 
         return df.where(F.col("__n") > 0).select(*keys, F.col("__n").alias(f"__n_{tag}"), F.struct(*(cut(name).alias(name) for name in rates)).alias(f"__cut_{tag}"))
 
