@@ -46,3 +46,15 @@ def test_nulls_repeats_clashes_and_empty_table(spark):
     both = sentencepiece_codec.encode_and_decode(df, PATH)
     assert sorted(map(repr, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(repr, out.select("doc_id", "ids", "decoded").collect()))
     assert sentencepiece_codec.encode_documents(df.where("false"), PATH).count() == 0
+
+
+def test_cache_keeps_no_long_chunk_and_few_bytes(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "INDEX_CHARS", 500)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_BYTES", 20_000, raising=False)
+    codec = sentencepiece_codec.PieceModel(PATH)
+    for k in range(12):
+        texts = [f"{chr(0x4E00 + 7 * k + i)}漢字é{i}" * 60 for i in range(6)] + [" ".join(f"w{k}x{i}" for i in range(100))]
+        for text, ids in zip(texts, codec.encode(texts)):
+            assert ids.tolist() == LIB.encode(text)
+        assert max(map(len, codec.chunks)) <= sentencepiece_codec.CACHE_LENGTH
+        assert len(codec.chunks) <= 400

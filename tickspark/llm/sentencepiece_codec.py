@@ -22,6 +22,7 @@ text; a literal U+2581 decodes to a space, as in the library. Other columns stay
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -35,8 +36,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from ._common import text_or_empty
 
 MARK = "▁"
-#: Code points indexed at a time, chunks that a worker remembers (none longer than the third bound), and slots of the table of checked pairs.
-INDEX_CHARS, CACHE_ENTRIES, CACHE_LENGTH, PAIR_SLOTS = 200_000, 300_000, 64, 1 << 20
+#: Code points indexed at a time, and slots of the table of checked pairs.
+INDEX_CHARS, PAIR_SLOTS = 200_000, 1 << 20
+#: Chunks and bytes of them and their ids that a worker remembers between calls (a call may pass them by what it adds), and the longest one.
+CACHE_ENTRIES, CACHE_BYTES, CACHE_LENGTH = 300_000, 64 << 20, 64
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _LANE = 4  # 16-bit symbols in a 64-bit key
 
@@ -87,6 +90,7 @@ class PieceModel:
         self.low, self.high = self._keys(low), self._keys(high)
         self.seen_pair, self.seen_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         self.chunks: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _last_merge(piece: str, rank: dict[str, int]) -> tuple[bool, int, int]:
@@ -265,8 +269,10 @@ class PieceModel:
         new: dict[str, None] = {}
         waiting = 0
         known = self.chunks
-        if len(known) > CACHE_ENTRIES:
+        fresh: list[str] = []
+        if len(known) > CACHE_ENTRIES or self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
         for chunks in cut:
             for c in chunks:
                 if c not in known and c not in new:
@@ -274,12 +280,17 @@ class PieceModel:
                     waiting += len(c) + 2
             if waiting >= INDEX_CHARS:
                 self._index(list(new))
+                fresh += new
                 new, waiting = {}, 0
         if new:
             self._index(list(new))
+            fresh += new
         out = [np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32) for chunks in cut]
-        for c in [c for c in new if len(c) > CACHE_LENGTH]:
-            del known[c]
+        for c in fresh:
+            if len(c) > CACHE_LENGTH:
+                del known[c]
+            else:
+                self.held += sys.getsizeof(c) + sys.getsizeof(known[c])
         return out
 
 
