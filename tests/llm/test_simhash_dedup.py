@@ -89,3 +89,18 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for u, v in links if u != v for x in (u, v)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_repeated_ids_lose_no_component(spark):
+    def text(seed):
+        return " ".join(f"w{random.Random(seed).random()}{k}" for k in range(40))
+
+    a, b, c = map(text, "abc")
+    # id 5 names b and is also a copy of a; then two components that the same id names, and rows without one
+    for rows, want in (
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(5, a), (5, b), (6, b), (7, c)], [(5, a), (5, b), (7, c)]),
+        ([(None, a), (None, a), (None, b), (4, b)], [(None, a), (4, b)]),
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in simhash_dedup.drop_near_duplicates(df).collect()))) == sorted(map(repr, want))

@@ -195,13 +195,13 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def component_ids(fingerprinted: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (fp, component_id) for every fingerprint of a written table with ``doc_id`` and ``fp``; the id is the least ``doc_id`` that links reach."""
+    """Rows (fp, root, component_id) for every fingerprint of a written table with ``doc_id`` and ``fp``; ``root`` is the least fingerprint and the id the least ``doc_id`` that links reach."""
     nodes = materialize(fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     found = connected_components(fingerprint_links(nodes, radius), "simhash-components")
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "simhash-named")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(names, "root").select("fp", "component_id")
+    return named.join(names, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -214,14 +214,12 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each component: the one whose ``doc_id`` names it. Of rows that share that id (or have none) the least text stays, once."""
     printed = materialize(with_fingerprints(docs.select("doc_id", F.col(text).alias("__text")), "__text").select("doc_id", "fp"), "simhash-fingerprints")
     names = materialize(component_ids(printed), "simhash-names")
-    rows = printed.join(names, "fp")
-    alike = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").count().where("count > 1")
-    if alike.limit(1).count() == 0 and rows.where("doc_id IS NULL").limit(1).count() == 0:
+    if printed.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0:
         # ids name rows: only the ids to drop travel, not the texts
-        lost = rows.where("doc_id <> component_id").select("doc_id").distinct()
+        lost = printed.join(names, "fp").where("doc_id <> component_id").select("doc_id")
         return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    # ids don't name rows, and components may share one: the root names the component
     boxed = with_fingerprints(docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.col(text).alias("__text")), "__text").join(names, "fp")
     own = boxed.where(F.col("__id").eqNullSafe(F.col("component_id")))
-    first = Window.partitionBy(F.coalesce(F.col("component_id"), F.col("fp")), F.col("component_id").isNull()).orderBy("__text", F.xxhash64("__row"))
-    # a component without any id has no name to share: its fingerprints were named null one by one, so each fp keeps one row
+    first = Window.partitionBy("root").orderBy("__text", F.xxhash64("__row"))
     return own.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")
