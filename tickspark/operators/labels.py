@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs, prices
 from ..schemas import PIP
-from .sequence import CHUNK, as_of, interval_join
+from .sequence import as_of, interval_join, with_previous
 
 POLICIES = ("FIXED_RR", "DYNAMIC_RR", "STRUCTURE_TARGET", "PARTIAL_TRAILING")
 TARGETS = (1.0, 1.5, 2.0, 3.0)
@@ -110,18 +110,24 @@ def tick_barriers(candidates: DataFrame, ticks: DataFrame, latency_ms: int = 0,
     long = prices.is_long()
     sign = F.when(long, 1.0).otherwise(-1.0)
     ideas = candidates.select("candidate_id", "symbol", "direction", F.col("entry").alias("planned_entry"), "stop_loss", "take_profit", "available_ms", "max_holding_ms")
-    ideas = ideas.withColumn("planned_risk", F.abs(F.col("planned_entry") - F.col("stop_loss"))).withColumn("usable_ms", F.col("available_ms") + latency_ms).withColumn("barrier_ms", F.col("available_ms") + F.col("max_holding_ms"))
-    keep = ["time_ms", "seq", "bid", "ask"]
-    entered = as_of(ideas, ticks, "usable_ms", "time_ms", "e", keep, backward=False, bucket_ms=bucket_ms, order="seq")
-    entered = entered.withColumn("after_ms", F.col("barrier_ms") + 1)
-    entered = as_of(entered, ticks, "after_ms", "time_ms", "late", keep, backward=False, bucket_ms=bucket_ms, order="seq")
+    ideas = ideas.withColumn("planned_risk", F.abs(F.col("planned_entry") - F.col("stop_loss"))).withColumn("barrier_ms", F.col("available_ms") + F.col("max_holding_ms"))
+    # the ticks at entry and after the barrier come from one pass over the feed, in which only ids and times travel
+    probe = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("at_ms"))
+    probes = ideas.select("candidate_id", "symbol", F.inline(F.array(probe("e", F.col("available_ms") + latency_ms), probe("l", F.col("barrier_ms") + 1))))
+    quotes = with_previous(ticks.select("symbol", "seq", "time_ms", "bid", "ask"), ["time_ms", "bid", "ask"], prefix="next_", ahead=True)
+    seen = as_of(probes, quotes, "at_ms", "time_ms", "q", ["time_ms", "seq", "bid", "ask", "next_time_ms", "next_bid", "next_ask"], backward=False, bucket_ms=bucket_ms, order="seq")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(f"q.{c}")))
+    met = seen.groupBy("candidate_id").agg(
+        of("e", "time_ms").alias("entry_ms"), of("e", "seq").alias("entry_seq"), of("e", "bid").alias("entry_bid"), of("e", "ask").alias("entry_ask"),
+        *(of("e", f"next_{c}").alias(f"next_{c}") for c in ("time_ms", "bid", "ask")), *(of("l", c).alias(f"late_{c}") for c in ("time_ms", "bid", "ask")),
+    )
+    entered = ideas.join(met, "candidate_id")
     # an entry after the barrier closes at the very next tick
-    entered = entered.withColumn("next_seq", F.col("e.seq") + 1)
-    entered = as_of(entered, ticks, "next_seq", "seq", "following", keep, backward=False, bucket_ms=CHUNK)
-    entered = entered.withColumn("late", F.when(F.col("e.time_ms") > F.col("barrier_ms"), F.col("following")).otherwise(F.col("late")))
-    entered = entered.withColumn("entry_quote", F.when(long, F.col("e.ask")).otherwise(F.col("e.bid"))).withColumn("entry_fill", F.col("entry_quote") + sign * entry_slip * pip)
+    missed = F.col("entry_ms") > F.col("barrier_ms")
+    entered = entered.select(*ideas.columns, "entry_ms", "entry_seq", "entry_bid", "entry_ask", *(F.when(missed, F.col(f"next_{c}")).otherwise(F.col(f"late_{c}")).alias(f"late_{c}") for c in ("time_ms", "bid", "ask")))
+    entered = entered.withColumn("entry_quote", F.when(long, F.col("entry_ask")).otherwise(F.col("entry_bid"))).withColumn("entry_fill", F.col("entry_quote") + sign * entry_slip * pip)
     beyond = F.when(long, F.col("entry_fill") <= F.col("stop_loss")).otherwise(F.col("entry_fill") >= F.col("stop_loss"))
-    entered = entered.withColumn("refused", F.when(F.col("e").isNull(), "NO_TICK").when(beyond, "FILL_BEYOND_STOP")).withColumn("entry_ms", F.col("e.time_ms")).withColumn("entry_seq", F.col("e.seq"))
+    entered = entered.withColumn("refused", F.when(F.col("entry_ms").isNull(), "NO_TICK").when(beyond, "FILL_BEYOND_STOP"))
     live = entered.where("refused IS NULL AND entry_ms <= barrier_ms").select("candidate_id", "symbol", "direction", "stop_loss", "take_profit", "entry_ms", "entry_seq", "barrier_ms")
     path = interval_join(live, ticks.select("symbol", "seq", "time_ms", "bid", "ask"), "entry_ms", "barrier_ms", "time_ms", bucket_ms).where("seq > entry_seq")
     tp = F.when(long, F.col("bid") >= F.col("take_profit")).otherwise(F.col("ask") <= F.col("take_profit"))
@@ -134,18 +140,17 @@ def tick_barriers(candidates: DataFrame, ticks: DataFrame, latency_ms: int = 0,
     what = F.when(F.col("tp") & F.col("sl"), "AMBIGUOUS").when(F.col("sl"), "STOP_LOSS").when(F.col("tp"), "TAKE_PROFIT").when(F.col("time_ms") == F.col("barrier_ms"), "VERTICAL")
     tick = F.when(F.col("what") == "AMBIGUOUS", F.col("first")).when(F.col("what") == "STOP_LOSS", F.col("first_sl")).when(F.col("what") == "TAKE_PROFIT", F.col("first_tp")).otherwise(F.col("last"))
     ends = moments.withColumn("what", what).where("what IS NOT NULL").withColumn("x", tick).groupBy("candidate_id").agg(F.min_by(F.struct("time_ms", "what", "x.bid", "x.ask", "low_bid", "high_ask"), "time_ms").alias("x"))
-    joined = entered.join(ends, "candidate_id", "left")
-    found = F.col("x").isNotNull()
-    exit_ms = F.when(found, F.col("x.time_ms")).otherwise(F.col("late.time_ms"))
-    bid, ask = F.when(found, F.col("x.bid")).otherwise(F.col("late.bid")), F.when(found, F.col("x.ask")).otherwise(F.col("late.ask"))
-    worst = F.col("outcome") == "AMBIGUOUS"
-    outcome = F.when(F.col("refused").isNotNull(), "NO_FILL").when(found, F.col("x.what")).when(F.col("late").isNotNull(), "VERTICAL").otherwise("DATA_EXHAUSTED")
+    joined = entered.join(ends.select("candidate_id", F.col("x.what").alias("what"), *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("time_ms", "bid", "ask", "low_bid", "high_ask"))), "candidate_id", "left")
+    outcome = F.when(F.col("refused").isNotNull(), "NO_FILL").when(F.col("what").isNotNull(), F.col("what")).when(F.col("late_time_ms").isNotNull(), "VERTICAL").otherwise("DATA_EXHAUSTED")
+    out = joined.withColumn("outcome", outcome)
     closed = F.col("outcome").isin("AMBIGUOUS", "STOP_LOSS", "TAKE_PROFIT", "VERTICAL")
-    out = joined.withColumn("outcome", outcome).withColumn("exit_ms", F.when(closed, exit_ms)).withColumn("xb", F.when(closed, bid)).withColumn("xa", F.when(closed, ask))
-    out = out.withColumn("exit_quote", F.when(long, F.when(worst, F.col("x.low_bid")).otherwise(F.col("xb"))).otherwise(F.when(worst, F.col("x.high_ask")).otherwise(F.col("xa"))))
+    end = lambda c: F.when(closed, F.when(F.col("what").isNotNull(), F.col(f"x_{c}")).otherwise(F.col(f"late_{c}")))
+    out = out.withColumns({"exit_ms": end("time_ms"), "xb": end("bid"), "xa": end("ask")})
+    worst = F.col("outcome") == "AMBIGUOUS"
+    out = out.withColumn("exit_quote", F.when(long, F.when(worst, F.col("x_low_bid")).otherwise(F.col("xb"))).otherwise(F.when(worst, F.col("x_high_ask")).otherwise(F.col("xa"))))
     out = out.withColumn("exit_fill", F.col("exit_quote") - sign * exit_slip * pip)
     risk = F.nullif("planned_risk", F.lit(0.0))
-    gross = sign * ((F.col("xb") + F.col("xa")) / 2 - (F.col("e.bid") + F.col("e.ask")) / 2)
+    gross = sign * ((F.col("xb") + F.col("xa")) / 2 - (F.col("entry_bid") + F.col("entry_ask")) / 2)
     seen, net = sign * (F.col("exit_quote") - F.col("entry_quote")), sign * (F.col("exit_fill") - F.col("entry_fill"))
     filled = F.col("outcome") != "NO_FILL"
     return out.select(

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 CHUNK = 500_000
 
 
-def with_previous(ticks: DataFrame, columns: list[str], chunk: int = CHUNK, prefix: str = "prev_") -> DataFrame:
-    """Add the previous tick's ``columns`` in feed order per symbol.
+def with_previous(ticks: DataFrame, columns: list[str], chunk: int = CHUNK, prefix: str = "prev_", ahead: bool = False) -> DataFrame:
+    """Add the previous tick's ``columns`` (``ahead``: the next one's) in feed order per symbol.
 
-    A busy symbol is cut into runs of ``chunk`` places; the first tick of a run looks up the last tick of the run
-    before it, from a table with one row per run.
+    A busy symbol is cut into runs of ``chunk`` places; the tick at the edge of a run looks up the nearest tick of the
+    run beside it, from a table with one row per run.
     """
+    beside, nearest = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
     runs = ticks.withColumn("__run", F.floor(F.col("seq") / chunk).cast("long"))
-    per_run = runs.groupBy("symbol", "__run").agg(F.max_by(F.struct(*columns), "seq").alias("__last"))
-    edges = per_run.select("symbol", "__run", F.lag("__last").over(Window.partitionBy("symbol").orderBy("__run")).alias("__edge"))
+    per_run = runs.groupBy("symbol", "__run").agg(nearest(F.struct(*columns), "seq").alias("__near"))
+    edges = per_run.select("symbol", "__run", beside("__near").over(Window.partitionBy("symbol").orderBy("__run")).alias("__edge"))
     inside = Window.partitionBy("symbol", "__run").orderBy("seq")
-    joined = runs.withColumn("__before", F.lag(F.struct(*columns)).over(inside)).join(edges, ["symbol", "__run"])
-    before = F.coalesce("__before", "__edge")
-    return joined.select(*ticks.columns, *(before[c].alias(prefix + c) for c in columns))
+    joined = runs.withColumn("__beside", beside(F.struct(*columns)).over(inside)).join(edges, ["symbol", "__run"])
+    found = F.coalesce("__beside", "__edge")
+    return joined.select(*ticks.columns, *(found[c].alias(prefix + c) for c in columns))
 
 
 def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, keep: list[str], backward: bool = True, bucket_ms: int | None = None, order: str | None = None) -> DataFrame:
@@ -38,11 +39,10 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, va
     if bucket_ms:
         both = both.withColumn("__bucket", F.floor(F.col("__t") / bucket_ms).cast("long"))
         keys.append("__bucket")
-    along = Window.partitionBy(*keys).orderBy("__t", "__side", "__tie")
-    if backward:
-        found = F.last("__value", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("__value", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    # looking ahead is looking back along the reversed order: a frame that only grows is kept up row by row, one that only shrinks is read anew for each row
+    order_by = [F.col(c) if backward else F.col(c).desc() for c in ("__t", "__side", "__tie")]
+    along = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("__value", ignorenulls=True).over(along)
     out = both.withColumn("__found", found)
     if bucket_ms:
         # the edge of each filled bucket serves the empty stretch beside it, listed bucket by bucket; beyond the outermost one it serves all
@@ -60,20 +60,17 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, va
     return out.where("__row IS NOT NULL").select("__row.*", F.col("__found").alias(value))
 
 
-def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, bucket: int, how: str = "inner") -> DataFrame:
+def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, bucket: int) -> DataFrame:
     """Rows of ``intervals`` with each ``points`` row of the symbol that has start <= at <= end.
 
-    Both sides are listed under buckets of that width, so that the match is an equi-join with a residual range.
+    Both sides are listed under buckets of that width, so that the match is an equi-join with a residual range. An interval
+    is listed once per bucket it touches: choose ``bucket`` near the usual width.
     """
     cell = lambda c: F.floor(c / bucket).cast("long")
     spread = intervals.withColumn("__cell", F.explode(F.when(F.col(end) >= F.col(start), F.sequence(cell(F.col(start)), cell(F.col(end)))).otherwise(F.array().cast("array<long>"))))
     right = points.withColumn("__cell", cell(F.col(at))).withColumnRenamed("symbol", "__symbol")
     match = (F.col("symbol") == F.col("__symbol")) & (spread["__cell"] == right["__cell"]) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    joined = spread.join(right, match).drop("__cell", "__symbol")
-    if how == "inner":
-        return joined
-    key = [F.col(c) for c in intervals.columns]
-    return intervals.join(joined.withColumn("__hit", F.lit(True)), [c for c in intervals.columns], "left").drop("__hit") if key else joined
+    return spread.join(right, match).drop("__cell", "__symbol")
 
 
 def run_lengths(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:
