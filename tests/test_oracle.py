@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 from tickspark.plans.oracle import all_sql
+from tickspark.plans.oracle_sequences import sequence_sql
 from tickspark.plans.queries import QUERIES
 
-SQL = all_sql()
+SQL = all_sql() | sequence_sql()
 
 
 @pytest.fixture(scope="module")

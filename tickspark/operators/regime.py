@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, prices
-
+from .sequence import CHUNK
 
 OBSERVATION = ("rv_short", "rv_long", "spread_median", "spread_p95", "intensity", "abs_return")
 
@@ -59,74 +61,100 @@ def regime_observations(bars: DataFrame, short: int = 1, long: int = 6) -> DataF
     )
 
 
-def sound_observation() -> Column:
-    """No measure below zero and a missing share from 0 to 1."""
-    ok = F.col("missing_ratio").between(0, 1)
-    for c in OBSERVATION:
-        ok = ok & (F.col(c) >= 0)
-    return F.coalesce(ok, F.lit(False))
+def observation_faults() -> Column:
+    """What makes an observation unsound: a measure that is missing, no number or below zero, or a missing share outside 0 to 1."""
+    bad = lambda c: F.coalesce(F.isnan(c) | (F.col(c) < 0), F.lit(True))
+    share = F.coalesce(~F.col("missing_ratio").between(0, 1), F.lit(True))
+    return F.array_compact(F.array(*(F.when(bad(c), c.upper()) for c in OBSERVATION), F.when(share, "MISSING_RATIO")))
+
+
+def quarantine(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sound observations, and the others with their ``faults``; no row is in neither."""
+    marked = observations.withColumn("faults", observation_faults())
+    return marked.where(F.size("faults") == 0).drop("faults"), marked.where(F.size("faults") > 0)
+
+
+class Expanding:
+    """Median and median absolute deviation of the values so far. The values stay sorted; the deviations are two sorted runs going out from the median, so their median is found by bisection."""
+
+    def __init__(self) -> None:
+        self.values: list[float] = []
+
+    def add(self, x: float) -> None:
+        insort(self.values, x)
+
+    def median(self) -> float:
+        v, n = self.values, len(self.values)
+        return (v[(n - 1) // 2] + v[n // 2]) / 2
+
+    def _deviation(self, middle: float, split: int, k: int) -> float:
+        """The deviation with k smaller ones; ``split`` values lie below the median."""
+        v, n = self.values, len(self.values)
+        lo, hi = max(0, k + 1 - (n - split)), min(k + 1, split)
+        while lo < hi:  # how many of the k + 1 least deviations lie below the median
+            take = (lo + hi) // 2
+            if middle - v[split - 1 - take] < v[split + k - take] - middle:
+                lo = take + 1
+            else:
+                hi = take
+        below = middle - v[split - lo] if lo else 0.0
+        above = v[split + k - lo] - middle if k + 1 > lo else 0.0
+        return max(below, above)
+
+    def deviation(self, middle: float) -> float:
+        n, split = len(self.values), bisect_left(self.values, middle)
+        return (self._deviation(middle, split, (n - 1) // 2) + self._deviation(middle, split, n // 2)) / 2
 
 
 BURST_SCHEMA = "symbol string, seq long, time_ms long, up double, down double, total double, directional double, surprise double"
 
 
-def burst_intensity(ticks: DataFrame, mu: float = 0.25, alpha: float = 1.0, beta: float = 2.0, least: int = 20) -> DataFrame:
-    """Decaying counts of upward and downward mid changes, and how surprising their sum is against the symbol-day so far.
+def burst_intensity(ticks: DataFrame, mu: float = 0.25, alpha: float = 1.0, beta: float = 2.0, least: int = 20, chunk: int = CHUNK) -> DataFrame:
+    """Decaying counts of upward and downward mid changes, and how surprising their sum is against what was seen so far.
 
-    State starts anew with each symbol and UTC day, which bounds what a task holds; the expanding median is kept in sorted order.
+    What was seen starts anew with each symbol, UTC day and run of ``chunk`` places, so no task holds more than a run.
     """
-    from bisect import insort
+
+    def decayed(jumps: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        return mu + np.fromiter(accumulate(zip(keep, alpha * jumps), lambda level, x: level * x[0] + x[1], initial=0.0), float)[1:]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        up = down = mu
-        before = None
-        history: list[float] = []
-        rows = []
-        for seq, t, mid in zip(pdf["seq"], pdf["time_ms"], pdf["mid"]):
-            if before is not None:
-                if t < before[0]:
-                    raise ValueError("ticks go back in time")
-                decay = math.exp(-beta * (t - before[0]) / 1000.0)
-                up, down = mu + decay * (up - mu), mu + decay * (down - mu)
-                up, down = up + alpha * (mid > before[1]), down + alpha * (mid < before[1])
-            total = up + down
-            surprise = None
-            if len(history) >= least:
-                seen = np.array(history)
-                middle = np.median(seen)
-                surprise = (total - middle) / max(1.4826 * float(np.median(np.abs(seen - middle))), 1e-9)
-            insort(history, total)
-            before = (t, mid)
-            rows.append((pdf["symbol"].iloc[0], seq, t, up, down, total, (up - down) / max(total, 1e-12), surprise))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in BURST_SCHEMA.split(", ")])
-
-    days = ticks.select("symbol", "seq", "time_ms", prices.mid().alias("mid"), clock.day_number(F.col("time_ms")).alias("day"))
-    return days.groupBy("symbol", "day").applyInPandas(run, BURST_SCHEMA)
+        gap, move = np.diff(pdf["time_ms"], prepend=pdf["time_ms"].iloc[0]), np.diff(pdf["mid"], prepend=pdf["mid"].iloc[0])
+        if (gap < 0).any():
+            raise ValueError("ticks go back in time")
+        keep = np.exp(-beta * gap / 1000.0)
+        up, down = decayed(move > 0, keep), decayed(move < 0, keep)
+        total, seen, surprise = up + down, Expanding(), np.full(len(up), np.nan)
+        for i, x in enumerate(total.tolist()):
+            if i >= least:
+                middle = seen.median()
+                surprise[i] = (x - middle) / max(1.4826 * seen.deviation(middle), 1e-9)
+            seen.add(x)
+        out = {"symbol": pdf["symbol"], "seq": pdf["seq"], "time_ms": pdf["time_ms"], "up": up, "down": down, "total": total, "directional": (up - down) / np.maximum(total, 1e-12), "surprise": surprise}
+        return pd.DataFrame(out)
+
+    runs = ticks.select("symbol", "seq", "time_ms", prices.mid().alias("mid"), clock.day_number(F.col("time_ms")).alias("day"), F.floor(F.col("seq") / chunk).alias("run"))
+    made = runs.groupBy("symbol", "day", "run").applyInPandas(run, BURST_SCHEMA)
+    return made.withColumn("surprise", F.nanvl("surprise", F.lit(None).cast("double")))
 
 
 def duration_filter(df: DataFrame, keys: list[str], order: str, least: int = 3) -> DataFrame:
     """Regime that changes only after ``least`` like proposals in a row: HIGH_STRESS from a score of 2.5, LOW_VOL down to -1.5, else NORMAL.
 
-    A fold over the symbol's short rows, kept in the engine: the state is a struct and every row's state is put out.
+    A proposal is confirmed from its ``least``-th row in a row on, and the regime is the last confirmed one. It lasts since the first of the
+    rows that confirmed it. Windows over each key, in one sort.
     """
+    w = Window.partitionBy(*keys).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     proposal = F.when(F.greatest("volatility_z", "spread_z") >= 2.5, "HIGH_STRESS").when(F.col("volatility_z") <= -1.5, "LOW_VOL").otherwise("NORMAL")
-    rows = df.select(*keys, order, proposal.alias("p"))
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "p"))).alias("rows"))
-    empty = F.array().cast(f"array<struct<{order}:bigint,regime:string,duration:int,pending:string,count:int>>")
-
-    def step(seen: Column, row: Column) -> Column:
-        last = F.element_at(F.concat(F.array(F.struct(F.lit(0).cast("long").alias(order), F.lit("NORMAL").alias("regime"), F.lit(0).alias("duration"), F.lit(None).cast("string").alias("pending"), F.lit(0).alias("count"))), seen), -1)
-        count = F.when(last["pending"] == row["p"], last["count"] + 1).otherwise(1)
-        same, turn = row["p"] == last["regime"], count >= least
-        now = F.struct(
-            row[order].cast("long").alias(order), F.when(~same & turn, row["p"]).otherwise(last["regime"]).alias("regime"), F.when(~same & turn, count).otherwise(last["duration"] + 1).cast("int").alias("duration"),
-            F.when(~same & ~turn, row["p"]).alias("pending"), F.when(same | turn, 0).otherwise(count).cast("int").alias("count"),
-        )
-        return F.concat(seen, F.array(now))
-
-    out = listed.select(*keys, F.explode(F.aggregate("rows", empty, step)).alias("s")).select(*keys, "s.*")
-    return out.withColumn("confidence", F.least(F.lit(1.0), F.col("duration") / (2.0 * least))).drop("pending", "count")
+    rows = df.select(*keys, order, proposal.alias("p")).withColumns({"i": F.row_number().over(w), "before": F.lag("p").over(w)})
+    rows = rows.withColumn("since", F.max(F.when(~F.col("p").eqNullSafe(F.col("before")), F.col("i"))).over(upto))
+    rows = rows.withColumn("regime", F.coalesce(F.last(F.when(F.col("i") - F.col("since") + 1 >= least, F.col("p")), ignorenulls=True).over(upto), F.lit("NORMAL")))
+    rows = rows.withColumn("turned", F.col("regime") != F.lag("regime", 1, "NORMAL").over(w))
+    start = F.max(F.when(F.col("turned"), F.col("since"))).over(upto)
+    rows = rows.withColumn("duration", (F.col("i") - F.coalesce(start, F.lit(1)) + 1).cast("int"))
+    return rows.select(*keys, order, "regime", "duration", F.least(F.lit(1.0), F.col("duration") / (2.0 * least)).alias("confidence"))
 
 
 class ChangePoint:
@@ -171,46 +199,37 @@ class ChangePoint:
         return float(weights[0]), float((np.arange(len(weights)) * weights).sum()), float(weights.max())
 
 
-GUARD_SCHEMA = "symbol string, ts_ms long, event string, valid boolean, signal double, confidence double, change_probability double, expected_run double, suggested_multiplier double, applied_multiplier double"
-
-
-class Guard:
-    """State of one symbol: scale by the past, warm up, then the change point and the policy; a row joins the past after it was judged."""
+POINT_SCHEMA = "symbol string, ts_ms long, missing_ratio double, change_probability double, expected_run double, peak double"
 
-    def __init__(self, history: int = 2016, ready: int = 30, change: float = 0.55, missing: float = 0.02, shadow: bool = True, **point) -> None:
-        self.rows: list[np.ndarray] = []
-        self.history, self.ready, self.change, self.missing, self.shadow = history, ready, change, missing, shadow
-        self.point = ChangePoint(len(OBSERVATION), **point)
 
-    def update(self, values: np.ndarray, missing_ratio: float) -> tuple:
-        raw = np.log(values + 1e-12)
-        fine = missing_ratio <= self.missing
-        if len(self.rows) < self.ready:
-            self.rows.append(raw)
-            return "WARMUP", fine, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0 if fine else 0.0
-        past = np.array(self.rows)
-        middle = np.median(past, axis=0)
-        scale = np.maximum(1.4826 * np.median(np.abs(past - middle), axis=0), 1e-6)
-        p, run, peak = self.point.update((raw - middle) / scale)
-        self.rows = [*self.rows, raw][-self.history :]
-        if not fine:
-            return "DATA_QUALITY_INVALID", False, 1 - 2 * p, peak, p, run, 0.0, 0.0
-        unstable = p >= self.change
-        suggested = 0.5 if unstable else 1.0
-        event = "VOLATILITY_LIQUIDITY_CHANGEPOINT" if unstable else "REGIME_STABLE"
-        return event, self.shadow or not unstable, 1 - 2 * p, peak, p, run, suggested, 1.0 if self.shadow else suggested
-
-
-def regime_guard(observations: DataFrame, **options) -> DataFrame:
-    """One verdict per observation, in time order per symbol."""
+def change_points(observations: DataFrame, history: int = 2016, ready: int = 30, **point) -> DataFrame:
+    """Change-point posterior of each observation's logarithms, scaled by the median and deviation of the ``history`` observations before it; nulls for the first ``ready`` ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts_ms")
-        guard = Guard(**options)
-        values = pdf[list(OBSERVATION)].to_numpy(float)
-        rows = [(s, t, *guard.update(v, m)) for s, t, v, m in zip(pdf["symbol"], pdf["ts_ms"], values, pdf["missing_ratio"])]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in GUARD_SCHEMA.split(", ")])
+        logs = np.log(pdf[list(OBSERVATION)].to_numpy(float) + 1e-12)
+        posterior, out = ChangePoint(len(OBSERVATION), **point), np.full((len(logs), 3), np.nan)
+        for i in range(ready, len(logs)):
+            past = logs[max(0, i - history) : i]
+            middle = np.median(past, axis=0)
+            out[i] = posterior.update((logs[i] - middle) / np.maximum(1.4826 * np.median(np.abs(past - middle), axis=0), 1e-6))
+        return pdf[["symbol", "ts_ms", "missing_ratio"]].assign(change_probability=out[:, 0], expected_run=out[:, 1], peak=out[:, 2])
+
+    made = observations.groupBy("symbol").applyInPandas(run, POINT_SCHEMA)
+    return made.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("change_probability", "expected_run", "peak")})
 
-    return observations.where(sound_observation()).groupBy("symbol").applyInPandas(run, GUARD_SCHEMA)
 
+def regime_guard(observations: DataFrame, change: float = 0.55, missing: float = 0.02, shadow: bool = True, **options) -> DataFrame:
+    """One verdict per sound observation, in time order per symbol; see :func:`quarantine` for the others.
 
+    A shadow guard writes down the multiplier it would apply but applies one; too many missing ticks veto in any case.
+    """
+    p = F.col("change_probability")
+    fine, warm, unstable = F.col("missing_ratio") <= missing, p.isNull(), p >= change
+    suggested = F.when(warm, 1.0).when(~fine, 0.0).when(unstable, 0.5).otherwise(1.0)
+    event = F.when(warm, "WARMUP").when(~fine, "DATA_QUALITY_INVALID").when(unstable, "VOLATILITY_LIQUIDITY_CHANGEPOINT").otherwise("REGIME_STABLE")
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    return change_points(quarantine(observations)[0], **options).select(
+        "symbol", "ts_ms", event.alias("event"), (fine & (warm | F.lit(shadow) | ~unstable)).alias("valid"), known(1 - 2 * p).alias("signal"), known(F.col("peak")).alias("confidence"), known(p).alias("change_probability"),
+        known(F.col("expected_run")).alias("expected_run"), suggested.alias("suggested_multiplier"), F.when(~fine, 0.0).when(F.lit(shadow), 1.0).otherwise(suggested).alias("applied_multiplier"),
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import DAY
 from .sequence import interval_join
 
 
@@ -19,19 +20,34 @@ def final_holdout(indexed: DataFrame, fraction: float = 0.2) -> DataFrame:
     return sized.where((F.col("n") > 2) & (F.col("idx") >= F.col("n") - k)).drop("n")
 
 
-def walk_forward(indexed: DataFrame, min_train: int, validation: int, embargo_ms: int, step: int | None = None) -> DataFrame:
-    """Rows (symbol, fold_id, idx, event_id, role): VALIDATION blocks by place, and TRAIN events before them whose label ended before the block's start less the embargo. Folds with too few training events are left out, the others numbered in order."""
+def walk_forward_ranges(indexed: DataFrame, min_train: int, validation: int, embargo_ms: int, step: int | None = None, usual_ms: int = DAY) -> tuple[DataFrame, DataFrame]:
+    """The folds (symbol, fold_id, lo, hi, valid_start_ms, n_train) and their purged events (symbol, fold_id, idx, event_id).
+
+    Places ``lo`` to ``hi`` are validated; all places before ``lo`` train but the purged ones, whose labels end at or after the
+    block's start less the embargo. Only events near a block's start can be purged, so nothing grows with events times folds; ``usual_ms`` is near the usual time from start to free.
+    Folds with too few training events are left out, the others numbered in order.
+    """
     step = step or validation
     size = indexed.groupBy("symbol").agg(F.count("*").alias("n"))
     first = F.explode(F.when(F.col("n") > min_train, F.sequence(F.lit(min_train).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>")))
-    folds = size.select("symbol", "n", first.alias("lo")).withColumn("hi", F.least(F.col("lo") + validation, F.col("n")) - 1)
-    held = interval_join(folds, indexed.select("symbol", "idx", "event_id", "start_ms", "label_end_ms"), "lo", "hi", "idx", max(validation, 1))
-    bounds = held.groupBy("symbol", "lo", "hi").agg(F.min_by("start_ms", "idx").alias("valid_start_ms"), F.max("label_end_ms").alias("valid_end_ms"))
-    # events before a fold: an equi-join on the symbol with a range; the folds of a symbol are few
-    early = indexed.select("symbol", "idx", "event_id", "label_end_ms").join(bounds, "symbol").where((F.col("idx") < F.col("lo")) & (F.col("label_end_ms") < F.col("valid_start_ms") - embargo_ms))
-    kept = early.groupBy("symbol", "lo").agg(F.count("*").alias("n_train")).where(F.col("n_train") >= min_train)
-    kept = kept.withColumn("fold_id", F.row_number().over(Window.partitionBy("symbol").orderBy("lo")) - 1)
-    columns = ["symbol", "fold_id", "idx", "event_id", "role"]
-    train = early.join(kept, ["symbol", "lo"]).withColumn("role", F.lit("TRAIN")).select(*columns)
-    test = held.join(kept, ["symbol", "lo"]).withColumn("role", F.lit("VALIDATION")).select(*columns)
-    return train.unionByName(test)
+    blocks = size.select("symbol", "n", first.alias("lo")).withColumn("hi", F.least(F.col("lo") + validation, F.col("n")) - 1)
+    starts = indexed.select("symbol", F.col("idx").cast("long").alias("lo"), F.col("start_ms").alias("valid_start_ms"))
+    blocks = blocks.join(starts, ["symbol", "lo"]).select("symbol", "lo", "hi", "valid_start_ms")
+    # an event meets the blocks that start from its own start until its label and the embargo have ended
+    spans = indexed.select("symbol", "idx", "event_id", "start_ms", (F.col("label_end_ms") + embargo_ms).alias("free_ms"))
+    met = interval_join(spans, blocks.select("symbol", "lo", "valid_start_ms"), "start_ms", "free_ms", "valid_start_ms", usual_ms).where("idx < lo").select("symbol", "lo", "idx", "event_id")
+    lost = met.groupBy("symbol", "lo").agg(F.count("*").alias("purged"))
+    kept = blocks.join(lost, ["symbol", "lo"], "left").withColumn("n_train", F.col("lo") - F.coalesce("purged", F.lit(0))).where(F.col("n_train") >= min_train)
+    folds = kept.withColumn("fold_id", F.row_number().over(Window.partitionBy("symbol").orderBy("lo")) - 1).select("symbol", "fold_id", "lo", "hi", "valid_start_ms", "n_train")
+    return folds, met.join(folds.select("symbol", "lo", "fold_id"), ["symbol", "lo"]).select("symbol", "fold_id", "idx", "event_id")
+
+
+def walk_forward(indexed: DataFrame, min_train: int, validation: int, embargo_ms: int, step: int | None = None, roles: tuple[str, ...] = ("TRAIN", "VALIDATION")) -> DataFrame:
+    """Rows (symbol, fold_id, idx, event_id, role) of the folds of :func:`walk_forward_ranges`. Rows of TRAIN are as many as events times folds by their nature: leave the role out where ranges will do."""
+    folds, purged = walk_forward_ranges(indexed, min_train, validation, embargo_ms, step)
+    places = {"TRAIN": F.sequence(F.lit(0).cast("long"), F.col("lo") - 1), "VALIDATION": F.sequence(F.col("lo"), F.col("hi"))}
+    listed = [folds.select("symbol", "fold_id", F.explode(places[role]).alias("idx"), F.lit(role).alias("role")) for role in roles]
+    if "TRAIN" in roles:
+        listed[roles.index("TRAIN")] = listed[roles.index("TRAIN")].join(purged, ["symbol", "fold_id", "idx"], "left_anti")
+    rows = listed[0].unionByName(listed[1]) if len(listed) > 1 else listed[0]
+    return rows.join(indexed.select("symbol", F.col("idx").cast("long").alias("idx"), "event_id"), ["symbol", "idx"]).select("symbol", "fold_id", "idx", "event_id", "role")

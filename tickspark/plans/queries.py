@@ -299,7 +299,7 @@ def _fold_outcomes(spark, sf_dir) -> DataFrame:
     indexed = fx.indexed(spark, sf_dir)
     held = splits.final_holdout(indexed).select("symbol", "event_id")
     open_events = indexed.join(held, ["symbol", "event_id"], "left_anti")
-    folds = splits.walk_forward(open_events, fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO).where("role = 'VALIDATION'").select(F.col("event_id").alias("candidate_id"), "fold_id")
+    folds = splits.walk_forward(open_events, fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO, roles=("VALIDATION",)).select(F.col("event_id").alias("candidate_id"), "fold_id")
     return fx.outcomes(spark, sf_dir).join(folds, "candidate_id")
 
 
@@ -394,7 +394,7 @@ def robust_baseline(spark, sf_dir):
 
 @query
 def fold_baseline(spark, sf_dir):
-    folds = splits.walk_forward(fx.indexed(spark, sf_dir), fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO).where("role = 'TRAIN'").select("fold_id", F.col("event_id").alias("candidate_id"))
+    folds = splits.walk_forward(fx.indexed(spark, sf_dir), fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO, roles=("TRAIN",)).select("fold_id", F.col("event_id").alias("candidate_id"))
     rows = fx.ideas(spark, sf_dir).select("candidate_id", "symbol", "session", "past_median", "impulse").join(folds, "candidate_id")
     return stats.robust_baseline(rows.drop("candidate_id"), ["symbol", "fold_id", "session"], ["past_median", "impulse"]).select("symbol", "fold_id", "session", "feature", r("median"), r("mad"), "n")
 
@@ -507,7 +507,7 @@ def regime_filter(spark, sf_dir):
 
 @query
 def burst_intensity(spark, sf_dir):
-    return regime.burst_intensity(fx.ticks(spark, sf_dir), beta=0.002).select("symbol", "seq", *(r(c) for c in ("up", "down", "total", "directional", "surprise")))
+    return regime.burst_intensity(fx.ticks(spark, sf_dir), beta=0.002).select("symbol", "seq", *(r(c) for c in ("up", "down", "total", "directional")), r("surprise", None, 4))
 
 
 @query

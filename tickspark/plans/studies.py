@@ -40,7 +40,7 @@ def exit_ablation(all_bars: DataFrame, buckets: DataFrame, lookback: int, stride
     events = named.select(F.col("group").alias("symbol"), "event_id", F.col("available_ms").alias("start_ms"), (F.col("available_ms") + horizon * width).alias("label_end_ms"))
     indexed = splits.numbered(events)
     held = splits.final_holdout(indexed).select("symbol", "event_id")
-    folds = splits.walk_forward(indexed.join(held, ["symbol", "event_id"], "left_anti"), min_train, validation, embargo_ms).where("role = 'VALIDATION'").select("event_id", "fold_id")
+    folds = splits.walk_forward(indexed.join(held, ["symbol", "event_id"], "left_anti"), min_train, validation, embargo_ms, roles=("VALIDATION",)).select("event_id", "fold_id")
     chosen = named.join(folds, "event_id").withColumn("candidate_id", F.col("event_id"))
     facts = labels.bar_outcomes(chosen, base, buckets, horizon).join(chosen.select("candidate_id", "family", "fold_id"), "candidate_id")
     keys, order = ["family", "policy", "scenario"], ["exit_ms", "candidate_id"]
