@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -59,3 +60,60 @@ def test_sketches_decide_below_any_fixed_cut(spark):
     assert not any(r.base_failed for r in out.values())
     # the third repeats 8 of 60 words twice, as rates go 0.27
     assert {i for i, r in out.items() if not r.kept} == {300, 301, 302}
+
+
+def exact_cuts(rows, level):
+    """Cuts of each group of one level from exact quantiles: rank ceil(q n) of the sorted rates."""
+    groups = {}
+    for r in rows:
+        if r["n"] >= 20:
+            groups.setdefault((r["lang"] if level < 2 else None, r["source"] if level < 1 else None), []).append(r)
+    out = {}
+    for g, own in groups.items():
+        at = {}
+        for name, least in quality_rules.SPREADS.items():
+            xs = sorted(r[name] for r in own)
+            q1, q3, tail = (xs[max(0, math.ceil(q * len(xs)) - 1)] for q in (0.25, 0.75, quality_rules.TAIL))
+            at[name] = (q3 if q3 > q1 else tail) + quality_rules.FENCE * max(q3 - q1, least)
+        out[g] = (len(own), at)
+    return out
+
+
+def test_kept_equals_exact_quantiles(spark, sf_dir):
+    """Every verdict is that of exact quantiles, but for rates so near to a cut that the sketch's error of 1 % of the quartiles decides."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = []
+    for i, d in docs.items():
+        n, chars, symbols, dup, repeat, failed = brute(d.text)
+        lines = sum(bool(WORD.search(x)) for x in (d.text or "").split("\n"))
+        rows.append({"id": i, "lang": d.lang, "source": d.source, "n": n, "failed": failed, "symbol_rate": symbols / max(n, 1), "dup_line_rate": dup / max(lines, 1), "repeat_rate": repeat / max(n, 1), "mean_word": chars / max(n, 1)})
+    cuts = [exact_cuts(rows, k) for k in range(3)]
+    want = {}
+    for r in rows:
+        for k, key in enumerate(((r["lang"], r["source"]), (r["lang"], None), (None, None))):
+            size, at = cuts[k].get(key, (0, None))
+            if size >= quality_rules.MIN_ROWS or k == 2:
+                break
+        over = [r[name] - (at[name] if at else math.inf) for name in quality_rules.SPREADS]
+        slack = [0.08 * (at[name] if at else 0) for name in quality_rules.SPREADS]
+        want[r["id"]] = None if not r["failed"] and any(abs(x) <= s for x, s in zip(over, slack)) else not r["failed"] and not any(x > 0 for x in over)
+    got = {r.doc_id: r.kept for r in queries.op9_quality_rules(spark, sf_dir).collect()}
+    assert {i: w for i, w in want.items() if w is not None} == {i: got[i] for i, w in want.items() if w is not None}
+    assert sum(w is None for w in want.values()) < 0.1 * len(want)
+
+
+def test_reruns_agree_over_any_partitions(spark):
+    """Far more rows in a group than any sketch keeps one by one, dealt in two ways."""
+    from pyspark.sql import functions as F
+
+    x = F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("long")
+    base = spark.range(60_000).select(F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(100).cast("long").alias("n_words"), (F.lit(300) + x % 401).alias("word_chars"), (x % 7).alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(5).cast("long").alias("n_lines"), (x % 30).alias("n_repeat_words"))
+    one, two = (quality_rules.thresholds(base.repartition(k)).collect() for k in (1, 7))
+    assert one == two and one[0]["__wide"].mean_word and one[0]["__wide"].repeat_rate
+
+
+def test_long_and_repeated_texts(spark):
+    rows = [(1, "word " * 200_000, "en", "a", 1), (1, "word " * 200_000, "en", "a", 1), (2, " ".join(f"w{i}" for i in range(150_000)), "en", "a", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int")
+    out = sorted((r.doc_id, r.n_words, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(quality_rules.with_measures(df)).collect())
+    assert out == [(1, 200_000, 200_000, True), (1, 200_000, 200_000, True), (2, 150_000, 0, False)]
