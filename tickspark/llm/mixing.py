@@ -11,6 +11,9 @@ of that source's documents, laid end to end in a shuffled order and repeated
 where the target exceeds the source; the last block is cut at the target.
 Slots beyond a source's need are left out, and the few that the points fall
 short of come last, so each source gives exactly its target, rounded to words.
+What the mix is, then, is an order: read slot by slot, it holds every source near
+its share after any number of slots. ``mix_documents`` says for each document
+where it first stands in that order and in how many pieces it does.
 
 Nothing here depends on a group fitting into a task: running sums and ranks
 are taken within ranges whose number follows the input, then shifted by the
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from ._common import buckets_for, materialize, words_of
 
 WEIGHTS, SHARE, CAP, BLOCK = (5, 2, 1), 1.5, 2.0, 2048
-_GOLDEN, _RING, _SLOT_RANGE = 2654435769, 1 << 32, 4096
+_GOLDEN, _RING, _SLOT_RANGE = 2654435769, 1 << 32, 1024
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,59 +95,77 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int = BLOCK) -> Dat
     dealt = ranked.select("slot", "sid", (F.col("k") + F.col("shift")).alias("k")).join(need.select("sid", "need"), "sid").where("k < need").select("slot", "sid", "k")
     got = counts.groupBy("sid").agg(F.sum("c").alias("got"))
     short = need.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    late = short.select((F.lit(n) + F.col("sid")).alias("slot"), "sid", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("k"))
+    # the points fall short by a number that grows with the logarithm of the slots: a few rows, dealt in turns after all others
+    late = short.select("sid", "got", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("k"))
+    late = late.select((F.lit(n) + F.row_number().over(Window.orderBy(F.col("k") - F.col("got"), "sid")) - 1).alias("slot"), "sid", "k")
     return dealt.unionByName(late)
 
 
+def laid_copies(placed: DataFrame) -> DataFrame:
+    """Rows (..., copy, a, b): each copy of a document that the mix takes words from, and its words' places ``a`` to ``b`` in the source's row of words. Documents without words have none."""
+    whole = placed.where("size > 0 AND words > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / F.col("source_size")).cast("int"))))
+    return whole.withColumn("a", F.col("start") + F.col("copy") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words"))).where("a < b")
+
+
 def mix(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as rows (slot, sid, start, doc_id, from_word, to_word): which words of which document fill a slot.
+    """The mix as rows (slot, sid, start, copy, doc_id, from_word, to_word): which words of which copy of which document fill a slot.
 
-    ``placed`` comes from :func:`lay_out`. Documents without words fill nothing.
+    ``placed`` comes from :func:`lay_out`.
     """
-    whole = placed.where("size > 0 AND words > 0").select("sid", "start", "doc_id", "size", "source_size", "words")
-    rounds = whole.withColumn("shift", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / F.col("source_size")).cast("int")), lambda e: e * F.col("source_size"))))
-    inside = rounds.withColumn("a", F.col("start") + F.col("shift")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("words"))).where("a < b")
+    inside = laid_copies(placed.select("sid", "start", "doc_id", "size", "source_size", "words"))
     cut = inside.withColumn("k", F.explode(F.sequence(F.floor(F.col("a") / block).cast("long"), F.floor((F.col("b") - 1) / block).cast("long"))))
     joined = cut.join(slots, ["sid", "k"])
     first = F.greatest(F.col("a"), F.col("k") * block)
     last = F.least(F.col("b"), (F.col("k") + 1) * block)
-    return joined.select("slot", "sid", "start", "doc_id", (first - F.col("a")).alias("from_word"), (last - F.col("a")).alias("to_word"))
+    return joined.select("slot", "sid", "start", "copy", "doc_id", (first - F.col("a")).alias("from_word"), (last - F.col("a")).alias("to_word"))
 
 
 def taken_words(placed: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Add ``taken``, the words that the mix takes from each document, repeats counted."""
-    taken = mixed.groupBy("sid", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("__taken"))
+    """Add what the mix has of each document: ``taken``, its words, repeats counted, ``first_slot``, the slot where it begins (null: nowhere), and ``pieces``, how many stretches of it stand in slots."""
+    per = mixed.groupBy("sid", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("__taken"), F.min_by("slot", F.struct("copy", "from_word")).alias("__first"), F.count("*").alias("__pieces"))
     # documents without words share a start with the next one but take nothing
     same = (F.col("sid") == F.col("__sid")) & (F.col("start") == F.col("__start")) & (F.col("size") > 0)
-    right = taken.select(F.col("sid").alias("__sid"), F.col("start").alias("__start"), "__taken")
-    return placed.join(right, same, "left").withColumn("taken", F.coalesce("__taken", F.lit(0)).cast("long")).drop("__sid", "__start", "__taken")
+    right = per.withColumnsRenamed({"sid": "__sid", "start": "__start"})
+    counted = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return placed.join(right, same, "left").withColumns({"taken": counted("__taken"), "first_slot": F.col("__first"), "pieces": counted("__pieces")}).drop("__sid", "__start", "__taken", "__first", "__pieces")
 
 
 def mix_documents(sized: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """``sized`` (a written table with doc_id, source, size and maybe more) with ``source_size``, ``target`` and ``taken``."""
+    """``sized`` (a written table with doc_id, source, size and maybe more) with ``source_size``, ``target``, ``taken``, ``first_slot`` and ``pieces``."""
     spark = sized.sparkSession
     targets = materialize(source_targets(sized), "mix-targets")
     placed = materialize(lay_out(sized, targets, seed), "mix-places")
     return taken_words(placed, mix(placed, schedule(spark, targets, block), block))
 
 
-def copies(taken: Column, size: Column) -> Column:
-    """How many whole copies of a document a corpus of documents takes: parts of a document round up from a half."""
-    return F.when(size > 0, F.round(taken / F.greatest(size, F.lit(1)))).otherwise(0).cast("int")
+def copy_slots(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (name, start, slot, offset) of the whole copies that a mix of whole documents has: those of which it takes half the words or more, at the slot where they begin."""
+    begun = laid_copies(placed).where(2 * (F.col("b") - F.col("a")) >= F.col("size")).withColumn("k", F.floor(F.col("a") / block).cast("long"))
+    return begun.join(slots, ["sid", "k"]).select("name", "start", "slot", (F.col("a") - F.col("k") * block).alias("offset"))
 
 
 def repeat_documents(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, in whole copies. Rows alike in id, source and text get the same number, rounded from their mean."""
-    name = F.xxhash64("doc_id", "source", text)
-    sized = materialize(measure(docs.select("doc_id", "source", text, name.alias("__name")), text).drop(text), "mix-sizes")
-    taken = mix_documents(sized, block, seed).groupBy("__name").agg(F.round(F.avg(copies(F.col("taken"), F.col("size")))).cast("int").alias("__copies"))
-    rows = docs.withColumn("__name", name).join(taken.where("__copies > 0"), "__name")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """``docs`` with every row as often as the mix takes it, in whole copies, laid out in the order of their slots: file by file and row by row, each source stays near its share.
+
+    Rows alike in id, source and text are told apart by their number among them, so each gets its own copies. Working columns begin with ``__mix``.
+    """
+    own = F.xxhash64("doc_id", "source", text)
+    sized = materialize(measure(docs.select("doc_id", "source", text, own.alias("name")), text).drop(text), "mix-sizes")
+    targets = materialize(source_targets(sized), "mix-targets")
+    placed = materialize(lay_out(sized, targets, seed), "mix-places")
+    numbered = placed.withColumn("twin", F.row_number().over(Window.partitionBy("name").orderBy("start", "size"))).select("name", "start", "twin", "sid", "size", "source_size", "words")
+    copies = copy_slots(numbered, schedule(docs.sparkSession, targets, block), block)
+    copies = copies.join(numbered.where("size > 0").select("name", "start", "twin"), ["name", "start"]).select(F.col("name").alias("__mix_name"), F.col("twin").alias("__mix_at"), "slot", "offset")
+    copies = materialize(copies.select("__mix_name", "__mix_at", F.col("slot").alias("__mix_slot"), F.col("offset").alias("__mix_offset")), "mix-copies")
+    rows = docs.withColumn("__mix_key", own).withColumn("__mix_twin", F.row_number().over(Window.partitionBy("__mix_key").orderBy(F.xxhash64(*docs.columns))))
+    # twins are matched beside the join's key: as part of it they would make the texts move once more
+    met = rows.join(copies, F.col("__mix_key") == F.col("__mix_name")).where(F.col("__mix_twin").between(F.col("__mix_at"), F.col("__mix_at")))
+    return met.repartitionByRange("__mix_slot", "__mix_offset").sortWithinPartitions("__mix_slot", "__mix_offset").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source
 ), w AS (
@@ -158,14 +179,31 @@ WITH d AS (
 ), l AS (
   SELECT arg_min(level, ratio) FILTER (level <= ratio) AS level FROM f
 ), t AS (
-  SELECT f.source, f.source_size, least(f.most, coalesce(l.level * f.weight, f.most)) AS target FROM f, l
+  SELECT f.source, f.sid, f.source_size, least(f.most, coalesce(l.level * f.weight, f.most)) AS target FROM f, l
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+  SELECT d.rid, d.doc_id, d.size, t.sid, t.source_size, t.target, round(t.target)::BIGINT AS words,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(d.doc_id::VARCHAR, '-')), d.doc_id, d.size
       ROWS UNBOUNDED PRECEDING)::BIGINT AS e
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), need AS (
+  SELECT sid, ceil(round(target) / 2048)::BIGINT AS need, sum(ceil(round(target) / 2048)::BIGINT) OVER (ORDER BY sid)::BIGINT AS hi FROM t WHERE round(target) > 0
+), points AS (
+  SELECT slot, n, ((slot % 2147483648) * 2654435769 % 4294967296)::DOUBLE / 4294967296::DOUBLE * n AS point FROM (SELECT n, unnest(range(n)) AS slot FROM (SELECT sum(need)::BIGINT AS n FROM need))
+), hits AS (
+  SELECT slot, sid, need, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM points JOIN need ON hi - need <= point AND point < hi
+), short AS (
+  SELECT need.sid, need.need, coalesce(got, 0) AS got FROM need LEFT JOIN (SELECT sid, count(*) AS got FROM hits GROUP BY sid) USING (sid)
+), late AS (
+  SELECT sid, got, unnest(range(got, need)) AS k FROM short WHERE got < need
+), slots AS (
+  SELECT slot, sid, k FROM hits WHERE k < need
+  UNION ALL SELECT (SELECT sum(need) FROM need)::BIGINT + row_number() OVER (ORDER BY k - got, sid) - 1, sid, k FROM late
+), laid AS (
+  SELECT rid, sid, size, copy, a, least(a + size, words) AS b FROM (SELECT *, e - size + copy * source_size AS a FROM p, (VALUES (0), (1)) v(copy)) WHERE size > 0 AND a < words
+), pieces AS (
+  SELECT rid, copy, greatest(a, k * 2048) AS lo, least(b, (k + 1) * 2048) AS hi, sid, k FROM (SELECT *, unnest(range(a // 2048, (b - 1) // 2048 + 1)) AS k FROM laid)
+), per AS (
+  SELECT rid, sum(hi - lo)::BIGINT AS taken, arg_min(slot, (copy, lo)) AS first_slot, count(*) AS pieces FROM pieces JOIN slots USING (sid, k) GROUP BY rid
 )
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-  (greatest(0, least(words, e) - (e - size)) + greatest(0, least(words, source_size + e) - (source_size + e - size)))::BIGINT AS taken
-FROM p
+SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken, first_slot, coalesce(pieces, 0) AS pieces FROM p LEFT JOIN per USING (rid)
 """

@@ -41,7 +41,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(mixing.measure(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text"), "op6-sizes")
-    return mixing.mix_documents(sized).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.mix_documents(sized).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot", "pieces")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
