@@ -42,9 +42,7 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert result(queries.op1_embedding_dedup(spark, sf_dir)) == brute(rows)
 
 
-def test_trees_find_every_link(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 60)
-    monkeypatch.setattr(embedding_dedup, "LEAF", 8)
+def test_trees_find_every_link(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(250, 8))
     near = base[rng.integers(0, 60, 300)] + 0.08 * rng.normal(size=(300, 8))
@@ -52,7 +50,7 @@ def test_trees_find_every_link(spark, monkeypatch):
     x = np.concatenate([base, near, dense, base[:40], 3.0 * base[5:9]])
     rows = [(int(i), [float(c) for c in v], int(i) % 3 if i % 7 else 1) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    assert result(embedding_dedup.near_duplicates(df)) == brute(rows)
+    assert result(embedding_dedup.near_duplicates(df, block_rows=60, leaf=8)) == brute(rows)
 
 
 def test_unusable_rows(spark):
@@ -63,3 +61,27 @@ def test_unusable_rows(spark):
     assert got == brute(rows)
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
     assert result(embedding_dedup.near_duplicates(df.where("vec_id is null").unionByName(df.where("vec_id = 6").withColumn("vec_id", df.vec_id * 0 + None).selectExpr("cast(null as long) vec_id", "embedding", "label", "n_links")))) == {None: (0, None, False)}
+
+
+def test_rows_with_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (1, [0.0, 1.0], 2), (3, [0.01, 1.0], 2), (4, [0.02, 1.0], 2), (5, [1.0, 0.0], 3), (5, [1.0, 0.0], 3)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect()) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (5, 1, 5)]
+
+
+def test_a_tie_at_the_threshold_links(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [3.0, 4.0], 1), (3, [2.9999, 4.0], 1)]
+    got = result(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.6))
+    assert got[1][0] == 1 and got[2][0] == 2 and got[3][0] == 1
+
+
+def test_shape_of_a_tree_survives_packing():
+    points = embedding_dedup.unit(np.random.default_rng(1).normal(size=(500, 6)))
+    tree = embedding_dedup.CoverTree(points, leaf=8)
+    again = embedding_dedup.CoverTree.unpack(tree.points, tree.pack())
+    assert all((getattr(tree, f) == getattr(again, f)).all() for f in tree.FIELDS) and sorted(tree.order) == list(range(500))
+    for node in range(len(tree.lo)):  # covering radii hold, children part their parent
+        own = tree.points[tree.lo[node] : tree.hi[node]]
+        assert np.linalg.norm(own - own[0], axis=1).max() <= tree.radius[node] + 1e-9
+        kids = range(tree.first[node], tree.first[node] + tree.count[node])
+        assert not kids or [tree.lo[k] for k in kids] + [tree.hi[kids[-1]]] == [tree.lo[node], *(tree.hi[k] for k in kids)]

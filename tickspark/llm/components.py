@@ -41,3 +41,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if was == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def named_components(nodes: DataFrame, least: str, parts: int = 16) -> DataFrame:
+    """``nodes`` (a written table with ``root``, null for a node without links, and an id column ``least``) with ``component_id``, the least id of the component.
+
+    A component may hold a third of all nodes, so its rows are dealt to ``parts`` parts, each of which gets the component's name.
+    """
+    linked, alone = nodes.where("root IS NOT NULL"), nodes.where("root IS NULL")
+    names = linked.groupBy("root").agg(F.min(least).alias("component_id")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = linked.withColumn("__part", F.pmod(F.xxhash64(*[c for c in nodes.columns if c != "root"]), F.lit(parts)).cast("int"))
+    return dealt.join(names, ["root", "__part"]).drop("__part").unionByName(alone.withColumn("component_id", F.col(least)))

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}

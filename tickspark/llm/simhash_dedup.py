@@ -19,7 +19,9 @@ Defined results: a null or blank text has fingerprint zero, which links like any
 other; a null ``doc_id`` is never the component's name while another id is there.
 
 On fingerprints that lie at random the bound keeps 87 of 100 shards per level
-at radius 4, so the search costs about n**1.8; no metric tree does better there.
+at radius 4, so the search costs about n**1.8; no metric tree does better there. The tree
+is ``MAX_DEPTH`` levels deep at most, enough for 500 million distinct fingerprints in shards of
+``SHARD_ROWS``; beyond, shards are larger and their blocks more, with the same results.
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ._common import materialize, text_or_empty
-from .components import connected_components
+from .components import connected_components, named_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Members aimed at per shard, fingerprints in a block, and sampled fingerprints per shard of the tree (at most ``SAMPLE``).
-SHARD_ROWS, BLOCK_ROWS, SAMPLE_PER_SHARD, SAMPLE = 8192, 16384, 24, 100_000
+#: Members aimed at per shard, fingerprints in a block, most levels of the tree and sampled fingerprints per shard: the sample is at most 524,288 fingerprints, 4 MB.
+SHARD_ROWS, BLOCK_ROWS, MAX_DEPTH, SAMPLE_PER_SHARD = 8192, 16384, 16, 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -159,11 +161,10 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     spark = nodes.sparkSession
     n = nodes.count()
-    depth = max(1, min(12, int(np.ceil(np.log2(max(n, 1) / SHARD_ROWS))))) if n > SHARD_ROWS else 0
+    depth = max(1, min(MAX_DEPTH, int(np.ceil(np.log2(n / SHARD_ROWS))))) if n > SHARD_ROWS else 0
     # a bounded sample, by a hash order that no run changes
-    size = min(SAMPLE, SAMPLE_PER_SHARD << depth)
-    sample = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(size).collect()]
-    tree = spark.sparkContext.broadcast(VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), depth))
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(max(64, SAMPLE_PER_SHARD << depth)).toPandas()["fp"]
+    tree = spark.sparkContext.broadcast(VantageTree(sample.to_numpy(np.int64).view(np.uint64), depth))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,10 +199,8 @@ def component_ids(fingerprinted: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (fp, root, component_id) for every fingerprint of a written table with ``doc_id`` and ``fp``; ``root`` is the least fingerprint and the id the least ``doc_id`` that links reach."""
     nodes = materialize(fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     found = connected_components(fingerprint_links(nodes, radius), "simhash-components")
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(named, "simhash-named")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(names, "root").select("fp", "root", "component_id")
+    named = materialize(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left"), "simhash-named")
+    return named_components(named, "least").select("fp", F.coalesce("root", "fp").alias("root"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
