@@ -85,3 +85,14 @@ def test_shape_of_a_tree_survives_packing():
         assert np.linalg.norm(own - own[0], axis=1).max() <= tree.radius[node] + 1e-9
         kids = range(tree.first[node], tree.first[node] + tree.count[node])
         assert not kids or [tree.lo[k] for k in kids] + [tree.hi[kids[-1]]] == [tree.lo[node], *(tree.hi[k] for k in kids)]
+
+
+def test_cells_get_about_a_block_each():
+    """Also of vectors that all lie far from one another, where a net's level has a ball for every point."""
+    points = embedding_dedup.unit(np.random.default_rng(2).normal(size=(4000, 48)))
+    tree = embedding_dedup.CoverTree(points[:1000], leaf=16)
+    cells, far = tree.descend(points, np.full(4000, 4000), 500)
+    assert 4 <= len(set(cells)) <= 16 and (np.linalg.norm(points - tree.points[tree.lo[cells]], axis=1) <= far + 1e-9).all()
+    near = embedding_dedup.unit(points[:20].repeat(200, axis=0) + 0.02 * points)
+    cells, _ = embedding_dedup.CoverTree(near[::4], leaf=16).descend(near, np.full(4000, 4000), 500)
+    assert 8 <= len(set(cells)) <= 40

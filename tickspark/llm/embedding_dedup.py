@@ -5,7 +5,7 @@ on unit vectors is a distance of at most ``sqrt(2 - 2 * threshold)``.
 
 Equal vectors of a label are one node. A cover tree over a bounded sample gives the
 upper levels: nested nets of halving radii. Each node walks down it, level by
-level to the nearest child, until the tree's node holds about a block's worth of its label;
+level to the nearest child, until the tree's node gets about a block's worth of its label;
 that is its cell, whose covering radius is measured. A cell that the sample can't part further
 is cut into blocks at random. Pairs of blocks whose cells the radii keep apart are pruned before
 any vector moves. Every block gets its own cover tree once (levels with halving radii,
@@ -121,17 +121,24 @@ class CoverTree:
         return tree
 
     def descend(self, vectors: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each vector of a label with so many ``rows``, the first node on its way down that stands for at most ``most`` of them, and the distance to its centre."""
+        """For each vector of a label with so many ``rows``, a node on its way down that gets about ``most`` of them, and the distance to its centre.
+
+        Where a level has more children than blocks are wanted (far vectors in many dimensions are each other's neighbours), only
+        the first ones of its net take part, and the way ends there.
+        """
         cell, share = np.zeros(len(vectors), np.int64), (self.hi - self.lo) / len(self.points)
         todo = [(0, np.arange(len(vectors)))]
         while todo:
             node, own = todo.pop()
             cell[own] = node
-            on = own[share[node] * rows[own] > most] if self.count[node] else own[:0]
-            if len(on):
-                kids = self.first[node] + np.arange(self.count[node])
+            wanted = np.ceil(share[node] * rows[own] / most).astype(np.int64)
+            for m in np.unique(wanted[wanted > 1]) if self.count[node] else ():
+                on = own[wanted == m]
+                kids = self.first[node] + np.arange(min(m, self.count[node]))
                 nearest = (vectors[on] @ self.points[self.lo[kids]].T).argmax(axis=1)
-                todo += [(int(kids[k]), on[nearest == k]) for k in np.unique(nearest)]
+                cell[on] = kids[nearest]
+                if m > self.count[node]:
+                    todo += [(int(kids[k]), on[nearest == k]) for k in np.unique(nearest)]
         dots = np.einsum("ij,ij->i", vectors, self.points[self.lo[cell]])
         return cell, np.sqrt(np.maximum(0, 2 - 2 * dots))
 
