@@ -58,3 +58,16 @@ def test_cache_keeps_no_long_chunk_and_few_bytes(monkeypatch):
             assert ids.tolist() == LIB.encode(text)
         assert max(map(len, codec.chunks)) <= sentencepiece_codec.CACHE_LENGTH
         assert len(codec.chunks) <= 400
+
+
+def test_other_kinds_of_models_are_refused(tmp_path):
+    sentencepiece_codec.check_model(PATH)
+    trainer = lambda kind: b"\x12\x02\x18" + bytes([kind])  # noqa: E731  field 2 with field 3
+    normaliser = lambda name, *flags: b"\x1a" + bytes([2 + len(name) + len(flags)]) + b"\x0a" + bytes([len(name)]) + name + bytes(flags)
+    plain = normaliser(b"identity", 0x18, 1, 0x20, 0)
+    for model, fault in ((trainer(1) + plain, "byte pairs"), (trainer(2) + normaliser(b"nmt_nfkc", 0x18, 1, 0x20, 0), "normalises"), (trainer(2) + normaliser(b"identity", 0x18, 1, 0x20, 1), "white space"), (trainer(2) + normaliser(b"identity", 0x18, 0, 0x20, 0), "white space")):
+        (tmp_path / "m.model").write_bytes(model)
+        with pytest.raises(ValueError, match=fault):
+            sentencepiece_codec.check_model(str(tmp_path / "m.model"))
+    (tmp_path / "m.model").write_bytes(trainer(2) + plain)
+    sentencepiece_codec.check_model(str(tmp_path / "m.model"))

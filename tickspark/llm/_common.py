@@ -14,10 +14,12 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see; a local one is made only where the cluster names none."""
+    """Folder that the driver and all executors see. A local master needs none and gets one; a cluster has to name one."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -30,6 +32,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table of :func:`materialize` that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

@@ -16,12 +16,13 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int = LABELLED_ROWS) -> DataFrame:
-    """Rows (text, y) of the bounded sample. The ids and labels are few by ``rows``, so they go to the documents and no text is shuffled."""
+    """Rows (text, y) of the bounded sample, ``rows`` at most. The ids and labels are few by that bound, so they go to the documents; of documents that share an id one is learned from, the one of least hash."""
     own = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "__id")
     known = docs.sparkSession.createDataFrame([tuple(r) for r in sample.collect()], sample.schema)
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select(F.col("text").cast("string").alias("text"), "y")
+    own = docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("__id", F.col("text").cast("string").alias("text"), "y")
+    return own.groupBy("__id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y")).drop("__id")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float, weight: np.ndarray | None = None, intercept: bool = True, rounds: int = 40) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -36,8 +36,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     now = materialize(now, name)
     mark = _mark(now)
     while mark[0]:
-        now = materialize(_small_star(_large_star(now)), name)
+        before, now = now, materialize(_small_star(_large_star(now)), name)
         was, mark = mark, _mark(now)
+        discard(before)  # the next round is written down whole
         if was == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

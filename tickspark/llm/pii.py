@@ -17,13 +17,14 @@ The terms are never gathered on the driver: a bitmap of fixed size lets the
 tasks skip words that can't be candidates, and joins decide.
 
 Defined results: a null text counts as empty and has no spans; rows that share
-an id or a text are judged alike; an empty table gives an empty result.
+an id or a text are judged alike; an empty table gives an empty result. ``sanitise`` adds
+working columns named ``__key`` and ``__found``, which an input must not have.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -40,7 +41,6 @@ from ._common import materialize, text_or_empty
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH, MIN_CONTEXTS, GENERALISE, REMOVE, MIN_TERM = 6, 3, 0.8, 0.97, 4
 BITMAP_BITS = 1 << 22
-_SPAN_CHARS = 200  # characters read on either side of a span for its ``REACH`` words
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -112,9 +112,11 @@ class Outside:
 
 def contexts(text: str, spans: list[Span]) -> Iterator[tuple[int, int, set[str]]]:
     """For each span: its entity, a hash of its surroundings, and the terms in them."""
-    outside = Outside(text, spans)
+    free = Outside(text, spans).words(0, len(text))
+    starts, ends = [a for a, _, _ in free], [b for _, b, _ in free]
     for kind, a, b in spans:
-        words = [w for _, _, w in outside.words(max(0, a - _SPAN_CHARS), a)[-REACH:] + outside.words(b, b + _SPAN_CHARS)[:REACH]]
+        left, right = bisect_right(ends, a), bisect_left(starts, b)  # whole words, however far away
+        words = [w for _, _, w in free[max(0, left - REACH) : left] + free[right : right + REACH]]
         yield entity(kind, text[a:b]), xxhash.xxh64_intdigest(" ".join(words).encode()) - (1 << 63), {w for w in words if len(w) >= MIN_TERM}
 
 

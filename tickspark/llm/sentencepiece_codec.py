@@ -44,12 +44,49 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _LANE = 4  # 16-bit symbols in a 64-bit key
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield number, message[at : at + size]
+        at += size
+
+
+def check_model(path: str) -> None:
+    """Refuse a model that this operator would cut otherwise than the library: other than byte pairs, or with a normaliser that changes the text."""
+    with open(path, "rb") as file:
+        parts = dict(f for f in _fields(file.read()) if f[0] in (2, 3))
+    trainer, normaliser = (dict(_fields(parts.get(k, b""))) for k in (2, 3))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("not a model of byte pairs")
+    if normaliser.get(1) != b"identity" or normaliser.get(2, b""):
+        raise ValueError("the model normalises its texts")
+    if not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        raise ValueError("the model treats white space in another way")
+
+
 class PieceModel:
     """The vocabulary as arrays. Pieces are numbered by rank: the earlier merged, the lower."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        check_model(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         piece_text = [sp.id_to_piece(i) for i in range(size)]
