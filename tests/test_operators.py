@@ -1,11 +1,14 @@
 """Small cases with values worked out by hand."""
 
+import json
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickspark.functions import clock, costs, prices
 from tickspark.operators import bars, candidates, context, labels, model, quality, regime, sequence, splits, stats
-from tickspark.plans.studies import arms
+from tickspark.plans.studies import arms, exit_ablation, failure_diagnostics, registry
 from tickspark.schemas import CALENDAR, COST, DAY, HOUR, TICK
 
 MONDAY = 1_704_067_200_000  # 1 January 2024
@@ -324,5 +327,83 @@ def test_no_look_ahead(spark, sf_dir):
     assert whole.items() <= early.items()
 
 
+def test_ablation_study(spark, sf_dir):
+    from tickspark.plans import fixture as fx
+
+    facts, metrics = exit_ablation(fx.all_bars(spark, sf_dir), fx.cost_buckets(spark), 12, 3, 6, HOUR, 2, 2, 0, samples=10)
+    facts = facts.persist()
+    per = facts.groupBy("candidate_id").count().collect()
+    assert per and {r["count"] for r in per} == {20}  # four policies by five scenarios
+    assert metrics.where("scenario = 'BASELINE_2X'").count() == facts.select("family", "policy").distinct().count()
+    slices, correlations = failure_diagnostics(facts, candidates.families(fx.ideas(spark, sf_dir)).withColumn("candidate_id", F.col("family_candidate_id")))
+    assert {r.dimension for r in slices.collect()} == {"direction", "session", "regime", "hour", "weekday"} and correlations.columns[-1] == "correlation"
+    assert registry(metrics, json.dumps({"a": 1})).count() == facts.select("family").distinct().count() and arms(spark).count() == 16
+
+
 def test_arms(spark):
-    assert arms(spark).count() == 16
+    rows = {r.arm: (r.kind, r.parts) for r in arms(spark).collect()}
+    assert rows["C_STRUCTURE_LIQUIDITY"] == ("EXIT", ["STRUCTURE_TARGET"]) and rows["BASELINE"] == ("MODULE", []) and rows["FULL"] == ("MODULE", ["TICK", "TIME", "REGIME"])
+    modules = [sorted(parts) for kind, parts in rows.values() if kind == "MODULE"]
+    assert len(modules) == 11 and sum(len(m) == 1 for m in modules) == 3 and sum(len(m) == 2 for m in modules) == 6
+
+
+def test_fingerprint_is_of_the_set_of_rows(spark):
+    rows = [(f"c{i}", i % 3) for i in range(50)]
+    one = lambda rows, parts: {r.k: tuple(v for c, v in r.asDict().items() if c != "k") for r in candidates.fingerprint(spark.createDataFrame(rows, "id string, k int").repartition(parts), ["id"], ["k"]).collect()}
+    whole = one(rows, 1)
+    assert whole == one(rows[::-1], 5) and len(whole) == 3
+    changed = one([*rows[:-1], ("c49x", rows[-1][1])], 2)
+    assert {k for k in whole if whole[k] != changed[k]} == {rows[-1][1]}
+    assert one(rows + rows[:1], 1)[0] != whole[0]  # repeats count
+
+
+def test_meta_label_is_the_penalised_optimum(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 2)) * (1.0, 30.0) + (0.0, 7.0)
+    y = (rng.random(900) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.02 * x[:, 1])))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "i int, a double, b double, y int")
+    out = sorted(model.meta_label(df.where("i < 500"), df.where("i >= 500 AND i < 800"), df.where("i >= 800"), ["a", "b"], min_rows=800).collect())
+    middle = np.median(x[:500], axis=0)
+    z = (x - middle) / (1.4826 * np.median(np.abs(x[:500] - middle), axis=0))
+    w = np.zeros(3)
+    for _ in range(50):  # Newton's method on the mean loss with half of 0.01 times the squared weights
+        full = np.hstack([z[:500], np.ones((500, 1))])
+        p = 1 / (1 + np.exp(-full @ w))
+        penalty = np.diag([0.01, 0.01, 0.0])
+        w -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full / 500 + penalty, full.T @ (p - y[:500]) / 500 + penalty @ w)
+    p = 1 / (1 + np.exp(-np.hstack([z, np.ones((900, 1))]) @ w))
+    assert max(abs(r.p - q) for r, q in zip(out, p[800:])) < 1e-3
+    wrong = np.sort(1 - np.where(y[500:800] == 1, p[500:800], 1 - p[500:800]))
+    threshold = wrong[int(299 * 0.9 + 0.999999)]
+    assert all(r.labels == [k for k, q in ((0, r.p), (1, 1 - r.p)) if q <= threshold] for r in out if min(abs(r.p - threshold), abs(1 - r.p - threshold)) > 2e-3)
+    assert all(r.abstain == (len(r.labels) != 1) for r in out)
+
+
+def test_expanding_median_and_deviation():
+    rng = np.random.default_rng(6)
+    for values in (rng.normal(size=60), np.repeat([1.0, 2.0, 2.0, 5.0], 7), np.zeros(9), rng.integers(0, 4, 50).astype(float)):
+        seen = regime.Expanding()
+        for i, v in enumerate(values.tolist(), 1):
+            seen.add(v)
+            middle = float(np.median(values[:i]))
+            assert seen.median() == middle and abs(seen.deviation(middle) - np.median(np.abs(values[:i] - middle))) < 1e-12
+
+
+def test_percentiles_by_counts_equal_plain_ones(spark):
+    rng = np.random.default_rng(7)
+    values = {"a": rng.integers(0, 5, 101).astype(float), "b": rng.normal(size=8), "c": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, own in values.items() for v in own] + [("a", None), ("d", None)], "k string, v double")
+    shares = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in quality.exact_percentiles(df, ["k"], "v", shares).collect()}
+    assert got.keys() == values.keys()
+    assert all(abs(got[k][name] - np.percentile(own, 100 * q)) < 1e-12 for k, own in values.items() for name, q in shares.items())
+
+
+def test_empty_feeds_and_quarantine(spark):
+    q = {r.symbol: r for r in quality.feed_quality(quotes(spark, (0, 1, 1.0001)), expected=spark.createDataFrame([("S",), ("GONE",)], "symbol string")).collect()}
+    assert q["GONE"].hard_failures == ["EMPTY"] and not q["GONE"].valid and q["GONE"].tick_count == 0 and q["S"].valid
+    rows = [("S", 1, *[1.0] * 6, 0.0), ("S", 2, *[-1.0] * 6, 0.0), ("S", 3, 1.0, None, *[1.0] * 4, 2.0), ("S", 4, float("nan"), *[1.0] * 5, 0.0)]
+    obs = spark.createDataFrame(rows, "symbol string, ts_ms long, " + ", ".join(f"{c} double" for c in regime.OBSERVATION) + ", missing_ratio double")
+    sound, others = regime.quarantine(obs)
+    assert [r.ts_ms for r in sound.collect()] == [1] and sound.columns == obs.columns
+    assert {r.ts_ms: len(r.faults) for r in others.collect()} == {2: 6, 3: 2, 4: 1}

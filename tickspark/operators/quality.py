@@ -1,6 +1,6 @@
 """Feed quality and history audit: anomalies are counted and flagged, never repaired."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, prices
@@ -14,8 +14,29 @@ def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 
 
-def feed_quality(ticks: DataFrame, keys: list[str] = ["symbol"], expected_interval: int | None = None, gap_threshold: int | None = None, pip: float = PIP, chunk: int = CHUNK) -> DataFrame:
-    """One row per key: order, equal times, repeats, crossed and non-positive quotes, gaps, inferred missing share, spreads of valid quotes, and the hard failures that make a feed unusable."""
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """One row per key with named percentiles, by linear interpolation.
+
+    Equal values are counted before they are shuffled together and ranks come from running counts, so no task holds a busy key's values.
+    """
+    whole = Window.partitionBy(*keys)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    ranked = counted.withColumn("__to", F.sum("__n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    size = ranked.groupBy(*keys).agg(F.max("__to").alias("__size"))
+    placed = ranked.join(size, keys)
+    # the value at place k (from 0) is the least with k + 1 or more values up to it
+    at = lambda k: F.min(F.when(F.col("__to") > k, F.col(value)))
+    out = []
+    for name, q in shares.items():
+        place = (F.col("__size") - 1) * F.lit(q)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
+def feed_quality(ticks: DataFrame, keys: list[str] = ["symbol"], expected_interval: int | None = None, gap_threshold: int | None = None, pip: float = PIP, chunk: int = CHUNK, expected: DataFrame | None = None) -> DataFrame:
+    """One row per key (and per row of ``expected`` keys, which may have no ticks): order, equal times, repeats, crossed and non-positive quotes, gaps, inferred missing share, spreads of valid quotes, and the hard failures that make a feed unusable."""
     step = F.col("time_ms") - F.col("prev_time_ms")
     moved = with_previous(ticks, ["time_ms"], chunk).withColumn("step", step).withColumn("spread", F.when(prices.valid_quote(), prices.spread_pips(pip)))
     missing = F.greatest(F.lit(0), F.ceil(F.col("step") / expected_interval) - 1) if expected_interval else F.lit(None).cast("long")
@@ -23,17 +44,19 @@ def feed_quality(ticks: DataFrame, keys: list[str] = ["symbol"], expected_interv
         F.count("*").alias("tick_count"),
         F.count_if(F.col("step") < 0).alias("out_of_order"),
         F.count_if(F.col("step") == 0).alias("equal_times"),
-        (F.count("*") - F.countDistinct(F.struct("symbol", "time_ms", "bid", "ask", "flags"))).alias("duplicates"),
         F.count_if(F.col("bid") > F.col("ask")).alias("crossed"),
         F.count_if((F.col("bid") <= 0) | (F.col("ask") <= 0)).alias("nonpositive"),
         (F.count_if(F.col("step") > gap_threshold) if gap_threshold else F.lit(0).cast("long")).alias("gaps"),
         F.sum(F.when(F.col("step") > (expected_interval or 0), missing).otherwise(0) if expected_interval else missing).alias("missing"),
-        F.percentile("spread", F.lit(0.5)).alias("spread_median"),
-        F.percentile("spread", F.lit(0.95)).alias("spread_p95"),
     )
-    failures = F.array_compact(F.array(F.when(F.col("out_of_order") > 0, "OUT_OF_ORDER_TICKS"), F.when(F.col("crossed") > 0, "CROSSED_QUOTES"), F.when(F.col("nonpositive") > 0, "NONPOSITIVE_QUOTES")))
+    once = moved.groupBy(*dict.fromkeys([*keys, "symbol", "time_ms", "bid", "ask", "flags"])).agg((F.count("*") - 1).alias("more"))
+    out = out.join(once.groupBy(*keys).agg(F.sum("more").alias("duplicates")), keys)
+    out = out.join(exact_percentiles(moved, keys, "spread", {"spread_median": 0.5, "spread_p95": 0.95}), keys, "left")
+    if expected is not None:
+        out = expected.select(*keys).distinct().join(out, keys, "left").na.fill(0, [c for c in out.columns if c not in (*keys, "missing", "spread_median", "spread_p95")])
+    failures = F.array_compact(F.array(F.when(F.col("tick_count") == 0, "EMPTY"), F.when(F.col("out_of_order") > 0, "OUT_OF_ORDER_TICKS"), F.when(F.col("crossed") > 0, "CROSSED_QUOTES"), F.when(F.col("nonpositive") > 0, "NONPOSITIVE_QUOTES")))
     return (
-        out.withColumn("duplicate_ratio", F.col("duplicates") / F.col("tick_count"))
+        out.withColumn("duplicate_ratio", F.coalesce(F.try_divide(F.col("duplicates"), F.col("tick_count")), F.lit(0.0)))
         .withColumn("missing_ratio", F.try_divide(F.col("missing").cast("double"), F.col("tick_count") + F.col("missing")))
         .withColumn("hard_failures", failures)
         .withColumn("valid", F.size("hard_failures") == 0)
@@ -61,10 +84,8 @@ def gap_observations(ticks: DataFrame, limit: int, chunk: int = CHUNK) -> DataFr
 
 def spread_summary(ticks: DataFrame, keys: list[str], pip: float = PIP) -> DataFrame:
     """Seven numbers of the spreads of valid quotes, by linear interpolation."""
-    s = F.col("spread")
     valid = ticks.where(prices.valid_quote()).withColumn("spread", prices.spread_pips(pip))
-    per = valid.groupBy(*keys).agg(F.min(s).alias("min"), F.percentile(s, F.array(*map(F.lit, SUMMARY.values()))).alias("__p"), F.max(s).alias("max"))
-    return per.select(*keys, "min", *(F.col("__p")[i].alias(n) for i, n in enumerate(SUMMARY)), "max")
+    return exact_percentiles(valid, keys, "spread", {"min": 0.0, **SUMMARY, "max": 1.0})
 
 
 def _profile_measures(extreme: float) -> list[Column]:

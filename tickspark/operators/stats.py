@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from .sequence import run_lengths
 
 WEEK_MS = 7 * clock.DAY
 #: A portable generator: integer mixing that any engine repeats.
@@ -21,15 +20,19 @@ def equity_curve(trades: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def performance(trades: DataFrame, keys: list[str], order: list[str], time: str = "ts_ms") -> DataFrame:
     """One row per key: n, expectancy, win rate, excursions, worst drawdown, longest losing run (a zero ends it) and trades a week."""
-    curve = equity_curve(trades, keys, order)
-    span = (F.max(time) - F.min(time)) / WEEK_MS
-    per = curve.groupBy(*keys).agg(
-        F.count("*").alias("trades"), F.avg("net_r").alias("expectancy_r"), F.avg((F.col("net_r") > 0).cast("double")).alias("win_rate"), F.avg("mae_r").alias("mean_mae_r"), F.avg("mfe_r").alias("mean_mfe_r"),
-        F.max("drawdown").alias("max_drawdown_r"), F.try_divide(F.count("*").cast("double"), span).alias("trades_per_week"),
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.coalesce((F.col("net_r") < 0).cast("int"), F.lit(0))
+    # one sort serves all windows: trades between two that don't lose share a run, which is counted first
+    curve = equity_curve(trades, keys, order).withColumn("__lost", lost).withColumn("__run", F.count("*").over(w) - F.sum("__lost").over(w))
+    of = lambda c: [F.sum(c).alias(f"{c}_s"), F.count(c).alias(f"{c}_n")]
+    runs = curve.groupBy(*keys, "__run").agg(
+        F.count("*").alias("n"), F.sum("__lost").alias("length"), F.count_if(F.col("net_r") > 0).alias("won"), F.max("drawdown").alias("drawdown"), F.min(time).alias("t0"), F.max(time).alias("t1"), *of("net_r"), *of("mae_r"), *of("mfe_r")
+    )
+    mean = lambda c: F.try_divide(F.sum(f"{c}_s"), F.sum(f"{c}_n"))
+    return runs.groupBy(*keys).agg(
+        F.sum("n").alias("trades"), mean("net_r").alias("expectancy_r"), F.try_divide(F.sum("won").cast("double"), F.sum("net_r_n")).alias("win_rate"), mean("mae_r").alias("mean_mae_r"), mean("mfe_r").alias("mean_mfe_r"),
+        F.max("drawdown").alias("max_drawdown_r"), F.try_divide(F.sum("n").cast("double"), (F.max("t1") - F.min("t0")) / WEEK_MS).alias("trades_per_week"), F.max("length").alias("longest_losing_run"),
     )
-    place = trades.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    runs = run_lengths(place, keys, "__place", F.col("net_r") < 0).groupBy(*keys).agg(F.max("length").alias("longest_losing_run"))
-    return per.join(runs, keys, "left").na.fill(0, ["longest_losing_run"])
 
 
 def slices(trades: DataFrame, dimensions: list[str], keys: list[str] = []) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ MIN_TRAIN, VALIDATION, EMBARGO = 20, 10, 12 * HOUR
 #: January 2024.
 START, END = 1_704_067_200_000, 1_704_067_200_000 + 31 * DAY
 SAMPLES, BLOCK = 200, 5
+#: Configuration of the family study, for its digest.
+STUDY = f"lookback={LOOKBACK};stride={STRIDE};horizon={HORIZON};train={MIN_TRAIN};validation={VALIDATION};embargo={EMBARGO}"
 
 #: (event_id, code, currency, hours after START, impact, as_of hours after START)
 RELEASES = [
@@ -53,22 +57,41 @@ def costs_sql() -> str:
 _SHARED: dict[tuple, DataFrame] = {}
 
 
+def _scratch(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see; a local master gets one of its own."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", given)
+    return given.rstrip("/")
+
+
 def shared(f):
-    """Keep a stage that many queries start from, for the session and folder; it is computed once and can spill to disk.
+    """Write down a stage that many queries start from, once for the session and folder.
 
-    ``clearCache`` only drops the data: the next use marks the table for keeping again.
+    A written table cuts the plan: queries over stages over stages would else carry, and print, the plans of all of them many times over.
     """
 
     @wraps(f)
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, f.__name__)
         if key not in _SHARED:
-            _SHARED[key] = f(spark, sf_dir)
-        return _SHARED[key].persist()
+            made = f(spark, sf_dir)
+            path = f"{_scratch(spark)}/{f.__name__}-{uuid.uuid4().hex}"
+            made.write.parquet(path)
+            _SHARED[key] = spark.read.schema(made.schema).parquet(path)
+        return _SHARED[key]
 
     return get
 
 
+def forget() -> None:
+    """Let the next query write its stages anew."""
+    _SHARED.clear()
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.event_ticks(spark, sf_dir)
 

@@ -288,7 +288,7 @@ def all_sql() -> dict[str, str]:
         "hourly_profile": sql(TICKS, VALID, f"h AS (SELECT symbol, ((time_ms % {DAY}) // {HOUR})::INT AS hour, count(*) AS ticks, {_PROFILE} FROM valid GROUP BY ALL)", "spine AS (SELECT symbol, i::INT AS hour FROM (SELECT DISTINCT symbol FROM ticks), range(24) r(i))",
             select=f"SELECT symbol, hour, coalesce(ticks, 0) AS ticks, coalesce(valid_quotes, 0) AS valid_quotes, coalesce(zero_spreads, 0) AS zero_spreads, coalesce(extreme_spreads, 0) AS extreme_spreads, {rounded('spread_p50', 'spread_p95')}, round(coalesce(zero_spreads::DOUBLE / nullif(valid_quotes, 0), 0), 6) AS zero_ratio FROM spine LEFT JOIN h USING (symbol, hour)"),
         "duplicates_by_day": sql(TICKS, FAULTY, select=f"SELECT symbol, day, sum(n - 1)::BIGINT AS duplicates FROM (SELECT symbol, time_ms // {DAY} AS day, count(*) AS n FROM faulty GROUP BY symbol, time_ms, bid, ask, flags HAVING count(*) > 1) GROUP BY ALL"),
-        "low_density_days": sql(TICKS, f"thin AS (SELECT symbol, time_ms // {DAY} AS day, count(*) AS trading_ticks FROM ticks WHERE NOT ((time_ms // {DAY}) % 9 = 0 AND seq % 8 > 0) AND {weekday('time_ms')} < 5 GROUP BY ALL)", "m AS (SELECT symbol, quantile_cont(trading_ticks, 0.5) AS median_ticks FROM thin GROUP BY symbol)", select="SELECT symbol, day, trading_ticks, round(median_ticks, 6) AS median_ticks FROM thin JOIN m USING (symbol) WHERE trading_ticks < median_ticks * 0.5"),
+        "low_density_days": sql(TICKS, f"thin AS (SELECT symbol, time_ms // {DAY} AS day, count(*) AS trading_ticks FROM ticks WHERE {weekday('time_ms')} < 5 GROUP BY ALL)", "m AS (SELECT symbol, quantile_cont(trading_ticks, 0.5) AS median_ticks FROM thin GROUP BY symbol)", select="SELECT symbol, day, trading_ticks, round(median_ticks, 6) AS median_ticks FROM thin JOIN m USING (symbol) WHERE trading_ticks < median_ticks * 0.9"),
         "most_affected_hour": sql(TICKS, f"h AS (SELECT symbol, ((time_ms % {DAY}) // {HOUR})::INT AS hour, count(*) FILTER ((ask - bid) / 0.0001{D} >= 5) AS n FROM ticks GROUP BY ALL)", select="SELECT symbol, max_by(hour, n * 100 - hour) AS hour, max(n) AS extreme_spreads, sum(n)::BIGINT AS total, round(100.0::DOUBLE * max(n) / sum(n), 6) AS percent FROM h WHERE n > 0 GROUP BY symbol"),
         "chunk_coverage": sql(TICKS, CHUNKS, select="SELECT symbol, chunk_start_ms, chunk_end_ms, file_ticks, ledger_ticks, chunk_status FROM coverage"),
         "coverage_summary": sql(TICKS, CHUNKS, "s AS (SELECT symbol, count(*) AS expected, count(*) FILTER (chunk_status = 'COMPLETED') AS completed, count(*) FILTER (chunk_status = 'EXPECTED_MARKET_CLOSED') AS closed, count(*) FILTER (chunk_status LIKE 'MISSING%') AS missing, count(*) FILTER (chunk_status LIKE '%MISMATCH') AS mismatches FROM coverage GROUP BY symbol)", select=f"SELECT *, round(100{D} * (completed + closed) / expected, 6) AS percent, CASE WHEN missing + mismatches > 0 THEN 'FAIL' ELSE 'PASS' END AS severity FROM s"),
@@ -328,7 +328,7 @@ def all_sql() -> dict[str, str]:
         "fold_baseline": sql(*CORE, INDEXED, folds("indexed"), robust("SELECT i.symbol, f.fold_id, i.session, unnest(['past_median', 'impulse']) AS feature, unnest([i.past_median, i.impulse]) AS x FROM ideas i JOIN folds f ON f.event_id = i.candidate_id AND f.role = 'TRAIN'", "symbol, fold_id, session"), select=f"SELECT symbol, fold_id, session, feature, {rounded('median', 'mad')}, n FROM robust"),
         "posterior_table": sql(*FULL, PLAIN, _TIMED, _POSTERIOR, select=f"SELECT session, benchmark, dst_state, regime, n AS bucket_n, pn AS parent_n, {rounded('weight', 'mean_r')}, round(mean_r - half, 6) AS lower_95, round(mean_r + half, 6) AS upper_95, n >= 30 AS actionable FROM post"),
         "time_hazard": sql(*FULL, PLAIN, _TIMED, _POSTERIOR, select=f"SELECT candidate_id, CASE WHEN n >= 30 AND mean_r + half < 0 THEN 'SOFT_VETO' ELSE 'NEUTRAL' END AS effect, round(CASE WHEN n >= 30 AND mean_r + half < 0 THEN -least(1, abs(mean_r)) ELSE 0 END, 6)::DOUBLE AS signal, (n >= 30)::INT{D} AS confidence FROM timed JOIN post USING (session, benchmark, dst_state, regime)"),
-        "execution_monitor": sql(TICKS, f"f AS (SELECT symbol, seq, (ask - bid) / 0.0001{D} * CASE WHEN symbol = 'view' THEN 0.8{D} ELSE 0.1{D} END AS rs, (ask - bid) / 0.0001{D} * 0.05{D} - 0.02{D} AS gap, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS k FROM ticks WHERE seq % 7 = 0)", f"g AS (SELECT symbol, count(*) AS n, quantile_cont(rs, 0.5) AS rm, list_sort(list(rs))[27] AS p90, quantile_cont(gap, 0.5) AS gm FROM f WHERE k <= 30 GROUP BY symbol)", f"h AS (SELECT *, CASE WHEN n < 30 THEN ['INSUFFICIENT_OBSERVATIONS'] ELSE list_filter([CASE WHEN rm > 1.5{D} * 0.2{D} THEN 'MEDIAN_SLIPPAGE' END, CASE WHEN p90 > 2{D} * 0.2{D} THEN 'P90_SLIPPAGE' END, CASE WHEN gm > 0.1{D} THEN 'COST_GAP' END], lambda x: x IS NOT NULL) END AS rr FROM g)", select="SELECT symbol, n, array_to_string(rr, ',') AS reasons, n >= 30 AND len(rr) > 0 AS pause FROM h"),
+        "execution_monitor": sql(TICKS, f"f AS (SELECT symbol, seq, (ask - bid) / 0.0001{D} * CASE WHEN symbol = 'view' THEN 0.8{D} ELSE 0.1{D} END AS rs, (ask - bid) / 0.0001{D} * 0.05{D} - 0.02{D} AS gap, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) AS k FROM ticks)", f"g AS (SELECT symbol, count(*) AS n, quantile_cont(rs, 0.5) AS rm, list_sort(list(rs))[27] AS p90, quantile_cont(gap, 0.5) AS gm FROM f WHERE k <= 30 GROUP BY symbol)", f"h AS (SELECT *, CASE WHEN n < 30 THEN ['INSUFFICIENT_OBSERVATIONS'] ELSE list_filter([CASE WHEN rm > 1.5{D} * 0.2{D} THEN 'MEDIAN_SLIPPAGE' END, CASE WHEN p90 > 2{D} * 0.2{D} THEN 'P90_SLIPPAGE' END, CASE WHEN gm > 0.1{D} THEN 'COST_GAP' END], lambda x: x IS NOT NULL) END AS rr FROM g)", select="SELECT symbol, n, array_to_string(rr, ',') AS reasons, n >= 30 AND len(rr) > 0 AS pause FROM h"),
         "level_excursion": sql(TICKS, GAPS, BASE, _LEVELS, select="SELECT candidate_id, direction, event_seq, event_ms, round(event_mid, 6) AS event_mid, round(threshold, 8) AS threshold, side FROM excursions"),
         "family_index": sql(*FULL, PLAIN, f"fam AS (SELECT candidate_id, unnest(list_filter(['BASELINE_MOMENTUM', CASE WHEN (regime = 'BULL') = long THEN 'TREND_PULLBACK' END, CASE WHEN CASE WHEN long THEN bid_low < past_low AND bid_close > bid_open ELSE ask_high > past_high AND ask_close < ask_open END THEN 'SWEEP_REVERSAL' END, CASE WHEN bar_no > {fx.LOOKBACK} AND rng >= 1.5{D} * past_mean THEN 'RANGE_EXPANSION' END], lambda x: x IS NOT NULL)) AS family FROM ideas)", "per AS (SELECT family, count(*) AS trades, avg(net_r) AS net_ev_r, avg(gross_r) AS gross_ev_r FROM plain JOIN fam USING (candidate_id) GROUP BY family)", select=f"SELECT family, trades, {rounded('net_ev_r', 'gross_ev_r')}, row_number() OVER (ORDER BY net_ev_r DESC, family) = 1 AS best FROM per"),
         "metrics_unpivot": sql(*FULL, PLAIN, "m AS (SELECT symbol, avg(gross_r) AS gross, avg(cost_r) AS cost, avg(net_r) AS net FROM plain GROUP BY symbol)", select="SELECT symbol, unnest(['gross', 'cost', 'net']) AS metric, unnest([round(gross, 6), round(cost, 6), round(net, 6)]) AS value FROM m"),

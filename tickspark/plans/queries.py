@@ -152,8 +152,7 @@ def duplicates_by_day(spark, sf_dir):
 
 @query
 def low_density_days(spark, sf_dir):
-    thin = fx.ticks(spark, sf_dir).where(~((clock.day_number(F.col("time_ms")) % 9 == 0) & (F.col("seq") % 8 > 0)))
-    return quality.low_density_days(quality.daily_profile(thin), 0.5).select("symbol", "day", "trading_ticks", r("median_ticks"))
+    return quality.low_density_days(quality.daily_profile(fx.ticks(spark, sf_dir)), 0.9).select("symbol", "day", "trading_ticks", r("median_ticks"))
 
 
 @query
@@ -452,7 +451,7 @@ def rank_scores(spark, sf_dir):
 @query
 def execution_monitor(spark, sf_dir):
     """Fills from ticks: expected slippage a fifth of a pip, real slippage a tenth of the spread."""
-    t = fx.ticks(spark, sf_dir).where("seq % 7 = 0")
+    t = fx.ticks(spark, sf_dir)
     fills = t.select("symbol", "seq", (prices.spread_pips() * F.when(F.col("symbol") == "view", 0.8).otherwise(0.1)).alias("real_slip"), F.lit(0.2).alias("expected_slip"), (prices.spread_pips() * 0.05).alias("real_cost_r"), F.lit(0.02).alias("estimated_cost_r"))
     return stats.execution_monitor(fills, ["symbol"], "seq").select("symbol", "n", flags("reasons"), "pause")
 
@@ -534,8 +533,8 @@ def meta_label(spark, sf_dir):
     """Every bar with whether the next one closes higher; earlier bars train, later ones calibrate and are predicted."""
     w = Window.partitionBy("symbol").orderBy("bar_start_ms")
     b = base(spark, sf_dir).select("symbol", "bar_start_ms", (F.col("bid_close") - F.col("bid_open")).alias("impulse"), (F.col("bid_high") - F.col("bid_low")).alias("range"), "spread_median", (F.lead("bid_close").over(w) > F.col("bid_close")).cast("int").alias("y")).where("y IS NOT NULL")
-    part = F.pmod(F.floor(F.col("bar_start_ms") / DAY), F.lit(3))
-    out = model.meta_label(b.where(part == 0), b.where(part == 1), b.where(part == 2), ["impulse", "range", "spread_median"], min_rows=100)
+    t = F.col("bar_start_ms")
+    out = model.meta_label(b.where(t < fx.START + 10 * DAY), b.where((t >= fx.START + 10 * DAY) & (t < fx.START + 20 * DAY)), b.where(t >= fx.START + 20 * DAY), ["impulse", "range", "spread_median"], min_rows=100)
     return out.select("symbol", "bar_start_ms", r("p", None, 4), F.array_join("labels", ",").alias("labels"), "abstain")
 
 
@@ -558,6 +557,60 @@ def family_index(spark, sf_dir):
     return per.select("family", "trades", r("net_ev_r"), r("gross_ev_r"), best.alias("best"))
 
 
+@query
+def feed_verdicts(spark, sf_dir):
+    """Verdicts on the feeds that are there and on one that should be."""
+    t = fx.ticks(spark, sf_dir)
+    wanted = t.select("symbol").unionByName(spark.createDataFrame([("absent",)], "symbol string"))
+    return quality.feed_quality(t, gap_threshold=fx.GAP_LIMIT, expected=wanted).select("symbol", "tick_count", "duplicates", "gaps", flags("hard_failures"), "valid")
+
+
+@query
+def observation_quarantine(spark, sf_dir):
+    """Observations of all bars, those of every fifth hour with a broken measure or missing share: how many are sound, and what the others lack."""
+    o = _observations(spark, sf_dir)
+    hour = F.floor(F.col("ts_ms") / HOUR)
+    made = o.withColumn("spread_p95", F.when(hour % 5 == 1, -1.0).otherwise(F.col("spread_p95"))).withColumn("intensity", F.when(hour % 5 == 2, F.lit(float("nan"))).otherwise(F.col("intensity"))).withColumn("missing_ratio", F.when(hour % 10 == 1, 1.5).otherwise(0.0))
+    sound, others = regime.quarantine(made)
+    both = sound.select("symbol", F.lit("").alias("faults")).unionByName(others.select("symbol", flags("faults")))
+    return both.groupBy("symbol", "faults").agg(F.count("*").alias("rows"))
+
+
+@fx.shared
+def _family_facts(spark, sf_dir) -> DataFrame:
+    return _family_study(spark, sf_dir)[0]
+
+
+def _family_study(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    from .studies import exit_ablation
+
+    return exit_ablation(fx.all_bars(spark, sf_dir), fx.cost_buckets(spark), fx.LOOKBACK, fx.STRIDE, fx.HORIZON, HOUR, fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO, fx.SAMPLES, fx.BLOCK, fx.ideas(spark, sf_dir))
+
+
+@query
+def family_study(spark, sf_dir):
+    """Every family, exit policy and cost scenario on validation events before the locked holdout, with a bootstrap interval."""
+    m = _family_study(spark, sf_dir)[1]
+    return m.select("family", "policy", "scenario", "trades", "no_path", *(r(c) for c in ("expectancy_r", "win_rate", "max_drawdown_r", "gross_ev_r", "cost_drag_r", "lower_95", "upper_95")), "longest_losing_run")
+
+
+@query
+def failure_slices(spark, sf_dir):
+    from .studies import failure_diagnostics
+
+    ideas = candidates.families(fx.ideas(spark, sf_dir), fx.LOOKBACK).withColumn("candidate_id", F.col("family_candidate_id"))
+    s = failure_diagnostics(_family_facts(spark, sf_dir), ideas)[0]
+    return s.select("family", "dimension", "value", "n", *(r(c) for c in ("gross_ev_r", "net_ev_r", "win_rate")))
+
+
+@query
+def hypothesis_registry(spark, sf_dir):
+    from .studies import registry
+
+    per = _family_facts(spark, sf_dir).groupBy("family", "policy", "scenario").agg(F.count("*").alias("trades"))
+    return registry(per, fx.STUDY)
+
+
 @query
 def arm_report(spark, sf_dir):
     from ..sources.sinks import arm_report as report

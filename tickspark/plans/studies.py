@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,22 @@ from ..operators import bars, candidates, labels, splits, stats
 from ..schemas import PIP
 
 HORIZONS = (1, 3, 6, 12, 24, 36)
-EXIT_ARMS = ("A_FIXED_RR", "B_DYNAMIC_RR", "C_STRUCTURE_TARGET", "D_PARTIAL_TRAILING", "E_SELECTED_AFTER_TRAIN")
-MODULE_ARMS = ("BASELINE", "RISK_POLICY", "FEED_GATE", "EVENT_GUARD", "TIME_HAZARD", "TICK_STATE", "BURST_INTENSITY", "CHANGEPOINT", "DURATION_FILTER", "META_LABEL", "ALL")
+#: The exit policies compared, and the context modules whose combinations are.
+EXIT_ARMS = {"A_FIXED": "FIXED_RR", "B_DYNAMIC": "DYNAMIC_RR", "C_STRUCTURE_LIQUIDITY": "STRUCTURE_TARGET", "D_PARTIAL": "PARTIAL_TRAILING", "E_BEST_OUT_OF_SAMPLE": "SELECTED_AFTER_TRAIN"}
+MODULES = ("TICK", "TIME", "REGIME")
+
+
+def module_arms() -> list[tuple[str, tuple[str, ...]]]:
+    """No module, each one, each two, all, and all but each one: named arms with their modules."""
+    some = [c for n in (1, 2) for c in combinations(MODULES, n)]
+    without = [(f"FULL_WITHOUT_{m}", tuple(x for x in MODULES if x != m)) for m in MODULES]
+    return [("BASELINE", ()), *(("_".join(c), c) for c in some), ("FULL", MODULES), *without]
 
 
 def arms(spark: SparkSession) -> DataFrame:
     """The ablation arms as a dimension."""
-    return spark.createDataFrame([("EXIT", a, i) for i, a in enumerate(EXIT_ARMS)] + [("MODULE", a, i) for i, a in enumerate(MODULE_ARMS)], "kind string, arm string, place int")
+    exits = [("EXIT", name, [policy], i) for i, (name, policy) in enumerate(EXIT_ARMS.items())]
+    return spark.createDataFrame(exits + [("MODULE", name, list(parts), i) for i, (name, parts) in enumerate(module_arms())], "kind string, arm string, parts array<string>, place int")
 
 
 def session_study(base: DataFrame, width: int, discovery_end: int, confirmation_end: int, horizons: tuple[int, ...] = HORIZONS, pip: float = PIP) -> DataFrame:
@@ -31,10 +42,10 @@ def session_study(base: DataFrame, width: int, discovery_end: int, confirmation_
     return shown.groupBy("event", "period", "horizon").agg(F.count("*").alias("n"), F.avg("pips").alias("mean_pips"), F.percentile("pips", F.lit(0.5)).alias("median_pips"))
 
 
-def exit_ablation(all_bars: DataFrame, buckets: DataFrame, lookback: int, stride: int, horizon: int, width: int, min_train: int, validation: int, embargo_ms: int, samples: int = 500) -> tuple[DataFrame, DataFrame]:
+def exit_ablation(all_bars: DataFrame, buckets: DataFrame, lookback: int, stride: int, horizon: int, width: int, min_train: int, validation: int, embargo_ms: int, samples: int = 500, block: int = 5, ideas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts and metrics of all families out of sample: candidates are made and frozen once, folds come before the locked holdout, and only validation events are evaluated."""
     base = all_bars.where("timeframe = 'BASE'")
-    made = candidates.families(candidates.generate(all_bars, lookback=lookback, stride=stride), lookback)
+    made = candidates.families(candidates.generate(all_bars, lookback=lookback, stride=stride) if ideas is None else ideas, lookback)
     # a family's candidates are numbered on their own
     named = made.withColumn("group", F.concat_ws("/", "family", "symbol")).withColumn("event_id", F.col("family_candidate_id"))
     events = named.select(F.col("group").alias("symbol"), "event_id", F.col("available_ms").alias("start_ms"), (F.col("available_ms") + horizon * width).alias("label_end_ms"))
@@ -44,8 +55,10 @@ def exit_ablation(all_bars: DataFrame, buckets: DataFrame, lookback: int, stride
     chosen = named.join(folds, "event_id").withColumn("candidate_id", F.col("event_id"))
     facts = labels.bar_outcomes(chosen, base, buckets, horizon).join(chosen.select("candidate_id", "family", "fold_id"), "candidate_id")
     keys, order = ["family", "policy", "scenario"], ["exit_ms", "candidate_id"]
-    metrics = stats.performance(facts, keys, order, "exit_ms").join(stats.block_bootstrap(facts, keys, order, samples=samples).drop("n"), keys)
-    return facts, metrics
+    metrics = stats.performance(facts, keys, order, "exit_ms").join(stats.block_bootstrap(facts, keys, order, block=block, samples=samples).drop("n"), keys)
+    more = facts.groupBy(*keys).agg(F.avg("gross_r").alias("gross_ev_r"), F.avg("cost_r").alias("cost_drag_r"))
+    pathless = chosen.join(facts.select("candidate_id").distinct(), "candidate_id", "left_anti").groupBy("family").agg(F.count("*").alias("no_path"))
+    return facts, metrics.join(more, keys).join(pathless, "family", "left").na.fill(0, ["no_path"])
 
 
 def failure_diagnostics(facts: DataFrame, ideas: DataFrame) -> tuple[DataFrame, DataFrame]:
