@@ -111,3 +111,22 @@ def test_resumable_ingest(spark, sf_dir, tmp_path):
     ingest.ingest(spark, t, expected, seen, DAY, fx.START, data, ledger)
     assert ingest.pending_chunks(expected, scans.ledger_json(spark, ledger)).count() == expected.join(scans.ledger_json(spark, ledger).where("status = 'NO_BROKER_HISTORY'"), ["symbol", "chunk_start_ms"], "left_semi").count()
     assert scans.parquet_ticks(spark, data).count() == t.where(F.col("time_ms") < fx.START + 8 * DAY).count()
+
+
+def test_csv_files_in_other_orders(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("ask,time_ms,bid\n" + "".join(f"{1.1 + i},{100 + i},{1.0 + i}\n" for i in range(3)))
+    (tmp_path / "a.csv").write_text("\ufefftime_ms,bid,ask,flags\n5,1.0,1.1,2\n6,2.0,2.1,\n", encoding="utf-8")
+    rows = scans.csv_ticks(spark, str(tmp_path), "S").orderBy("seq").collect()
+    assert [(r.seq, r.time_ms, r.bid, r.flags) for r in rows] == [(0, 5, 1.0, 2), (1, 6, 2.0, 0), (2, 100, 1.0, 0), (3, 101, 2.0, 0), (4, 102, 3.0, 0)]
+    assert all(r.ask > r.bid for r in rows)
+
+
+def test_ingest_after_a_stop_repeats_nothing(spark, tmp_path):
+    data, ledger = str(tmp_path / "data"), str(tmp_path / "ledger")
+    ticks = spark.createDataFrame([("S", i, MONDAY + i * HOUR, 1.0, 1.1, 0) for i in range(60)], TICK)
+    expected = spark.createDataFrame([("S", MONDAY + k * DAY, MONDAY + (k + 1) * DAY) for k in range(3)], "symbol string, chunk_start_ms long, chunk_end_ms long")
+    nothing = spark.createDataFrame([], "symbol string, chunk_start_ms long, chunk_end_ms long, tick_count long, status string")
+    sinks.write_ticks(ticks.where("seq < 30"), data)  # a run that stopped before its ledger entries
+    ingest.ingest(spark, ticks, expected, nothing, DAY, MONDAY, data, ledger)
+    assert spark.read.parquet(data).count() == 60
+    assert sorted((r.chunk_start_ms, r.tick_count) for r in scans.ledger_json(spark, ledger).collect()) == [(MONDAY + k * DAY, n) for k, n in enumerate((24, 24, 12))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +23,40 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("time_ms"), bid.alias("bid"), (bid + 0.0001 * pips).alias("ask"), flags.cast("int").alias("flags"))
 
 
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The column orders met in the files of ``path``, with their files; only the first line of each file is kept."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "i")).alias("head"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.collect():
+        names = tuple(c.strip().strip('"') for c in r.head.lstrip("\ufeff").split(","))
+        out.setdefault(names, []).append(r.file)
+    return out
+
+
 def csv_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Ticks of one symbol from CSV with a header: time_ms, bid and ask in any order among other columns, flags optional (0). A byte-order mark is fine, a missing column or bad cell an error.
 
-    ``seq`` is the place in the file, by file name, block and row of the block, for files that Spark reads whole blocks of.
+    Files may differ in the order of their columns. ``seq`` is the place in the feed: by file name, then by place in the file.
     """
-    head = spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
-    names = [c.lstrip("﻿").strip() for c in head]
-    missing = {"time_ms", "bid", "ask"} - set(names)
-    if missing:
-        raise ValueError(f"columns missing: {sorted(missing)}")
     kinds = {"time_ms": "long", "bid": "double", "ask": "double", "flags": "int"}
-    schema = _struct(" ".join(f"{n}:{kinds.get(n, 'string')}" for n in names))
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").csv(path)
-    flags = F.coalesce("flags", F.lit(0)) if "flags" in names else F.lit(0)
-    return rows.select(F.lit(symbol).alias("symbol"), F.monotonically_increasing_id().alias("seq"), "time_ms", "bid", "ask", flags.cast("int").alias("flags"))
+    parts = []
+    for names, files in csv_headers(spark, path).items():
+        missing = {"time_ms", "bid", "ask"} - set(names)
+        if missing:
+            raise ValueError(f"columns missing: {sorted(missing)}")
+        schema = _struct(" ".join(f"{n}:{kinds.get(n, 'string')}" for n in names))
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").csv(files)
+        flags = F.coalesce("flags", F.lit(0)) if "flags" in names else F.lit(0)
+        parts.append(rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__i"), "time_ms", "bid", "ask", flags.cast("int").alias("flags")))
+    if not parts:
+        raise ValueError(f"no rows in {path}")
+    rows = reduce(DataFrame.unionByName, parts)
+    # rows of a block are numbered in a row; blocks are few and shifted by the rows before them
+    blocks = rows.groupBy("__file", "__at").agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select("__file", "__at", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return rows.join(shifts, ["__file", "__at"]).select(F.lit(symbol).alias("symbol"), (F.col("__i") + F.col("__shift")).alias("seq"), "time_ms", "bid", "ask", "flags")
 
 
 def csv_bad_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

@@ -9,11 +9,13 @@ from ..functions import clock
 from ..operators import quality
 
 
-def write_ticks(ticks: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Write the feeds that pass the hard gate, by symbol and day; returns the quality table with the verdicts. Refused feeds are not written."""
+def write_ticks(ticks: DataFrame, path: str, mode: str = "append", known: DataFrame | None = None) -> DataFrame:
+    """Write the feeds that pass the hard gate, by symbol and day, less the ticks whose (symbol, day, seq) is ``known``; returns the quality table with the verdicts. Refused feeds are not written."""
     report = quality.feed_quality(ticks).cache()
     good = quality.gate(ticks, report)
     out = good.withColumn("day", clock.day_number(F.col("time_ms"))).withColumn("ts", F.timestamp_millis("time_ms"))
+    if known is not None:
+        out = out.join(known, ["symbol", "day", "seq"], "left_anti")
     out.repartition("symbol", "day").sortWithinPartitions("symbol", "day", "seq").write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "day").parquet(path)
     return report
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,23 @@ def pending_chunks(expected: DataFrame, ledger: DataFrame) -> DataFrame:
     return expected.join(done, ["symbol", "chunk_start_ms"], "left_anti")
 
 
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys of the ticks that are there already."""
+    try:
+        return spark.read.parquet(path).select("symbol", "day", "seq")
+    except AnalysisException:  # nothing was written yet
+        return None
+
+
 def ingest(spark: SparkSession, ticks: DataFrame, expected: DataFrame, ledger: DataFrame, step: int, start_ms: int, data_path: str, ledger_path: str) -> DataFrame:
-    """Bring the pending chunks in: gate each symbol's ticks, write them, then append the ledger. Returns the new entries."""
+    """Bring the pending chunks in: gate each symbol's ticks, write those that are not there yet, then append the ledger. Returns the new entries.
+
+    A run that stopped between data and ledger leaves ticks without an entry; the next one finds them by (symbol, day, seq) and writes none twice.
+    """
     todo = pending_chunks(expected, ledger).cache()
     start = F.lit(start_ms) + F.floor((F.col("time_ms") - start_ms) / step) * step
     own = ticks.withColumn("chunk_start_ms", start.cast("long")).join(todo.select("symbol", "chunk_start_ms"), ["symbol", "chunk_start_ms"], "left_semi").drop("chunk_start_ms")
-    report = sinks.write_ticks(own.select("symbol", "seq", "time_ms", "bid", "ask", "flags"), data_path)
+    report = sinks.write_ticks(own.select("symbol", "seq", "time_ms", "bid", "ask", "flags"), data_path, known=_written(spark, data_path))
     counts = quality.gate(own, report).withColumn("chunk_start_ms", start.cast("long")).groupBy("symbol", "chunk_start_ms").agg(F.count("*").alias("tick_count"))
     closed = clock.inside_weekend(F.col("chunk_start_ms"), F.col("chunk_end_ms"))
     status = F.when(F.col("tick_count") > 0, "COMPLETED").when(closed, "EXPECTED_MARKET_CLOSED").otherwise("NO_BROKER_HISTORY")
