@@ -8,10 +8,11 @@ import pytest
 
 from tickspark.plans.oracle import all_sql
 from tickspark.plans.oracle_sequences import sequence_sql
+from tickspark.plans.oracle_storage import storage_sql
 from tickspark.plans.oracle_studies import study_sql
 from tickspark.plans.queries import QUERIES
 
-SQL = all_sql() | sequence_sql() | study_sql()
+SQL = all_sql() | sequence_sql() | study_sql() | storage_sql()
 
 
 @pytest.fixture(scope="module")

@@ -68,6 +68,10 @@ def _scratch(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def shared(f):
     """Write down a stage that many queries start from, once for the session and folder.
 
@@ -79,7 +83,7 @@ def shared(f):
         key = (spark.sparkContext.applicationId, sf_dir, f.__name__)
         if key not in _SHARED:
             made = f(spark, sf_dir)
-            path = f"{_scratch(spark)}/{f.__name__}-{uuid.uuid4().hex}"
+            path = new_folder(spark, f.__name__)
             made.write.parquet(path)
             _SHARED[key] = spark.read.schema(made.schema).parquet(path)
         return _SHARED[key]

@@ -264,6 +264,8 @@ parts AS (SELECT s.symbol, s.sample, s.n, s.total, e.upto - (a.upto - a.v) + CAS
 means AS (SELECT symbol, sample, max(n) AS n, sum(part) / max(n) AS mean, max(total) / max(n) AS point FROM parts GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mean, sample) - 1 AS k FROM means)"""
 
+_INTERVAL = "bounds_ AS (SELECT symbol, " + ", ".join(f"round(max(mean) FILTER (k = round_even({(fx.SAMPLES - 1) * q}{D}, 0)), 6) AS {name}" for q, name in ((0.025, "lower_95"), (0.975, "upper_95"))) + " FROM ranked GROUP BY symbol)"
+
 
 def all_sql() -> dict[str, str]:
     out = {
@@ -309,7 +311,10 @@ def all_sql() -> dict[str, str]:
         "walk_forward_folds": sql(*CORE, INDEXED, folds("indexed"), select="SELECT symbol, fold_id, idx, event_id, role FROM folds"),
         "final_holdout": sql(*CORE, INDEXED, select="SELECT symbol, idx, event_id, label_end_ms FROM holdout"),
         "bar_outcomes": sql(*FULL, select=f"SELECT candidate_id, policy, scenario, outcome, holding_bars::INT AS holding_bars, exit_ms, {rounded('gross_r', 'cost_r', 'net_r', 'mfe_r', 'mae_r')} FROM outcomes"),
-        "policy_metrics": sql(*FOLD_OUTCOMES, perf("valid_o", "symbol, policy, scenario"), select=f"SELECT symbol, policy, scenario, trades, {rounded(*_PERF, 'gross_ev_r', 'cost_drag_r')}, longest AS longest_losing_run FROM perf JOIN runs USING (symbol, policy, scenario)"),
+        "policy_metrics": sql(
+            *FOLD_OUTCOMES, perf("valid_o", "symbol, policy, scenario"), "plain AS (SELECT * REPLACE (symbol || '/' || policy || '/' || scenario AS symbol) FROM valid_o)", _BOOT, _INTERVAL,
+            select=f"SELECT p.symbol, policy, scenario, trades, {rounded(*_PERF, 'gross_ev_r', 'cost_drag_r')}, lower_95, upper_95, longest AS longest_losing_run FROM perf p JOIN runs USING (symbol, policy, scenario) JOIN bounds_ b ON b.symbol = p.symbol || '/' || policy || '/' || scenario",
+        ),
         "drawdown_curve": sql(*FULL, PLAIN, perf("plain", "symbol"), select="SELECT candidate_id, symbol, round(net_r, 6) AS net_r, round(equity, 6) AS equity, round(peak, 6) AS peak, round(peak - equity, 6) AS drawdown FROM pk"),
         "performance_stats": sql(*FULL, PLAIN, perf("plain", "symbol"), select=f"SELECT symbol, trades, {rounded(*_PERF)}, longest AS longest_losing_run FROM perf JOIN runs USING (symbol)"),
         "slice_table": sql(*FULL, PLAIN, f"s AS (SELECT *, unnest(['direction', 'session', 'regime', 'hour', 'weekday']) AS dimension, unnest([direction, session, regime, ((available_ms % {DAY}) // {HOUR})::VARCHAR, {weekday('available_ms')}::VARCHAR]) AS value FROM plain)", select="SELECT dimension, value, count(*) AS n, round(avg(gross_r), 6) AS gross_ev_r, round(avg(net_r), 6) AS net_ev_r, round(avg((net_r > 0)::INT), 6) AS win_rate, round(avg(mfe_r), 6) AS mean_mfe_r, round(avg(mae_r), 6) AS mean_mae_r FROM s GROUP BY ALL"),
@@ -320,9 +325,11 @@ def all_sql() -> dict[str, str]:
         "block_bootstrap_ci": sql(*FULL, PLAIN, _BOOT, select=f"SELECT symbol, max(n) AS n, round(max(point), 6) AS point_estimate, round(max(mean) FILTER (k = round_even({(fx.SAMPLES - 1) * 0.025}{D}, 0)), 6) AS lower_95, round(max(mean) FILTER (k = round_even({(fx.SAMPLES - 1) * 0.975}{D}, 0)), 6) AS upper_95 FROM ranked GROUP BY symbol"),
         "session_event_study": sql(TICKS, GAPS, BARS, "o AS (SELECT *, " + f"CASE WHEN {minutes('bar_start_ms', 'Europe/London', 8)} >= 0 AND {minutes('bar_start_ms', 'Europe/London', 8)} < 1 THEN 'LONDON_OPEN' WHEN {minutes('bar_start_ms', 'America/New_York', 8)} >= 0 AND {minutes('bar_start_ms', 'America/New_York', 8)} < 1 THEN 'NEW_YORK_OPEN' END AS event FROM bars WHERE timeframe = 'BASE')",
             "l AS (SELECT *, " + ", ".join(f"lead(bar_start_ms, {h}) OVER w AS t{h}, lead(bid_close, {h}) OVER w AS c{h}" for h in (1, 3, 6, 12, 24, 36)) + " FROM o WINDOW w AS (PARTITION BY symbol ORDER BY bar_start_ms))",
-            "z AS (" + " UNION ALL ".join(f"SELECT event, bar_start_ms, {h}::INT AS horizon, (c{h} - ask_open) / 0.0001{D} AS pips FROM l WHERE event IS NOT NULL AND NOT {UNUSABLE} AND t{h} = bar_start_ms + {h * HOUR}" for h in (1, 3, 6, 12, 24, 36)) + ")",
+            "z AS (" + " UNION ALL ".join(f"SELECT event, symbol, bar_start_ms, {h}::INT AS horizon, (c{h} - ask_open) / 0.0001{D} AS pips FROM l WHERE event IS NOT NULL AND NOT {UNUSABLE} AND t{h} = bar_start_ms + {h * HOUR}" for h in (1, 3, 6, 12, 24, 36)) + ")",
             f"y AS (SELECT *, CASE WHEN bar_start_ms < {fx.START + 10 * DAY} THEN 'DISCOVERY' WHEN bar_start_ms < {fx.START + 20 * DAY} THEN 'CONFIRMATION' ELSE 'LOCKED_HOLDOUT' END AS period FROM z)",
-            select="SELECT event, period, horizon, count(*) AS n, round(avg(pips) FILTER (period <> 'LOCKED_HOLDOUT'), 6) AS mean_pips, round(quantile_cont(pips, 0.5) FILTER (period <> 'LOCKED_HOLDOUT'), 6) AS median_pips FROM y GROUP BY ALL"),
+            "means_ AS (SELECT event, period, horizon, event || '/' || period || '/' || horizon AS series, count(*) AS n, round(avg(pips) FILTER (period <> 'LOCKED_HOLDOUT'), 6) AS mean_pips, round(quantile_cont(pips, 0.5) FILTER (period <> 'LOCKED_HOLDOUT'), 6) AS median_pips FROM y GROUP BY ALL)",
+            "plain AS (SELECT event || '/' || period || '/' || horizon AS symbol, pips AS net_r, bar_start_ms AS exit_ms, symbol AS candidate_id FROM y WHERE period <> 'LOCKED_HOLDOUT')", _BOOT, _INTERVAL,
+            select="SELECT event, period, horizon, m.n, mean_pips, median_pips, lower_95, upper_95 FROM means_ m LEFT JOIN bounds_ ON bounds_.symbol = series"),
         "tick_barrier_labels": sql(TICKS, GAPS, BASE, _BARRIERS, select=f"SELECT candidate_id, CASE WHEN sg > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, outcome, CASE WHEN outcome NOT IN ('NO_FILL', 'DATA_EXHAUSTED') THEN (outcome = 'TAKE_PROFIT')::INT END AS label, CASE WHEN outcome <> 'NO_FILL' THEN entry_ms END AS entry_ms, CASE WHEN outcome NOT IN ('NO_FILL', 'DATA_EXHAUSTED') THEN exit_ms END AS exit_ms, round(CASE WHEN outcome <> 'NO_FILL' THEN fill END, 6) AS entry_fill, round(exit_fill, 6) AS exit_fill, round(gross / rk, 6) AS gross_r, round((gross - seen) / rk, 6) AS spread_cost_r, round((seen - sg * (exit_fill - fill)) / rk, 6) AS slippage_cost_r, round(sg * (exit_fill - fill) / rk - 0.01{D}, 6) AS net_r FROM tn"),
         "robust_baseline": sql(TICKS, GAPS, BASE, robust(_FEATURE_ROWS, "symbol, session"), select=f"SELECT symbol, session, feature, {rounded('median', 'mad')}, n FROM robust"),
         "fold_baseline": sql(*CORE, INDEXED, folds("indexed"), robust("SELECT i.symbol, f.fold_id, i.session, unnest(['past_median', 'impulse']) AS feature, unnest([i.past_median, i.impulse]) AS x FROM ideas i JOIN folds f ON f.event_id = i.candidate_id AND f.role = 'TRAIN'", "symbol, fold_id, session"), select=f"SELECT symbol, fold_id, session, feature, {rounded('median', 'mad')}, n FROM robust"),
@@ -335,7 +342,7 @@ def all_sql() -> dict[str, str]:
         "arm_report": sql(*FOLD_OUTCOMES, "a AS (SELECT symbol, policy, count(*) AS trades, avg(net_r) AS expectancy_r FROM valid_o WHERE scenario = 'BASELINE_1X' GROUP BY ALL)", "b AS (SELECT symbol, policy, avg(net_r) AS stress_ev_r FROM valid_o WHERE scenario = 'BASELINE_1.25X' GROUP BY ALL)", select=f"SELECT symbol, policy, trades, {rounded('expectancy_r', 'stress_ev_r')}, stress_ev_r <= 0 AS execution_fragile FROM a JOIN b USING (symbol, policy)"),
         "rank_scores": sql(*FULL, PLAIN, perf("plain", "symbol"), "par AS (SELECT avg(net_r) AS parent FROM plain)", select=f"SELECT symbol, round(0.35{D} * win_rate + 0.2{D} / (1 + max_drawdown_r) + 0.15{D} * least(1, trades / 200{D}) + 0.15{D} * 0.5{D}, 6) AS score, round((trades * expectancy_r + 50 * parent) / (trades + 50), 6) AS shrunk_ev_r, round(win_rate * 2 - (1 - win_rate) - 0.05{D}, 6) AS expected_r FROM perf, par"),
         "feasibility_gates": sql(*FULL, "one AS (SELECT * FROM outcomes WHERE scenario = 'BASELINE_1X')", perf("one", "symbol, policy"), "st AS (SELECT symbol, policy, avg(net_r) AS stress_ev_r FROM outcomes WHERE scenario = 'BASELINE_1.25X' GROUP BY ALL)", "fe AS (SELECT symbol, policy, trades AS n, list_filter([CASE WHEN trades < 30 THEN 'INSUFFICIENT_SAMPLE' END, CASE WHEN expectancy_r <= 0 THEN 'NO_NET_EXPECTANCY' END, CASE WHEN stress_ev_r <= 0 THEN 'EXECUTION_FRAGILE' END, CASE WHEN max_drawdown_r > 20 THEN 'DRAWDOWN_CEILING' END, CASE WHEN trades >= 200 THEN 'INTERVAL_NOT_POSITIVE' END], lambda x: x IS NOT NULL) AS rs FROM perf JOIN st USING (symbol, policy))", select="SELECT symbol, policy, n, CASE WHEN n < 30 THEN 'INSUFFICIENT' WHEN n < 100 THEN 'LOW' WHEN n < 200 THEN 'MEDIUM' ELSE 'NORMAL' END AS tier, array_to_string(rs, ',') AS reasons, len(rs) = 0 AS accepted FROM fe"),
-        "risk_violations": sql(*CORE, f"v AS (SELECT *, (available_ms // {HOUR}) % 7 AS k, CASE WHEN long THEN 1{D} ELSE -1{D} END AS sg FROM ideas)", "u AS (SELECT *, 0.004::DOUBLE * k AS risk_fraction, entry + sg * risk * (k - 1) AS take_profit FROM v)", "x AS (SELECT *, abs(take_profit - entry) / risk AS rr, list_filter([CASE WHEN symbol NOT IN ('click', 'view', 'purchase', 'login') THEN 'PAIR_NOT_ALLOWED' END, CASE WHEN NOT (risk_fraction > 0 AND risk_fraction <= 0.01) THEN 'RISK_OUT_OF_BOUNDS' END, CASE WHEN abs(take_profit - entry) / risk < 3 - 1e-12 THEN 'REWARD_TOO_SMALL' END, CASE WHEN NOT CASE WHEN long THEN stop_loss < entry AND entry < take_profit ELSE take_profit < entry AND entry < stop_loss END THEN 'PRICES_OUT_OF_ORDER' END], lambda x: x IS NOT NULL) AS vs FROM u)", select="SELECT candidate_id, array_to_string(vs, ',') AS violations, len(vs) = 0 AS accepted, round(rr, 6) AS rr FROM x"),
+        "risk_violations": sql(*CORE, f"v AS (SELECT *, (available_ms // {HOUR}) % 7 AS k, CASE WHEN long THEN 1{D} ELSE -1{D} END AS sg FROM ideas)", "u AS (SELECT *, 0.004::DOUBLE * k AS risk_fraction, entry + sg * risk * (k - 1) AS take_profit FROM v)", "x AS (SELECT *, abs(take_profit - entry) / risk AS rr, list_filter([CASE WHEN symbol NOT IN ('click', 'view', 'purchase', 'login') THEN 'PAIR_NOT_ALLOWED' END, CASE WHEN NOT (risk_fraction > 0 AND risk_fraction <= 0.01) THEN 'RISK_OUT_OF_INTERVAL' END, CASE WHEN abs(take_profit - entry) / risk < 3 - 1e-12 THEN 'REWARD_TOO_SMALL' END, CASE WHEN NOT CASE WHEN long THEN stop_loss < entry AND entry < take_profit ELSE take_profit < entry AND entry < stop_loss END THEN 'PRICES_OUT_OF_ORDER' END], lambda x: x IS NOT NULL) AS vs FROM u)", select="SELECT candidate_id, array_to_string(vs, ',') AS violations, len(vs) = 0 AS accepted, round(rr, 6) AS rr FROM x"),
         "conformal_sets": sql(*FULL, PLAIN, f"sc AS (SELECT candidate_id, symbol, available_ms, 0.05{D} + 0.9{D} * ((available_ms // {HOUR}) % 23) / 22{D} AS p, (gross_r > 0)::INT AS y FROM plain)", f"cal AS (SELECT symbol, 1 - CASE WHEN y = 1 THEN p ELSE 1 - p END AS s, row_number() OVER (PARTITION BY symbol ORDER BY 1 - CASE WHEN y = 1 THEN p ELSE 1 - p END) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM sc WHERE available_ms < {fx.START + 20 * DAY})", f"th AS (SELECT symbol, s AS threshold FROM cal WHERE k = least(n - 1, greatest(0, floor((n - 1) * (1{D} - 0.1{D}) + 0.999999{D}))))", "ls AS (SELECT *, list_filter([CASE WHEN p <= threshold THEN '0' END, CASE WHEN 1 - p <= threshold THEN '1' END], lambda x: x IS NOT NULL) AS labels FROM sc LEFT JOIN th USING (symbol))", select="SELECT candidate_id, round(p, 6) AS p, round(threshold, 6) AS threshold, array_to_string(labels, ',') AS labels, len(labels) <> 1 AS abstain FROM ls"),
         "exit_plans": sql(*CORE, f"k AS (SELECT candidate_id, entry, risk, long, v.* FROM ideas, (VALUES (1{D}, 'FIXED_R', 1), (3{D}, 'FIXED_R', 0), (2{D}, 'STRUCTURAL', 0)) v(gross_r, target_type, priority))", "w AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY priority, gross_r DESC)::INT AS rank FROM k)", select=f"SELECT candidate_id, rank, gross_r, target_type, 0.5{D} AS fraction, round(CASE WHEN long THEN entry + risk * gross_r ELSE entry - risk * gross_r END, 6) AS price FROM w WHERE rank <= 2"),
         "stress_matrix": sql(*CORE, fx.costs_sql(), "b AS (SELECT i.candidate_id, i.risk, i.direction = 'LONG' AS hit, coalesce(c.entry_slip, 0.2::DOUBLE) AS e, coalesce(c.exit_slip, 0.3::DOUBLE) AS x, coalesce(c.commission_r, 0::DOUBLE) AS c, coalesce(c.stop_slip, 0::DOUBLE) AS s, coalesce(c.rollover_r, 0::DOUBLE) AS r, coalesce(c.event_slip, 0::DOUBLE) AS v FROM ideas i LEFT JOIN costs c USING (session, regime, direction))",

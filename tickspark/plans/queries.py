@@ -308,7 +308,9 @@ def policy_metrics(spark, sf_dir):
     keys = ["symbol", "policy", "scenario"]
     perf = stats.performance(o, keys, ["exit_ms", "candidate_id"], "exit_ms")
     more = o.groupBy(*keys).agg(F.avg("gross_r").alias("gross_ev_r"), F.avg("cost_r").alias("cost_drag_r"))
-    return perf.join(more, keys).select(*keys, "trades", *(r(c) for c in ("expectancy_r", "win_rate", "mean_mae_r", "mean_mfe_r", "max_drawdown_r", "trades_per_week", "gross_ev_r", "cost_drag_r")), "longest_losing_run")
+    interval = stats.block_bootstrap(o, keys, ["exit_ms", "candidate_id"], block=fx.BLOCK, samples=fx.SAMPLES).drop("n")
+    both = perf.join(more, keys).join(interval, keys)
+    return both.select(*keys, "trades", *(r(c) for c in ("expectancy_r", "win_rate", "mean_mae_r", "mean_mfe_r", "max_drawdown_r", "trades_per_week", "gross_ev_r", "cost_drag_r", "lower_95", "upper_95")), "longest_losing_run")
 
 
 def _plain(spark, sf_dir) -> DataFrame:
@@ -363,12 +365,16 @@ def block_bootstrap_ci(spark, sf_dir):
     return b.select("symbol", "n", r("point_estimate"), r("lower_95"), r("upper_95"))
 
 
-@query
-def session_event_study(spark, sf_dir):
+def _session_study(spark, sf_dir) -> DataFrame:
     from .studies import session_study
 
-    s = session_study(fx.all_bars(spark, sf_dir).where("timeframe = 'BASE'"), HOUR, fx.START + 10 * DAY, fx.START + 20 * DAY)
-    return s.select("event", "period", "horizon", "n", r("mean_pips"), r("median_pips"))
+    return session_study(fx.all_bars(spark, sf_dir).where("timeframe = 'BASE'"), HOUR, fx.START + 10 * DAY, fx.START + 20 * DAY, samples=fx.SAMPLES, block=fx.BLOCK)
+
+
+@query
+def session_event_study(spark, sf_dir):
+    s = _session_study(spark, sf_dir)
+    return s.select("event", "period", "horizon", "n", *(r(c) for c in ("mean_pips", "median_pips", "lower_95", "upper_95")))
 
 
 @query

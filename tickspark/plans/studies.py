@@ -30,8 +30,8 @@ def arms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(exits + [("MODULE", name, list(parts), i) for i, (name, parts) in enumerate(module_arms())], "kind string, arm string, parts array<string>, place int")
 
 
-def session_study(base: DataFrame, width: int, discovery_end: int, confirmation_end: int, horizons: tuple[int, ...] = HORIZONS, pip: float = PIP) -> DataFrame:
-    """Returns from session opens over several horizons, by period. A horizon counts only if its bar is exactly that many widths later; of the locked period only n is made, the returns being masked before they are aggregated."""
+def session_study(base: DataFrame, width: int, discovery_end: int, confirmation_end: int, horizons: tuple[int, ...] = HORIZONS, pip: float = PIP, samples: int = 500, block: int = 5) -> DataFrame:
+    """Returns from session opens over several horizons, by period, with a bootstrap interval of their mean in order of time. A horizon counts only if its bar is exactly that many widths later; of the locked period only n is made, the returns being masked before they are aggregated."""
     w = Window.partitionBy("symbol").orderBy("bar_start_ms")
     ahead = [F.struct(F.lit(h).alias("horizon"), F.lead("bar_start_ms", h).over(w).alias("at"), F.lead("bid_close", h).over(w).alias("close")) for h in horizons]
     listed = base.withColumn("event", clock.session_open(F.col("bar_start_ms"))).withColumn("ahead", F.array(*ahead)).where(F.col("event").isNotNull() & bars.usable())
@@ -39,7 +39,10 @@ def session_study(base: DataFrame, width: int, discovery_end: int, confirmation_
     period = clock.period(F.col("bar_start_ms"), discovery_end, confirmation_end)
     open_only = F.when(period != "LOCKED_HOLDOUT", (F.col("a.close") - F.col("ask_open")) / pip)
     shown = rows.select("event", period.alias("period"), F.col("a.horizon").alias("horizon"), open_only.alias("pips"), "symbol", "bar_start_ms")
-    return shown.groupBy("event", "period", "horizon").agg(F.count("*").alias("n"), F.avg("pips").alias("mean_pips"), F.percentile("pips", F.lit(0.5)).alias("median_pips"))
+    keys = ["event", "period", "horizon"]
+    interval = stats.block_bootstrap(shown.where("pips IS NOT NULL"), keys, ["bar_start_ms", "symbol"], "pips", block, samples).select(*keys, "lower_95", "upper_95")
+    means = shown.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("pips").alias("mean_pips"), F.percentile("pips", F.lit(0.5)).alias("median_pips"))
+    return means.join(interval, keys, "left")
 
 
 def exit_ablation(all_bars: DataFrame, buckets: DataFrame, lookback: int, stride: int, horizon: int, width: int, min_train: int, validation: int, embargo_ms: int, samples: int = 500, block: int = 5, ideas: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import CALENDAR, CANDIDATE, DAY, LEDGER, TICK, _struct
 
@@ -129,6 +130,14 @@ def ledger_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).option("mode", "PERMISSIVE").json(path)
 
 
+def signed_json(spark: SparkSession, path: str, schema: str | StructType, name: str = "report_sha256") -> DataFrame:
+    """Rows written with a digest of their own, and ``intact``: whether it is that of the text beside it."""
+    lines = spark.read.text(path)
+    bare = F.regexp_replace("value", f',"{name}":"[0-9a-f]{{64}}"\\}}$', "}")
+    given = F.get_json_object("value", f"$.{name}")
+    return lines.select(F.from_json("value", schema).alias("row"), F.coalesce(F.sha2(bare, 256) == given, F.lit(False)).alias("intact")).select("row.*", "intact")
+
+
 def baseline_results(spark: SparkSession, path: str, policy: str = "FIXED_RR", scenario: str = "BASELINE_1X") -> DataFrame:
     """Result rows of one policy and scenario; the filter reaches the Parquet scan."""
     return spark.read.parquet(path).where((F.col("policy") == policy) & (F.col("scenario") == scenario))

@@ -25,8 +25,15 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 
 def with_self_hash(report: DataFrame, name: str = "report_sha256") -> DataFrame:
-    """Add the digest of a row's JSON with columns in order of name."""
-    return report.withColumn(name, F.sha2(F.to_json(F.struct(*sorted(report.columns))), 256))
+    """Columns in order of name, then the digest of the row's JSON: what :func:`write_json` writes of it can be checked by its text."""
+    names = sorted(report.columns)
+    return report.select(*names, F.sha2(F.to_json(F.struct(*names)), 256).alias(name))
+
+
+def write_bar_build(bars: DataFrame, report: DataFrame, path: str) -> None:
+    """Bars under ``path/bars``, then their report with its digest under ``path/report``."""
+    write_bars(bars, f"{path}/bars")
+    write_json(with_self_hash(report, "payload_sha256"), f"{path}/report")
 
 
 def write_json(report: DataFrame, path: str) -> None:
@@ -43,6 +50,22 @@ def nested(df: DataFrame, outer: str, inner: str, values: list[str]) -> DataFram
     return df.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), F.struct(*values))))).alias("by_" + inner))
 
 
+def write_families(metrics: DataFrame, path: str, values: list[str]) -> None:
+    """One JSON object of families, each with a map ``policy:scenario`` to its values: what :func:`tickspark.sources.scans.family_summaries` reads. Families, policies and scenarios are few by design."""
+    of_key = F.map_from_entries(F.array(*(F.struct(F.lit(v), F.col(v).cast("double")) for v in values)))
+    keyed = metrics.select("family", F.struct(F.concat_ws(":", "policy", "scenario").alias("key"), of_key.alias("values")).alias("entry"))
+    bodies = keyed.groupBy("family").agg(F.struct(F.map_from_entries(F.collect_list("entry")).alias("metrics")).alias("body"))
+    whole = bodies.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("family", "body")))).alias("value"))
+    whole.write.mode("overwrite").text(path)
+
+
+def write_experiment(facts: DataFrame, metrics: DataFrame, registry: DataFrame, path: str, values: list[str]) -> None:
+    """A study's facts as Parquet, then the summary of its families and the register of its hypotheses as JSON."""
+    facts.write.mode("overwrite").parquet(f"{path}/facts")
+    write_families(metrics, f"{path}/families", values)
+    write_json(registry, f"{path}/registry")
+
+
 def arm_report(metrics: DataFrame) -> DataFrame:
     """A row per policy of its plain scenario, with the mean under 1.25 times the cost and whether that makes it fragile."""
     plain = metrics.where("scenario = 'BASELINE_1X'")
