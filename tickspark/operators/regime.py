@@ -139,6 +139,10 @@ def burst_intensity(ticks: DataFrame, mu: float = 0.25, alpha: float = 1.0, beta
     return made.withColumn("surprise", F.nanvl("surprise", F.lit(None).cast("double")))
 
 
+def proposed_regime() -> Column:
+    return F.when(F.greatest("volatility_z", "spread_z") >= 2.5, "HIGH_STRESS").when(F.col("volatility_z") <= -1.5, "LOW_VOL").otherwise("NORMAL")
+
+
 def duration_filter(df: DataFrame, keys: list[str], order: str, least: int = 3) -> DataFrame:
     """Regime that changes only after ``least`` like proposals in a row: HIGH_STRESS from a score of 2.5, LOW_VOL down to -1.5, else NORMAL.
 
@@ -147,8 +151,7 @@ def duration_filter(df: DataFrame, keys: list[str], order: str, least: int = 3)
     """
     w = Window.partitionBy(*keys).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    proposal = F.when(F.greatest("volatility_z", "spread_z") >= 2.5, "HIGH_STRESS").when(F.col("volatility_z") <= -1.5, "LOW_VOL").otherwise("NORMAL")
-    rows = df.select(*keys, order, proposal.alias("p")).withColumns({"i": F.row_number().over(w), "before": F.lag("p").over(w)})
+    rows = df.select(*keys, order, proposed_regime().alias("p")).withColumns({"i": F.row_number().over(w), "before": F.lag("p").over(w)})
     rows = rows.withColumn("since", F.max(F.when(~F.col("p").eqNullSafe(F.col("before")), F.col("i"))).over(upto))
     rows = rows.withColumn("regime", F.coalesce(F.last(F.when(F.col("i") - F.col("since") + 1 >= least, F.col("p")), ignorenulls=True).over(upto), F.lit("NORMAL")))
     rows = rows.withColumn("turned", F.col("regime") != F.lag("regime", 1, "NORMAL").over(w))
@@ -202,34 +205,45 @@ class ChangePoint:
 POINT_SCHEMA = "symbol string, ts_ms long, missing_ratio double, change_probability double, expected_run double, peak double"
 
 
+def point_walk(pdf: pd.DataFrame, past: np.ndarray, posterior: ChangePoint, history: int, ready: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows of :data:`POINT_SCHEMA` for observations that follow the logarithms in ``past``, and the logarithms that the next ones need; ``posterior`` moves on."""
+    pdf = pdf.sort_values("ts_ms")
+    logs = np.vstack([past, np.log(pdf[list(OBSERVATION)].to_numpy(float) + 1e-12)])
+    out = np.full((len(pdf), 3), np.nan)
+    for i in range(max(ready, len(past)), len(logs)):
+        known = logs[max(0, i - history) : i]
+        middle = np.median(known, axis=0)
+        out[i - len(past)] = posterior.update((logs[i] - middle) / np.maximum(1.4826 * np.median(np.abs(known - middle), axis=0), 1e-6))
+    made = pdf[["symbol", "ts_ms", "missing_ratio"]].assign(change_probability=out[:, 0], expected_run=out[:, 1], peak=out[:, 2])
+    return made, logs[-max(history, ready) :]
+
+
 def change_points(observations: DataFrame, history: int = 2016, ready: int = 30, **point) -> DataFrame:
-    """Change-point posterior of each observation's logarithms, scaled by the median and deviation of the ``history`` observations before it; nulls for the first ``ready`` ones."""
+    """Change-point posterior of each observation's logarithms, scaled by the median and deviation of the ``history`` observations before it; no number for the first ``ready`` ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_ms")
-        logs = np.log(pdf[list(OBSERVATION)].to_numpy(float) + 1e-12)
-        posterior, out = ChangePoint(len(OBSERVATION), **point), np.full((len(logs), 3), np.nan)
-        for i in range(ready, len(logs)):
-            past = logs[max(0, i - history) : i]
-            middle = np.median(past, axis=0)
-            out[i] = posterior.update((logs[i] - middle) / np.maximum(1.4826 * np.median(np.abs(past - middle), axis=0), 1e-6))
-        return pdf[["symbol", "ts_ms", "missing_ratio"]].assign(change_probability=out[:, 0], expected_run=out[:, 1], peak=out[:, 2])
+        return point_walk(pdf, np.zeros((0, len(OBSERVATION))), ChangePoint(len(OBSERVATION), **point), history, ready)[0]
 
-    made = observations.groupBy("symbol").applyInPandas(run, POINT_SCHEMA)
-    return made.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("change_probability", "expected_run", "peak")})
+    return observations.groupBy("symbol").applyInPandas(run, POINT_SCHEMA)
 
 
-def regime_guard(observations: DataFrame, change: float = 0.55, missing: float = 0.02, shadow: bool = True, **options) -> DataFrame:
-    """One verdict per sound observation, in time order per symbol; see :func:`quarantine` for the others.
+def guard_verdicts(points: DataFrame, change: float = 0.55, missing: float = 0.02, shadow: bool = True) -> DataFrame:
+    """Verdicts on rows of :data:`POINT_SCHEMA`, whose measures are no numbers while the guard warms up.
 
     A shadow guard writes down the multiplier it would apply but applies one; too many missing ticks veto in any case.
     """
+    points = points.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("change_probability", "expected_run", "peak")})
     p = F.col("change_probability")
     fine, warm, unstable = F.col("missing_ratio") <= missing, p.isNull(), p >= change
     suggested = F.when(warm, 1.0).when(~fine, 0.0).when(unstable, 0.5).otherwise(1.0)
     event = F.when(warm, "WARMUP").when(~fine, "DATA_QUALITY_INVALID").when(unstable, "VOLATILITY_LIQUIDITY_CHANGEPOINT").otherwise("REGIME_STABLE")
     known = lambda c: F.coalesce(c, F.lit(0.0))
-    return change_points(quarantine(observations)[0], **options).select(
+    return points.select(
         "symbol", "ts_ms", event.alias("event"), (fine & (warm | F.lit(shadow) | ~unstable)).alias("valid"), known(1 - 2 * p).alias("signal"), known(F.col("peak")).alias("confidence"), known(p).alias("change_probability"),
         known(F.col("expected_run")).alias("expected_run"), suggested.alias("suggested_multiplier"), F.when(~fine, 0.0).when(F.lit(shadow), 1.0).otherwise(suggested).alias("applied_multiplier"),
     )
+
+
+def regime_guard(observations: DataFrame, change: float = 0.55, missing: float = 0.02, shadow: bool = True, **options) -> DataFrame:
+    """One verdict per sound observation, in time order per symbol; see :func:`quarantine` for the others and :func:`guard_verdicts`."""
+    return guard_verdicts(change_points(quarantine(observations)[0], **options), change, missing, shadow)

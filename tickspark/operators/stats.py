@@ -167,13 +167,19 @@ def rank_score(weights: dict[str, float] = RANK_WEIGHTS) -> Column:
 def execution_monitor(fills: DataFrame, keys: list[str], order: str, window: int = 30, median_limit: float = 1.5, p90_limit: float = 2.0, cost_limit: float = 0.10) -> DataFrame:
     """Verdict on the last ``window`` fills of each key: real against expected slippage at the median and at the 90 % order statistic, and the median cost gap."""
     last = fills.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("__r") <= window)
-    per = last.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile("real_slip", F.lit(0.5)).alias("rm"), F.percentile("expected_slip", F.lit(0.5)).alias("em"), F.percentile(F.col("real_cost_r") - F.col("estimated_cost_r"), F.lit(0.5)).alias("gap"),
-        F.array_sort(F.collect_list("real_slip")).alias("rs"), F.array_sort(F.collect_list("expected_slip")).alias("es"),
-    )
+    gap = F.col("real_cost_r") - F.col("estimated_cost_r")
+    per = last.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_list("real_slip").alias("real"), F.collect_list("expected_slip").alias("expected"), F.collect_list(gap).alias("gap"))
+    return monitor_verdict(per, keys, window, median_limit, p90_limit, cost_limit)
+
+
+def monitor_verdict(per: DataFrame, keys: list[str], window: int = 30, median_limit: float = 1.5, p90_limit: float = 2.0, cost_limit: float = 0.10) -> DataFrame:
+    """``reasons`` and ``pause`` from the ``n`` last fills of a key, held as arrays ``real``, ``expected`` and ``gap``."""
+    low, high = lambda a: F.floor((F.size(a) - 1) / 2).cast("int"), lambda a: F.floor(F.size(a) / 2).cast("int")
+    middle = lambda a: (F.get(a, low(a)) + F.get(a, high(a))) / 2
+    per = per.withColumns({c: F.array_sort(c) for c in ("real", "expected", "gap")})
     k = int(round((window - 1) * 0.9))  # half to even, as the index rule of the monitor has it
     enough = F.col("n") >= window
-    found = F.array_compact(F.array(F.when(F.col("rm") > median_limit * F.col("em"), "MEDIAN_SLIPPAGE"), F.when(F.get("rs", F.lit(k)) > p90_limit * F.get("es", F.lit(k)), "P90_SLIPPAGE"), F.when(F.col("gap") > cost_limit, "COST_GAP")))
+    found = F.array_compact(F.array(F.when(middle("real") > median_limit * middle("expected"), "MEDIAN_SLIPPAGE"), F.when(F.get("real", F.lit(k)) > p90_limit * F.get("expected", F.lit(k)), "P90_SLIPPAGE"), F.when(middle("gap") > cost_limit, "COST_GAP")))
     out = per.withColumn("reasons", F.when(enough, found).otherwise(F.array(F.lit("INSUFFICIENT_OBSERVATIONS"))))
     return out.select(*keys, "n", "reasons", (enough & (F.size("reasons") > 0)).alias("pause"))
 
