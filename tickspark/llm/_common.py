@@ -56,3 +56,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def buckets_for(n_rows: int, rows_each: int = 20_000, least: int = 16) -> int:
     """Number of ranges such that one holds about ``rows_each`` rows, whatever the size of the input."""
     return max(least, -(-n_rows // rows_each))
+
+
+#: DuckDB CTEs that give ``crc(t)``, the table of the checksum with the reflected polynomial 0xEDB88320; they need ``WITH RECURSIVE``.
+CRC32_CTES = """crc_bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE k < 8
+), crc AS (
+  SELECT list(v ORDER BY i) AS t FROM crc_bits WHERE k = 8
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of a string of code points below 0x800, in UTF-8, where ``crc.t`` can be seen."""
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295, {utf8}), lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1])), 4294967295)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, token_counts, toxicity
+from . import embedding_dedup, merkle_manifest, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, token_counts, toxicity
 from ._common import documents, materialize
 
 
@@ -62,6 +62,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(materialize(sharding.describe(documents(spark, sf_dir)), "op10-rows"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -74,8 +78,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": embedding_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op6_mixing": mixing.ORACLE_SQL,
+        "op9_quality_rules": quality_rules.ORACLE_SQL,
+        "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
+    }
