@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, merkle_manifest, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, substring_dedup, token_counts, toxicity
+from . import embedding_dedup, merkle_manifest, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, spelling_variants, substring_dedup, token_counts, toxicity
 from ._common import documents, materialize
 
 
@@ -62,6 +62,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(materialize(sharding.describe(documents(spark, sf_dir)), "op10-rows"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_sharding": op10_sharding,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_substring_dedup": op12_substring_dedup,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
@@ -92,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op6_mixing": mixing.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_spelling_variants": spelling_variants.ORACLE_SQL,
         "op12_substring_dedup": substring_dedup.ORACLE_SQL,
         "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
     }
