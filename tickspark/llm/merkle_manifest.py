@@ -125,16 +125,21 @@ SELECT tree, place, level, folded, siblings FROM climb
 """
 
 
+#: A climb makes a row per leaf and level, and the engine's guard against endless recursion counts rows. All levels come in as
+#: many partitions as the last, which is empty and would be made one.
+_CONF = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
 @contextmanager
-def _unlimited(spark: SparkSession):
-    """A climb makes a row per leaf and level; the engine's guard against endless recursion counts rows."""
-    name = "spark.sql.cteRecursionRowLimit"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "-1")
+def _climbing(spark: SparkSession):
+    was = {name: spark.conf.get(name) for name in _CONF}
+    for name, value in _CONF.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
 
 
 def climb(starts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,7 +149,7 @@ def climb(starts: DataFrame, nodes: DataFrame) -> DataFrame:
     starts.createOrReplaceTempView(names["starts"])
     nodes.createOrReplaceTempView(names["nodes"])
     try:
-        with _unlimited(spark):
+        with _climbing(spark):
             return materialize(spark.sql(_CLIMB.format(**names)), "merkle-climb")
     finally:
         for view in names.values():
