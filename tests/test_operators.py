@@ -251,6 +251,8 @@ def test_risk_policy_and_gates(spark):
     df = spark.createDataFrame(rows, "direction string, entry double, stop_loss double, take_profit double, risk_fraction double, pair string")
     got = [r.violations for r in candidates.risk_violations(df, ["P"]).collect()]
     assert got == [[], ["PAIR_NOT_ALLOWED", "RISK_OUT_OF_BOUNDS", "REWARD_TOO_SMALL"], ["PRICES_OUT_OF_ORDER"], ["PRICES_OUT_OF_ORDER"]]
+    flagged = df.limit(1).withColumn("candidate", F.explode(F.array(F.lit(True), F.lit(False), F.lit(None).cast("boolean"))))
+    assert [r.violations for r in candidates.risk_violations(flagged, ["P"]).collect()] == [[], ["NOT_A_CANDIDATE"], ["NOT_A_CANDIDATE"]]
     g = spark.createDataFrame([(True, True, 0.005, 250, 0.1, -0.01, 5.0, 4.0, None), (True, True, 0.005, 50, 0.1, None, 1.0, 4.0, None)], "valid_data boolean, sound_stop boolean, risk_fraction double, n long, net_ev_r double, stress_ev_r double, max_drawdown_r double, drawdown_ceiling_r double, lower_95 double")
     assert [r.reasons for r in stats.feasibility(g, strict=True).collect()] == [["EXECUTION_FRAGILE", "DRAWDOWN_CEILING", "INTERVAL_NOT_POSITIVE"], []]
     with pytest.raises(Exception, match="out of range"):

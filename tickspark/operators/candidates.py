@@ -87,17 +87,22 @@ def families(candidates: DataFrame, lookback: int = 12) -> DataFrame:
     return out.withColumn("family_candidate_id", F.concat_ws(":", "family", "candidate_id"))
 
 
-def risk_violations(ideas: DataFrame, pairs: list[str], max_risk: float = 0.01, min_rr: float | None = 3.0) -> DataFrame:
-    """Add ``violations``, the codes of the risk policy that a trade idea breaks, in a fixed order."""
+#: Codes of the risk policy, in the order in which they are told.
+RISK_CODES = ("NOT_A_CANDIDATE", "PAIR_NOT_ALLOWED", "RISK_OUT_OF_BOUNDS", "REWARD_TOO_SMALL", "PRICES_OUT_OF_ORDER")
+
+
+def risk_violations(ideas: DataFrame, pairs: list[str], max_risk: float = 0.01, min_rr: float | None = 3.0, flag: str = "candidate") -> DataFrame:
+    """Add ``violations``, the codes of the risk policy that a trade idea breaks, in a fixed order. ``flag`` has to be true; ideas without that column are taken as flagged."""
     long = prices.is_long()
     ordered = F.when(long, (F.col("stop_loss") < F.col("entry")) & (F.col("entry") < F.col("take_profit"))).otherwise((F.col("take_profit") < F.col("entry")) & (F.col("entry") < F.col("stop_loss")))
     tests = [
-        (~F.col("pair").isin(pairs), "PAIR_NOT_ALLOWED"),
-        (~((F.col("risk_fraction") > 0) & (F.col("risk_fraction") <= max_risk)), "RISK_OUT_OF_BOUNDS"),
-        ((prices.planned_rr() < min_rr - 1e-12) if min_rr is not None else F.lit(False), "REWARD_TOO_SMALL"),
-        (~ordered, "PRICES_OUT_OF_ORDER"),
+        ~F.coalesce(F.col(flag), F.lit(False)) if flag in ideas.columns else F.lit(False),
+        ~F.col("pair").isin(pairs),
+        ~((F.col("risk_fraction") > 0) & (F.col("risk_fraction") <= max_risk)),
+        (prices.planned_rr() < min_rr - 1e-12) if min_rr is not None else F.lit(False),
+        ~ordered,
     ]
-    return ideas.withColumn("violations", F.array_compact(F.array(*(F.when(t, code) for t, code in tests)))).withColumn("accepted", F.size("violations") == 0)
+    return ideas.withColumn("violations", F.array_compact(F.array(*(F.when(t, code) for t, code in zip(tests, RISK_CODES))))).withColumn("accepted", F.size("violations") == 0)
 
 
 def fingerprint(df: DataFrame, columns: list[str], keys: list[str] = []) -> DataFrame:

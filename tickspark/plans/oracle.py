@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.candidates import RISK_CODES
 from ..schemas import DAY, HOUR
 from . import fixture as fx
 
@@ -342,7 +343,15 @@ def all_sql() -> dict[str, str]:
         "arm_report": sql(*FOLD_OUTCOMES, "a AS (SELECT symbol, policy, count(*) AS trades, avg(net_r) AS expectancy_r FROM valid_o WHERE scenario = 'BASELINE_1X' GROUP BY ALL)", "b AS (SELECT symbol, policy, avg(net_r) AS stress_ev_r FROM valid_o WHERE scenario = 'BASELINE_1.25X' GROUP BY ALL)", select=f"SELECT symbol, policy, trades, {rounded('expectancy_r', 'stress_ev_r')}, stress_ev_r <= 0 AS execution_fragile FROM a JOIN b USING (symbol, policy)"),
         "rank_scores": sql(*FULL, PLAIN, perf("plain", "symbol"), "par AS (SELECT avg(net_r) AS parent FROM plain)", select=f"SELECT symbol, round(0.35{D} * win_rate + 0.2{D} / (1 + max_drawdown_r) + 0.15{D} * least(1, trades / 200{D}) + 0.15{D} * 0.5{D}, 6) AS score, round((trades * expectancy_r + 50 * parent) / (trades + 50), 6) AS shrunk_ev_r, round(win_rate * 2 - (1 - win_rate) - 0.05{D}, 6) AS expected_r FROM perf, par"),
         "feasibility_gates": sql(*FULL, "one AS (SELECT * FROM outcomes WHERE scenario = 'BASELINE_1X')", perf("one", "symbol, policy"), "st AS (SELECT symbol, policy, avg(net_r) AS stress_ev_r FROM outcomes WHERE scenario = 'BASELINE_1.25X' GROUP BY ALL)", "fe AS (SELECT symbol, policy, trades AS n, list_filter([CASE WHEN trades < 30 THEN 'INSUFFICIENT_SAMPLE' END, CASE WHEN expectancy_r <= 0 THEN 'NO_NET_EXPECTANCY' END, CASE WHEN stress_ev_r <= 0 THEN 'EXECUTION_FRAGILE' END, CASE WHEN max_drawdown_r > 20 THEN 'DRAWDOWN_CEILING' END, CASE WHEN trades >= 200 THEN 'INTERVAL_NOT_POSITIVE' END], lambda x: x IS NOT NULL) AS rs FROM perf JOIN st USING (symbol, policy))", select="SELECT symbol, policy, n, CASE WHEN n < 30 THEN 'INSUFFICIENT' WHEN n < 100 THEN 'LOW' WHEN n < 200 THEN 'MEDIUM' ELSE 'NORMAL' END AS tier, array_to_string(rs, ',') AS reasons, len(rs) = 0 AS accepted FROM fe"),
-        "risk_violations": sql(*CORE, f"v AS (SELECT *, (available_ms // {HOUR}) % 7 AS k, CASE WHEN long THEN 1{D} ELSE -1{D} END AS sg FROM ideas)", "u AS (SELECT *, 0.004::DOUBLE * k AS risk_fraction, entry + sg * risk * (k - 1) AS take_profit FROM v)", "x AS (SELECT *, abs(take_profit - entry) / risk AS rr, list_filter([CASE WHEN symbol NOT IN ('click', 'view', 'purchase', 'login') THEN 'PAIR_NOT_ALLOWED' END, CASE WHEN NOT (risk_fraction > 0 AND risk_fraction <= 0.01) THEN 'RISK_OUT_OF_INTERVAL' END, CASE WHEN abs(take_profit - entry) / risk < 3 - 1e-12 THEN 'REWARD_TOO_SMALL' END, CASE WHEN NOT CASE WHEN long THEN stop_loss < entry AND entry < take_profit ELSE take_profit < entry AND entry < stop_loss END THEN 'PRICES_OUT_OF_ORDER' END], lambda x: x IS NOT NULL) AS vs FROM u)", select="SELECT candidate_id, array_to_string(vs, ',') AS violations, len(vs) = 0 AS accepted, round(rr, 6) AS rr FROM x"),
+        "risk_violations": sql(
+            *CORE,
+            f"v AS (SELECT *, (available_ms // {HOUR}) % 7 AS k, CASE WHEN long THEN 1{D} ELSE -1{D} END AS sg FROM ideas)",
+            "u AS (SELECT *, 0.004::DOUBLE * k AS risk_fraction, entry + sg * risk * (k - 1) AS take_profit FROM v)",
+            f"""x AS (SELECT *, abs(take_profit - entry) / risk AS rr, list_filter([CASE WHEN k IN (2, 6) THEN '{RISK_CODES[0]}' END, CASE WHEN symbol NOT IN ('click', 'view', 'purchase', 'login') THEN '{RISK_CODES[1]}' END,
+  CASE WHEN NOT (risk_fraction > 0 AND risk_fraction <= 0.01) THEN '{RISK_CODES[2]}' END, CASE WHEN abs(take_profit - entry) / risk < 3 - 1e-12 THEN '{RISK_CODES[3]}' END,
+  CASE WHEN NOT CASE WHEN long THEN stop_loss < entry AND entry < take_profit ELSE take_profit < entry AND entry < stop_loss END THEN '{RISK_CODES[4]}' END], lambda x: x IS NOT NULL) AS vs FROM u)""",
+            select="SELECT candidate_id, array_to_string(vs, ',') AS violations, len(vs) = 0 AS accepted, round(rr, 6) AS rr FROM x",
+        ),
         "conformal_sets": sql(*FULL, PLAIN, f"sc AS (SELECT candidate_id, symbol, available_ms, 0.05{D} + 0.9{D} * ((available_ms // {HOUR}) % 23) / 22{D} AS p, (gross_r > 0)::INT AS y FROM plain)", f"cal AS (SELECT symbol, 1 - CASE WHEN y = 1 THEN p ELSE 1 - p END AS s, row_number() OVER (PARTITION BY symbol ORDER BY 1 - CASE WHEN y = 1 THEN p ELSE 1 - p END) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM sc WHERE available_ms < {fx.START + 20 * DAY})", f"th AS (SELECT symbol, s AS threshold FROM cal WHERE k = least(n - 1, greatest(0, floor((n - 1) * (1{D} - 0.1{D}) + 0.999999{D}))))", "ls AS (SELECT *, list_filter([CASE WHEN p <= threshold THEN '0' END, CASE WHEN 1 - p <= threshold THEN '1' END], lambda x: x IS NOT NULL) AS labels FROM sc LEFT JOIN th USING (symbol))", select="SELECT candidate_id, round(p, 6) AS p, round(threshold, 6) AS threshold, array_to_string(labels, ',') AS labels, len(labels) <> 1 AS abstain FROM ls"),
         "exit_plans": sql(*CORE, f"k AS (SELECT candidate_id, entry, risk, long, v.* FROM ideas, (VALUES (1{D}, 'FIXED_R', 1), (3{D}, 'FIXED_R', 0), (2{D}, 'STRUCTURAL', 0)) v(gross_r, target_type, priority))", "w AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY priority, gross_r DESC)::INT AS rank FROM k)", select=f"SELECT candidate_id, rank, gross_r, target_type, 0.5{D} AS fraction, round(CASE WHEN long THEN entry + risk * gross_r ELSE entry - risk * gross_r END, 6) AS price FROM w WHERE rank <= 2"),
         "stress_matrix": sql(*CORE, fx.costs_sql(), "b AS (SELECT i.candidate_id, i.risk, i.direction = 'LONG' AS hit, coalesce(c.entry_slip, 0.2::DOUBLE) AS e, coalesce(c.exit_slip, 0.3::DOUBLE) AS x, coalesce(c.commission_r, 0::DOUBLE) AS c, coalesce(c.stop_slip, 0::DOUBLE) AS s, coalesce(c.rollover_r, 0::DOUBLE) AS r, coalesce(c.event_slip, 0::DOUBLE) AS v FROM ideas i LEFT JOIN costs c USING (session, regime, direction))",

@@ -430,7 +430,7 @@ def risk_violations(spark, sf_dir):
     ideas = fx.ideas(spark, sf_dir)
     k = F.pmod(F.floor(F.col("available_ms") / HOUR), F.lit(7))
     sign = F.when(prices.is_long(), 1.0).otherwise(-1.0)
-    made = ideas.withColumn("risk_fraction", 0.004 * k).withColumn("pair", F.col("symbol")).withColumn("take_profit", F.col("entry") + sign * prices.planned_risk() * (k - 1))
+    made = ideas.withColumn("risk_fraction", 0.004 * k).withColumn("pair", F.col("symbol")).withColumn("candidate", F.when(k < 6, k != 2)).withColumn("take_profit", F.col("entry") + sign * prices.planned_risk() * (k - 1))
     out = candidates.risk_violations(made, ["click", "view", "purchase", "login"])
     return out.select("candidate_id", flags("violations"), "accepted", r(prices.planned_rr(), "rr"))
 
