@@ -130,3 +130,74 @@ def test_ingest_after_a_stop_repeats_nothing(spark, tmp_path):
     ingest.ingest(spark, ticks, expected, nothing, DAY, MONDAY, data, ledger)
     assert spark.read.parquet(data).count() == 60
     assert sorted((r.chunk_start_ms, r.tick_count) for r in scans.ledger_json(spark, ledger).collect()) == [(MONDAY + k * DAY, n) for k, n in enumerate((24, 24, 12))]
+
+
+CHUNKS = "symbol string, chunk_start_ms long, chunk_end_ms long"
+
+
+def halves(spark, n):
+    return spark.createDataFrame([("S", MONDAY + k * DAY // 2, MONDAY + (k + 1) * DAY // 2) for k in range(n)], CHUNKS)
+
+
+def run(spark, tmp_path, ticks, expected, **more):
+    """One ingest by half days; what the ledger then says of each chunk and how many ticks the history has of it."""
+    data, ledger = str(tmp_path / "data"), str(tmp_path / "ledger")
+    step = DAY // 2
+    made = ingest.ingest(spark, spark.createDataFrame(ticks, TICK), expected, scans.lineage_json(spark, ledger), step, MONDAY, data, ledger, **more)
+    index = lambda df: {(r.chunk_start_ms - MONDAY) // step: r for r in df.collect()}
+    held = index(quality.with_chunk(scans.parquet_ticks(spark, data), MONDAY, step).groupBy("symbol", "chunk_start_ms").count())
+    return index(made), index(quality.latest_entries(scans.lineage_json(spark, ledger))), {k: r["count"] for k, r in held.items()}
+
+
+def test_a_bad_tick_loses_its_chunk_only(spark, tmp_path):
+    hour = lambda h, ask=1.1: ("S", h, MONDAY + h * HOUR, 1.0, ask, 0)
+    ticks = [hour(h, 0.9 if h == 14 else 1.1) for h in range(48) if not 24 <= h < 36]
+    made, last, held = run(spark, tmp_path, ticks, halves(spark, 4), source="feed", config_sha256="c")
+    assert {k: (r.status, r.tick_count, r.run) for k, r in made.items()} == {0: ("COMPLETED", 12, 1), 2: ("NO_BROKER_HISTORY", 0, 1), 3: ("COMPLETED", 12, 1)}
+    assert held == {0: 12, 3: 12} and made[2].hard_failures == ["EMPTY"] and (made[0].source, made[0].config_sha256) == ("feed", "c")
+    verdicts = spark.read.parquet(str(tmp_path / "ledger") + "-verdicts").collect()
+    assert {(r.chunk_start_ms - MONDAY) * 2 // DAY: r.hard_failures for r in verdicts if not r.valid} == {1: ["CROSSED_QUOTES"], 2: ["EMPTY"]}
+    # mended: the refused half of the day comes in beside the settled one, which is not read from the source again
+    made, last, held = run(spark, tmp_path, [hour(h) for h in range(12, 36)], halves(spark, 4))
+    assert {k: (r.status, r.run) for k, r in made.items()} == {1: ("COMPLETED", 2), 2: ("COMPLETED", 2)}
+    assert held == {0: 12, 1: 12, 2: 12, 3: 12} and {r.run for r in last.values()} == {1, 2}
+    made, last, held = run(spark, tmp_path, [hour(99)], halves(spark, 4))
+    assert not made and held == {0: 12, 1: 12, 2: 12, 3: 12}
+    whole = quality.chunk_coverage(halves(spark, 4), spark.createDataFrame([("S", MONDAY + k * DAY // 2, 12) for k in held], "symbol string, chunk_start_ms long, file_ticks long"), scans.lineage_json(spark, str(tmp_path / "ledger")))
+    assert [(r.expected, r.completed, r.percent, r.severity) for r in quality.coverage_summary(whole).collect()] == [(4, 4, 100.0, "PASS")]
+    ids = [r.lineage_id for r in scans.lineage_json(spark, str(tmp_path / "ledger")).collect()]
+    assert len(set(ids)) == len(ids) == 5
+
+
+def test_order_is_judged_within_a_chunk(spark, tmp_path):
+    """A tick that is late by a chunk breaks no order in the chunk that its time lies in."""
+    rows = [("S", 0, MONDAY + 20 * HOUR, 1.0, 1.1, 0), ("S", 1, MONDAY + 2 * HOUR, 1.0, 1.1, 0), ("S", 2, MONDAY + 21 * HOUR, 1.0, 1.1, 0), ("S", 3, MONDAY + HOUR, 1.0, 1.1, 0)]
+    made, _, held = run(spark, tmp_path, rows, halves(spark, 2))
+    assert held == {1: 2} and set(made) == {1}
+
+
+def test_strict_ingest_keeps_what_is_sound(spark, tmp_path):
+    rows = [("S", 0, MONDAY, 1.0, 1.1, 0), ("S", 1, MONDAY + DAY // 2, 1.0, 0.9, 0)]
+    with pytest.raises(ValueError, match="CROSSED_QUOTES"):
+        run(spark, tmp_path, rows, halves(spark, 2), strict=True)
+    assert [r.status for r in scans.lineage_json(spark, str(tmp_path / "ledger")).collect()] == ["COMPLETED"]
+    with pytest.raises(ValueError, match="EMPTY"):
+        run(spark, tmp_path / "other", rows[:1], halves(spark, 2), strict=True, record_missing=False)
+
+
+def test_chunks_without_history_may_settle(spark, tmp_path):
+    tick = [("S", 0, MONDAY, 1.0, 1.1, 0)]
+    run(spark, tmp_path, tick, halves(spark, 2))
+    made, _, _ = run(spark, tmp_path, tick, halves(spark, 2), retry_missing=False)
+    assert not made
+    made, last, _ = run(spark, tmp_path, tick, halves(spark, 2))
+    assert {k: r.run for k, r in made.items()} == {1: 2} and last[1].status == "NO_BROKER_HISTORY"
+
+
+def test_the_last_entry_of_a_chunk_counts(spark):
+    rows = [("S", 1, 2, 0, "NO_BROKER_HISTORY", 1), ("S", 1, 2, 5, "COMPLETED", 3), ("S", 1, 2, 0, "NO_BROKER_HISTORY", 2), ("T", 1, 2, 4, "COMPLETED", None)]
+    ledger = spark.createDataFrame(rows, CHUNKS + ", tick_count long, status string, run long")
+    assert sorted((r.symbol, r.tick_count, r.status) for r in quality.latest_entries(ledger).collect()) == [("S", 5, "COMPLETED"), ("T", 4, "COMPLETED")]
+    assert quality.latest_entries(ledger.drop("run")).count() == 2
+    expected = spark.createDataFrame([("S", 1, 2), ("T", 1, 2)], CHUNKS)
+    assert ingest.pending_chunks(expected, ledger).count() == 0 and ingest.pending_chunks(expected, ledger.where("run < 3")).count() == 2

@@ -35,10 +35,10 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict
     return placed.groupBy(*keys).agg(*out)
 
 
-def feed_quality(ticks: DataFrame, keys: list[str] = ["symbol"], expected_interval: int | None = None, gap_threshold: int | None = None, pip: float = PIP, chunk: int = CHUNK, expected: DataFrame | None = None) -> DataFrame:
-    """One row per key (and per row of ``expected`` keys, which may have no ticks): order, equal times, repeats, crossed and non-positive quotes, gaps, inferred missing share, spreads of valid quotes, and the hard failures that make a feed unusable."""
+def feed_quality(ticks: DataFrame, keys: list[str] = ["symbol"], expected_interval: int | None = None, gap_threshold: int | None = None, pip: float = PIP, chunk: int = CHUNK, expected: DataFrame | None = None, feed: list[str] = ["symbol"]) -> DataFrame:
+    """One row per key (and per row of ``expected`` keys, which may have no ticks; ticks follow each other within a ``feed``): order, equal times, repeats, crossed and non-positive quotes, gaps, inferred missing share, spreads of valid quotes, and the hard failures that make a feed unusable."""
     step = F.col("time_ms") - F.col("prev_time_ms")
-    moved = with_previous(ticks, ["time_ms"], chunk).withColumn("step", step).withColumn("spread", F.when(prices.valid_quote(), prices.spread_pips(pip)))
+    moved = with_previous(ticks, ["time_ms"], chunk, feed=feed).withColumn("step", step).withColumn("spread", F.when(prices.valid_quote(), prices.spread_pips(pip)))
     missing = F.greatest(F.lit(0), F.ceil(F.col("step") / expected_interval) - 1) if expected_interval else F.lit(None).cast("long")
     out = moved.groupBy(*keys).agg(
         F.count("*").alias("tick_count"),
@@ -63,12 +63,33 @@ def feed_quality(ticks: DataFrame, keys: list[str] = ["symbol"], expected_interv
     )
 
 
-def gate(ticks: DataFrame, quality: DataFrame, strict: bool = False) -> DataFrame:
+def gate(ticks: DataFrame, quality: DataFrame, strict: bool = False, feed: list[str] = ["symbol"]) -> DataFrame:
     """Ticks of the feeds without hard failure; ``strict`` makes a failed feed an error."""
     if strict:
-        checked = quality.select("symbol", F.when(F.col("valid"), True).otherwise(F.raise_error(F.concat_ws(", ", F.lit("feed refused"), "symbol", "hard_failures")).cast("boolean")).alias("__ok"))
-        return ticks.join(checked, "symbol", "left").where(F.coalesce("__ok", F.lit(False))).drop("__ok")
-    return ticks.join(quality.where("valid").select("symbol"), "symbol", "left_semi")
+        checked = quality.select(*feed, F.when(F.col("valid"), True).otherwise(F.raise_error(F.concat_ws(", ", F.lit("feed refused"), *(F.col(c).cast("string") for c in feed), "hard_failures")).cast("boolean")).alias("__ok"))
+        return ticks.join(checked, feed, "left").where(F.coalesce("__ok", F.lit(False))).drop("__ok")
+    return ticks.join(quality.where("valid").select(*feed), feed, "left_semi")
+
+
+CHUNK_KEY = ["symbol", "chunk_start_ms"]
+
+
+def with_chunk(ticks: DataFrame, start_ms: int, step: int) -> DataFrame:
+    """Add ``chunk_start_ms``, the start of the chunk of ``step`` that a tick's time lies in."""
+    return ticks.withColumn("chunk_start_ms", (F.lit(start_ms) + F.floor((F.col("time_ms") - start_ms) / step) * step).cast("long"))
+
+
+def chunk_quality(ticks: DataFrame, chunks: DataFrame | None = None, **limits) -> DataFrame:
+    """:func:`feed_quality` of every (symbol, chunk) on its own: the first tick of a chunk has none before it, and each of ``chunks`` has a verdict even without ticks."""
+    return feed_quality(ticks, CHUNK_KEY, expected=chunks, feed=CHUNK_KEY, **limits)
+
+
+def latest_entries(ledger: DataFrame) -> DataFrame:
+    """The last entry of every (symbol, chunk): of the highest ``run`` (entries without one come first), and of equal runs the fullest."""
+    run = F.coalesce(F.col("run"), F.lit(0)) if "run" in ledger.columns else F.lit(0)
+    rest = [c for c in ledger.columns if c not in CHUNK_KEY]
+    last = ledger.groupBy(*CHUNK_KEY).agg(F.max_by(F.struct(*rest), F.struct(run, "tick_count", "status")).alias("__e"))
+    return last.select(*(F.col(c) if c in CHUNK_KEY else F.col(f"__e.{c}").alias(c) for c in ledger.columns))
 
 
 def gap_observations(ticks: DataFrame, limit: int, chunk: int = CHUNK) -> DataFrame:
@@ -137,11 +158,11 @@ def chunk_calendar(spark, start_ms: int, end_ms: int, step: int) -> DataFrame:
 def chunk_coverage(expected: DataFrame, files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each expected (symbol, chunk) beside its file and its ledger entry, with a status.
 
-    ``files`` has (symbol, chunk_start_ms, file_ticks), ``ledger`` (symbol, chunk_start_ms, chunk_end_ms, tick_count, status). Missing ledger
-    entries are found first; a chunk wholly in the weekend must be in the ledger only, with no ticks.
+    ``files`` has (symbol, chunk_start_ms, file_ticks), ``ledger`` (symbol, chunk_start_ms, chunk_end_ms, tick_count, status), of which the last
+    entry of a chunk counts. Missing ledger entries are found first; a chunk wholly in the weekend must be in the ledger only, with no ticks.
     """
     key = ["symbol", "chunk_start_ms"]
-    entry = ledger.select(*key, F.col("chunk_end_ms").alias("ledger_end_ms"), F.col("tick_count").alias("ledger_ticks"), F.col("status").alias("ledger_status"))
+    entry = latest_entries(ledger).select(*key, F.col("chunk_end_ms").alias("ledger_end_ms"), F.col("tick_count").alias("ledger_ticks"), F.col("status").alias("ledger_status"))
     both = expected.join(files, key, "left").join(entry, key, "left")
     weekend = clock.inside_weekend(F.col("chunk_start_ms"), F.col("chunk_end_ms"))
     no_file = F.col("file_ticks").isNull()

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 CHUNK = 500_000
 
 
-def with_previous(ticks: DataFrame, columns: list[str], chunk: int = CHUNK, prefix: str = "prev_", ahead: bool = False) -> DataFrame:
-    """Add the previous tick's ``columns`` (``ahead``: the next one's) in feed order per symbol.
+def with_previous(ticks: DataFrame, columns: list[str], chunk: int = CHUNK, prefix: str = "prev_", ahead: bool = False, feed: list[str] = ["symbol"]) -> DataFrame:
+    """Add the previous tick's ``columns`` (``ahead``: the next one's) in feed order, per symbol or whatever names a ``feed``.
 
-    A busy symbol is cut into runs of ``chunk`` places; the tick at the edge of a run looks up the nearest tick of the
+    A busy feed is cut into runs of ``chunk`` places; the tick at the edge of a run looks up the nearest tick of the
     run beside it, from a table with one row per run.
     """
     beside, nearest = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
     runs = ticks.withColumn("__run", F.floor(F.col("seq") / chunk).cast("long"))
-    per_run = runs.groupBy("symbol", "__run").agg(nearest(F.struct(*columns), "seq").alias("__near"))
-    edges = per_run.select("symbol", "__run", beside("__near").over(Window.partitionBy("symbol").orderBy("__run")).alias("__edge"))
-    inside = Window.partitionBy("symbol", "__run").orderBy("seq")
-    joined = runs.withColumn("__beside", beside(F.struct(*columns)).over(inside)).join(edges, ["symbol", "__run"])
+    per_run = runs.groupBy(*feed, "__run").agg(nearest(F.struct(*columns), "seq").alias("__near"))
+    edges = per_run.select(*feed, "__run", beside("__near").over(Window.partitionBy(*feed).orderBy("__run")).alias("__edge"))
+    inside = Window.partitionBy(*feed, "__run").orderBy("seq")
+    joined = runs.withColumn("__beside", beside(F.struct(*columns)).over(inside)).join(edges, [*feed, "__run"])
     found = F.coalesce("__beside", "__edge")
     return joined.select(*ticks.columns, *(found[c].alias(prefix + c) for c in columns))
 

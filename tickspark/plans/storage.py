@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, prices
 from ..operators import bars, quality
-from ..schemas import DAY
+from ..schemas import DAY, HOUR
 from ..sources import scans, sinks
 from ..streaming.ingest import ingest
 from . import fixture as fx
-from .queries import _BAR, _chunks, _family_facts, _faulty, _session_study, query, r
+from .queries import _BAR, _chunks, _family_facts, _faulty, _session_study, flags, query, r
 from .studies import registry
 
 #: Half-open range that the histories are read back for.
@@ -122,11 +122,60 @@ def resumed_ingest(spark, sf_dir):
     none = spark.createDataFrame([], "symbol string, chunk_start_ms long, chunk_end_ms long, tick_count long, status string")
     ingest(spark, t, expected.where(F.col("chunk_start_ms") < fx.START + 15 * DAY), none, DAY, fx.START, data, ledger)
     ingest(spark, t, expected, scans.ledger_json(spark, ledger), DAY, fx.START, data, ledger)
-    # a chunk that had no history is asked for, and entered, by each run
-    entries = scans.ledger_json(spark, ledger).groupBy("symbol", "chunk_start_ms").agg(F.max("tick_count").alias("tick_count"), F.max("status").alias("status"))
-    start = fx.START + F.floor((F.col("time_ms") - fx.START) / DAY) * DAY
-    have = scans.parquet_ticks(spark, data).groupBy("symbol", start.cast("long").alias("chunk_start_ms")).agg(F.count("*").alias("file_ticks"))
-    return entries.join(have, ["symbol", "chunk_start_ms"], "left").na.fill(0, ["file_ticks"])
+    entries = quality.latest_entries(scans.lineage_json(spark, ledger)).select("symbol", "chunk_start_ms", "tick_count", "status")
+    return entries.join(_held(spark, data), ["symbol", "chunk_start_ms"], "left").na.fill(0, ["file_ticks"])
+
+
+def _held(spark: SparkSession, data: str) -> DataFrame:
+    """Ticks that a history has of each daily chunk."""
+    return quality.with_chunk(scans.parquet_ticks(spark, data), fx.START, DAY).groupBy("symbol", "chunk_start_ms").agg(F.count("*").alias("file_ticks"))
+
+
+def _marred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of which the last one of some days is crossed, and of others comes an hour too early."""
+    t = quality.with_chunk(fx.ticks(spark, sf_dir), fx.START, DAY)
+    last = t.groupBy("symbol", "chunk_start_ms").agg(F.max("seq").alias("__last"))
+    n, at_end = (F.col("chunk_start_ms") - fx.START) / DAY, F.col("seq") == F.col("__last")
+    early = F.greatest(F.col("chunk_start_ms"), F.col("time_ms") - HOUR)
+    crossed = F.when(at_end & (n % 7 == 2), F.col("bid") - 0.001).otherwise(F.col("ask"))
+    return t.join(last, ["symbol", "chunk_start_ms"]).withColumn("ask", crossed).withColumn("time_ms", F.when(at_end & (n % 7 == 4), early).otherwise(F.col("time_ms"))).select(*t.columns[:-1])
+
+
+def _repeated_ingest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three runs of one ingest: some days of a marred source, all days of it, and all again after the crossed quotes were mended. Gives the expected chunks, what the history holds and all ledger entries."""
+    data, ledger = fx.new_folder(spark, "chunk-data"), fx.new_folder(spark, "chunk-ledger")
+    t, marred = fx.ticks(spark, sf_dir), _marred(spark, sf_dir)
+    expected = t.select("symbol").distinct().crossJoin(quality.chunk_calendar(spark, fx.START, fx.END, DAY))
+    late = (F.floor((F.col("time_ms") - fx.START) / DAY) % 7) == 4
+    mended = t.where(~late).unionByName(marred.where(late))
+    for source, chunks in ((marred, expected.where(F.col("chunk_start_ms") < fx.START + 15 * DAY)), (marred, expected), (mended, expected)):
+        ingest(spark, source, chunks, scans.lineage_json(spark, ledger), DAY, fx.START, data, ledger, source="events", config_sha256=fx.STUDY)
+    return expected, _held(spark, data), scans.lineage_json(spark, ledger)
+
+
+@query
+def chunk_verdicts(spark, sf_dir):
+    """Every day of every feed with faults, judged on its own, and the days without ticks."""
+    t = quality.with_chunk(_faulty(spark, sf_dir), fx.START, DAY)
+    chunks = t.select("symbol").distinct().crossJoin(quality.chunk_calendar(spark, fx.START - 7 * DAY, fx.END, DAY))
+    q = quality.chunk_quality(t.where(F.col("time_ms") >= fx.START - 7 * DAY), chunks, gap_threshold=fx.GAP_LIMIT)
+    return q.select("symbol", "chunk_start_ms", "tick_count", "out_of_order", "equal_times", "duplicates", "crossed", "nonpositive", "gaps", r("spread_median"), flags("hard_failures"), "valid")
+
+
+@query
+def repeated_ingest(spark, sf_dir):
+    """Each chunk after three runs: what history and ledger say of it, and how many entries it has."""
+    expected, files, entries = _repeated_ingest(spark, sf_dir)
+    n = entries.groupBy("symbol", "chunk_start_ms").agg(F.count("*").alias("entries"), F.max("run").alias("last_run"))
+    out = quality.chunk_coverage(expected, files, entries).join(n, ["symbol", "chunk_start_ms"], "left").na.fill(0, ["entries", "last_run"])
+    return out.select("symbol", "chunk_start_ms", "file_ticks", "ledger_ticks", "chunk_status", "entries", "last_run")
+
+
+@query
+def ingest_coverage(spark, sf_dir):
+    """Coverage by feed after three runs."""
+    s = quality.coverage_summary(quality.chunk_coverage(*_repeated_ingest(spark, sf_dir)))
+    return s.select("symbol", "expected", "completed", "closed", "missing", "mismatches", r("percent"), "severity")
 
 
 @fx.shared

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import CALENDAR, CANDIDATE, DAY, LEDGER, TICK, _struct
+from ..schemas import CALENDAR, CANDIDATE, DAY, LEDGER, LINEAGE, TICK, _struct
 
 _CALENDAR_TOP = ("snapshot_id", "as_of", "source", "events")
 _CALENDAR_EVENT = ("event_id", "event_code", "name", "currency", "scheduled_at", "impact", "source")
@@ -130,6 +130,19 @@ def ledger_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).option("mode", "PERMISSIVE").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in whatever store it names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def lineage_json(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of all runs that an ingest has made, with their lineage; none if nothing was ever entered."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], LINEAGE)
+    return spark.read.schema(LINEAGE).option("mode", "PERMISSIVE").json(path).where("symbol IS NOT NULL")
+
+
 def signed_json(spark: SparkSession, path: str, schema: str | StructType, name: str = "report_sha256") -> DataFrame:
     """Rows written with a digest of their own, and ``intact``: whether it is that of the text beside it."""
     lines = spark.read.text(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import quality
+from ..schemas import LINEAGE, TICK
 
 
 def write_ticks(ticks: DataFrame, path: str, mode: str = "append", known: DataFrame | None = None) -> DataFrame:
@@ -20,6 +21,14 @@ def write_ticks(ticks: DataFrame, path: str, mode: str = "append", known: DataFr
     return report
 
 
+def replace_days(ticks: DataFrame, path: str) -> None:
+    """Write ticks by symbol and day, in place of what these partitions held before; all others stay. Tasks get ranges of rows, so a busy day is several files."""
+    placed = ticks.select(*TICK.fieldNames(), clock.day_number(F.col("time_ms")).alias("day"), F.timestamp_millis("time_ms").alias("ts"))
+    keys = ["symbol", "day", "seq"]
+    out = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.option("compression", "zstd").partitionBy("symbol", "day").parquet(path)
+
+
 def write_bars(bars: DataFrame, path: str) -> None:
     bars.repartition("symbol", "timeframe").write.mode("overwrite").partitionBy("symbol", "timeframe").parquet(path)
 
@@ -45,6 +54,12 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.select("symbol", "chunk_start_ms", "chunk_end_ms", "tick_count", "status").write.mode("append").json(path)
 
 
+def append_lineage(entries: DataFrame, path: str) -> None:
+    """Entries of one run, each with a digest that names it by all it says but its run. Later entries of a chunk stand for it; earlier ones stay readable."""
+    told = [c for c in LINEAGE.fieldNames() if c not in ("run", "lineage_id")]
+    entries.withColumn("lineage_id", F.sha2(F.to_json(F.struct(*told), {"ignoreNullFields": "false"}), 256)).select(*LINEAGE.fieldNames()).write.mode("append").json(path)
+
+
 def nested(df: DataFrame, outer: str, inner: str, values: list[str]) -> DataFrame:
     """One row per ``outer`` with a map from ``inner`` to a struct: the shape of a nested JSON report."""
     return df.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(inner), F.struct(*values))))).alias("by_" + inner))

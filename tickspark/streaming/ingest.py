@@ -2,43 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import quality
-from ..sources import sinks
+from ..operators.quality import CHUNK_KEY
+from ..schemas import TICK
+from ..sources import scans, sinks
 
 DONE = ("COMPLETED", "EXPECTED_MARKET_CLOSED")
 
 
-def pending_chunks(expected: DataFrame, ledger: DataFrame) -> DataFrame:
-    done = ledger.where(F.col("status").isin(*DONE)).select("symbol", "chunk_start_ms")
-    return expected.join(done, ["symbol", "chunk_start_ms"], "left_anti")
+def pending_chunks(expected: DataFrame, ledger: DataFrame, retry_missing: bool = True) -> DataFrame:
+    """Expected chunks whose last entry does not settle them; a chunk without history settles itself unless ``retry_missing``."""
+    done = DONE if retry_missing else (*DONE, "NO_BROKER_HISTORY")
+    settled = quality.latest_entries(ledger).where(F.col("status").isin(*done)).select(*CHUNK_KEY)
+    return expected.join(settled, CHUNK_KEY, "left_anti")
 
 
-def _written(spark: SparkSession, path: str) -> DataFrame | None:
-    """Keys of the ticks that are there already."""
-    try:
-        return spark.read.parquet(path).select("symbol", "day", "seq")
-    except AnalysisException:  # nothing was written yet
-        return None
+def _beside(spark: SparkSession, path: str, todo: DataFrame, start_ms: int, step: int) -> DataFrame:
+    """Ticks of the history that stand in a pending chunk's days and are of no pending chunk; none if chunks are whole days."""
+    day = clock.day_number
+    days = todo.select("symbol", F.explode(F.sequence(day(F.col("chunk_start_ms")), day(F.col("chunk_end_ms") - 1))).alias("day")).distinct()
+    shared = spark.read.parquet(path).join(days, ["symbol", "day"], "left_semi").select(*TICK.fieldNames())
+    return quality.with_chunk(shared, start_ms, step).join(todo.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
 
 
-def ingest(spark: SparkSession, ticks: DataFrame, expected: DataFrame, ledger: DataFrame, step: int, start_ms: int, data_path: str, ledger_path: str) -> DataFrame:
-    """Bring the pending chunks in: gate each symbol's ticks, write those that are not there yet, then append the ledger. Returns the new entries.
+def ingest(
+    spark: SparkSession,
+    ticks: DataFrame,
+    expected: DataFrame,
+    ledger: DataFrame,
+    step: int,
+    start_ms: int,
+    data_path: str,
+    ledger_path: str,
+    verdict_path: str | None = None,
+    source: str | None = None,
+    calendar_snapshot_id: str | None = None,
+    config_sha256: str | None = None,
+    retry_missing: bool = True,
+    record_missing: bool = True,
+    strict: bool = False,
+) -> DataFrame:
+    """Bring the pending chunks in: a verdict on each, then the data of the sound ones, then their entries. Returns the new entries.
 
-    A run that stopped between data and ledger leaves ticks without an entry; the next one finds them by (symbol, day, seq) and writes none twice.
+    Every (symbol, chunk) is judged on its own, so a bad tick loses its chunk and no other. A refused chunk gets a verdict and no
+    entry, and is pending again; ``strict`` makes it an error once the sound chunks are in. A chunk without ticks is entered as an
+    expected closure if it lies wholly in the weekend, else as one without history (not ``record_missing``: refused as empty).
+
+    Data replaces whole partitions of a symbol and day: a run that stopped between data and entries is made good by the next one and
+    doubles no tick. Of the history only days that a pending chunk shares with a settled one are read. Entries carry the number of their run; readers take the last one of a chunk.
     """
-    todo = pending_chunks(expected, ledger).cache()
-    start = F.lit(start_ms) + F.floor((F.col("time_ms") - start_ms) / step) * step
-    own = ticks.withColumn("chunk_start_ms", start.cast("long")).join(todo.select("symbol", "chunk_start_ms"), ["symbol", "chunk_start_ms"], "left_semi").drop("chunk_start_ms")
-    report = sinks.write_ticks(own.select("symbol", "seq", "time_ms", "bid", "ask", "flags"), data_path, known=_written(spark, data_path))
-    counts = quality.gate(own, report).withColumn("chunk_start_ms", start.cast("long")).groupBy("symbol", "chunk_start_ms").agg(F.count("*").alias("tick_count"))
+    known = quality.latest_entries(ledger)
+    run = (ledger.agg(F.max("run")).first()[0] or 0) + 1 if "run" in ledger.columns else 1
+    todo = pending_chunks(expected, known, retry_missing)
+    own = quality.with_chunk(ticks, start_ms, step).join(todo.select(*CHUNK_KEY), CHUNK_KEY, "left_semi").select(*TICK.fieldNames(), "chunk_start_ms")
+
+    # verdicts are written down first: they decide twice, on the data and on the entries
+    verdict_path = verdict_path or ledger_path.rstrip("/") + "-verdicts"
+    verdicts = quality.chunk_quality(own, todo).join(todo, CHUNK_KEY).withColumn("run", F.lit(run).cast("long"))
+    verdicts.write.mode("append").parquet(verdict_path)
+    verdicts = spark.read.schema(verdicts.schema).parquet(verdict_path).where(F.col("run") == run).dropDuplicates(CHUNK_KEY)
+    good = quality.gate(own, verdicts, feed=CHUNK_KEY)
+    sinks.replace_days(good.unionByName(_beside(spark, data_path, todo, start_ms, step)) if scans.exists(spark, data_path) else good, data_path)
+
     closed = clock.inside_weekend(F.col("chunk_start_ms"), F.col("chunk_end_ms"))
-    status = F.when(F.col("tick_count") > 0, "COMPLETED").when(closed, "EXPECTED_MARKET_CLOSED").otherwise("NO_BROKER_HISTORY")
-    refused = report.where("NOT valid").select("symbol")
-    entries = todo.join(refused, "symbol", "left_anti").join(counts, ["symbol", "chunk_start_ms"], "left").na.fill(0, ["tick_count"]).withColumn("status", status)
-    sinks.append_ledger(entries, ledger_path)
-    return entries
+    empty = F.col("tick_count") == 0
+    status = F.when(F.col("valid"), "COMPLETED").when(empty & closed, "EXPECTED_MARKET_CLOSED").when(empty & F.lit(record_missing), "NO_BROKER_HISTORY")
+    said = {"source": source, "calendar_snapshot_id": calendar_snapshot_id, "config_sha256": config_sha256}
+    judged = verdicts.withColumn("status", status).withColumns({k: F.lit(v).cast("string") for k, v in said.items()})
+    sinks.append_lineage(judged.where("status IS NOT NULL"), ledger_path)
+    if strict and (refused := judged.where("status IS NULL").orderBy(*CHUNK_KEY).first()):
+        raise ValueError(f"chunk refused: {refused.symbol} {refused.chunk_start_ms}: {', '.join(refused.hard_failures)}")
+    return scans.lineage_json(spark, ledger_path).where(F.col("run") == run)
