@@ -72,11 +72,13 @@ def levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = nodes
     while True:
         tops.append(now.where("size = 1").select("tree", F.lit(level).alias("depth"), "digest"))
-        if (now.agg(F.max("size")).first()[0] or 0) <= 1:
+        found = now.agg(F.max("size").alias("most"), F.count("*").alias("n")).first()
+        if (found["most"] or 0) <= 1:
             break
         level += 1
         members = now.where("size > 1").groupBy("tree", F.floor(F.col("place") / FAN).alias("run"), F.ceil(F.col("size") / FAN).alias("of")).agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("m"))
-        made = materialize(members.select("tree", F.lit(level).alias("level"), "run", "of", F.col("m.digest").alias("children")), "merkle-level")
+        made = members.select("tree", F.lit(level).alias("level"), "run", "of", F.col("m.digest").alias("children"))
+        made = materialize(made.coalesce(buckets_for(found["n"], 20_000, 1)), "merkle-level")  # small levels need few tasks
         runs.append(made)
         now = made.select("tree", F.col("run").alias("place"), F.col("of").alias("size"), F.sha2(F.array_join("children", ""), 256).alias("digest"))
     none = "tree long, level int, run long, of long, children array<string>"
@@ -143,14 +145,20 @@ def _climbing(spark: SparkSession):
 
 
 def climb(starts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A written table (tree, place, level, folded, siblings): for every row of ``starts`` (tree, place, block, run, k, start) one row for the leaf (level 0) and one for each run above it."""
+    """A written table (tree, place, folded_root, proof_sha256) for every row of ``starts`` (tree, place, block, run, k, start).
+
+    The steps of the recursive query (level 0 for the leaf, one for each run above it) go into these rows as they are; they are not written down.
+    """
     spark = starts.sparkSession
     names = {"starts": "merkle_starts", "nodes": "merkle_nodes"}
     starts.createOrReplaceTempView(names["starts"])
     nodes.createOrReplaceTempView(names["nodes"])
     try:
         with _climbing(spark):
-            return materialize(spark.sql(_CLIMB.format(**names)), "merkle-climb")
+            steps = spark.sql(_CLIMB.format(**names))
+            proofs = steps.groupBy("tree", "place").agg(F.max_by("folded", "level").alias("folded_root"), F.array_sort(F.collect_list(F.struct("level", "siblings"))).alias("s"))
+            told = F.sha2(F.array_join(F.transform("s", lambda x: F.lower(F.hex(x["siblings"]))), ""), 256)
+            return materialize(proofs.select("tree", "place", "folded_root", told.alias("proof_sha256")), "merkle-proofs")
     finally:
         for view in names.values():
             spark.catalog.dropTempView(view)
@@ -170,10 +178,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     alone = F.col("size") == 1  # a lone leaf stands among the subroots
     at = F.when(alone, F.col("tree")).otherwise(F.col("place"))
     starts = placed.select("tree", "place", F.floor(F.col("place") / BLOCK).alias("block"), F.floor(at / FAN).alias("run"), (at % FAN).alias("k"), "start")
-    steps = climb(starts, nodes)
-    proofs = steps.groupBy("tree", "place").agg(F.max_by("folded", "level").alias("folded_root"), F.array_sort(F.collect_list(F.struct("level", "siblings"))).alias("s"))
-    told = F.sha2(F.array_join(F.transform("s", lambda x: F.lower(F.hex(x["siblings"]))), ""), 256)
-    proofs = proofs.select("tree", "place", "folded_root", told.alias("proof_sha256"))
+    proofs = climb(starts, nodes)
     return (
         placed.join(proofs, ["tree", "place"])
         .join(trees.select("tree", "subroot"), "tree")
