@@ -3,6 +3,8 @@ from zlib import crc32
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tickspark.llm import queries, sharding
 from tickspark.llm._common import materialize
 
@@ -56,3 +58,60 @@ def test_hot_group_nulls_and_ties(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert sharding.assign_shards(materialize(sharding.describe(df), "test-rows")).count() == 0
+
+
+def test_order_and_cut_equal_brute_force(spark):
+    """Codes, curve places, order and cuts worked out row by row; no group is larger than a tenth of a shard or shares its text."""
+    rows = [(i, f"{i} " + "x" * (i * 37 % 900), ("en", "en", "de", None)[i % 4], f"s{i * 7 % 11:02}" if i % 13 else None) for i in range(600)]
+    described = materialize(sharding.describe(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "test-rows")
+    size = {r[0]: len(r[1].encode()) + 16 for r in rows}
+    total = sum(size.values())
+
+    def code(k):
+        own = defaultdict(int)
+        for r in rows:
+            own[r[k]] += size[r[0]]
+        out, before = {}, 0
+        for v in sorted(own, key=lambda v: (v is not None, v or "")):
+            out[v] = int((before + own[v] / 2) / total * 64)
+            before += own[v]
+        return out
+
+    langs, sources = code(2), code(3)
+    assert len(set(langs.values())) == 3 and len(set(sources.values())) == 12
+    axes = np.array([(langs[r[2]], sources[r[3]], min(63, int(np.floor(4 * np.log2(size[r[0]] / 16))))) for r in rows])
+    keys = {r.doc_id: (r.text_hash, r.size, r.text_crc32, r.tie) for r in described.withColumn("tie", F.xxhash64("doc_id")).collect()}
+    order = sorted((int(p), *keys[r[0]], r[0]) for p, r in zip(sharding.hilbert_index(axes), rows))
+    want, at, slots = {}, 0, defaultdict(int)
+    for *_, i in order:
+        shard = min(39, int((2 * at + size[i]) * 40 // (2 * total)))
+        want[i] = (shard, slots[shard])
+        at, slots[shard] = at + size[i], slots[shard] + 1
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(described).collect()} == want
+
+
+def test_files_prune_on_every_dimension(spark, sf_dir):
+    """By least and greatest values, a filter on one language, source or size leaves fewer shards to read than rows ordered by hash, and fewer on language and source than rows ordered by size."""
+    described = materialize(sharding.describe(spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet")), "test-rows")
+    shards = {r.doc_id: r.shard for r in sharding.assign_shards(described).collect()}
+    rows = [(r.doc_id, r.lang, r.source, r["size"]) for r in described.collect()]
+    total = sum(r[3] for r in rows)
+
+    def by(order):
+        at, out = 0, {}
+        for r in sorted(rows, key=order):
+            out[r[0]] = min(39, at * 40 // total)
+            at += r[3]
+        return out
+
+    def read(of, k):
+        """Shards whose range holds a value, on average over the rows' values."""
+        ranges = {}
+        for r in rows:
+            low, high = ranges.get(of[r[0]], (r[k], r[k]))
+            ranges[of[r[0]]] = (min(low, r[k]), max(high, r[k]))
+        return np.mean([sum(low <= v <= high for low, high in ranges.values()) for v in (r[k] for r in rows)])
+
+    curve, hashed, sized = ([read(of, k) for k in (1, 2, 3)] for of in (shards, by(lambda r: crc32(str(r[0]).encode())), by(lambda r: (r[3], r[0]))))
+    assert all(a < 0.75 * b for a, b in zip(curve, hashed)), (curve, hashed)
+    assert curve[0] < 0.75 * sized[0] and curve[1] < 0.75 * sized[1], (curve, sized)

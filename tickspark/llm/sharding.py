@@ -3,7 +3,11 @@
 Size, language and source are quantised to a cube, a Hilbert curve runs
 through it, and the rows sorted by their place on it are cut into runs of near
 equal bytes. Rows of one shard are then close in every dimension, so the
-minimum and maximum of a file prune on any of them.
+minimum and maximum of a file prune on any of them. Codes of languages and
+sources follow the order of their values: a value's code is the share of all
+bytes that stand before its middle, so neighbours on an axis are neighbours in
+order, heavy values lie far apart, and light ones share a code with those
+beside them. Sizes go by their logarithm.
 
 Law ``bytes``: a row goes to the shard in which its middle byte falls. Rows of
 equal texts stand together (their place comes from the least source and
@@ -71,15 +75,30 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def codes(described: DataFrame, column: str) -> DataFrame:
+    """Rows (__value, code) for each value of ``column`` (in a struct, so that null is a value like others, and the first): the code under ``2**BITS`` of its middle byte when all bytes are ordered by value.
+
+    Running sums are by ranges of values, so there may be any number of them.
+    """
+    sums = described.groupBy(column).agg(F.sum("size").alias("b"))
+    ranges = materialize(sums.repartitionByRange(buckets_for(sums.count()), column).withColumn("__part", F.spark_partition_id()), "shard-values")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranges.groupBy("__part").agg(F.sum("b").alias("b")).select("__part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("__before"), F.sum("b").over(Window.partitionBy()).alias("__all"))
+    inside = Window.partitionBy("__part").orderBy(F.col(column).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("__before") + F.sum("b").over(inside) - F.col("b") / 2
+    return ranges.join(parts, "__part").select(F.struct(F.col(column).alias("v")).alias("__value"), F.floor(middle / F.col("__all") * (1 << BITS)).cast("long").alias("code"))
+
+
 def assign_shards(described: DataFrame, shards: int = 40) -> DataFrame:
     """Add ``law``, ``shard``, ``slot`` and ``grown_shard`` to a written table of :func:`describe`."""
     top = (1 << BITS) - 1
     totals = described.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     n, total = totals["n"], max(totals["bytes"], 1)
     groups = described.groupBy(*_GROUP).agg(F.min(F.struct("source", "lang")).alias("__least"), F.count("*").alias("__copies"))
-    bucket = lambda c: F.when(c.isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(top)) + 1).cast("long")
     log_size = F.least(F.floor(4 * F.log2(F.col("size") / OVERHEAD)), F.lit(top)).cast("long")
-    places = groups.select(*_GROUP, "__copies", _place(bucket(F.col("__least.lang")), bucket(F.col("__least.source")), log_size).alias("place"))
+    for c in ("lang", "source"):
+        groups = groups.withColumn("__value", F.struct(F.col(f"__least.{c}").alias("v"))).join(codes(described, c).withColumnRenamed("code", f"__{c}"), "__value").drop("__value")
+    places = groups.select(*_GROUP, "__copies", _place(F.col("__lang"), F.col("__source"), log_size).alias("place"))
     keys = ["place", *_GROUP, "__tie", "doc_id"]
     rows = described.join(places, _GROUP).withColumn("__tie", F.xxhash64("doc_id"))
     ranges = materialize(rows.repartitionByRange(buckets_for(n, 20_000, 16), *keys).withColumn("__part", F.spark_partition_id()), "shard-ranges")
