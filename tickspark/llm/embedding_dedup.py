@@ -258,12 +258,14 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: in
     other = short.select("label", "dim", F.col("cell").alias("cell_b"), F.col("salt").alias("salt_b"), F.col("far").alias("far_b"))
     met = short.join(other, ["label", "dim"]).where("cell < cell_b OR (cell = cell_b AND salt <= salt_b)")
     met = met.withColumn("apart", between("dim", "cell", "cell_b")).where(F.col("apart") <= F.col("far") + F.col("far_b") + F.lit(reach))
-    met = materialize(met.select(*keys, "cell_b", "salt_b", F.xxhash64(*keys, "cell_b", "salt_b").alias("pair")), "cover-pairs")
+    met = materialize(met.select(*keys, "cell_b", "salt_b"), "cover-pairs")
     # each block goes once to every pair that it is in
     twin = ((F.col("cell") == F.col("cell_b")) & (F.col("salt") == F.col("salt_b"))).alias("twin")
-    left = met.select(*keys, "pair", twin, F.lit(0).alias("side"))
-    right = met.where("cell <> cell_b OR salt <> salt_b").select("label", "dim", F.col("cell_b").alias("cell"), F.col("salt_b").alias("salt"), "pair", twin, F.lit(1).alias("side"))
-    sides = blocks.join(left.unionByName(right), keys).select("pair", "side", "twin", "ids", "copies", "points", "shape")
+    pair = {"cell_1": "cell", "salt_1": "salt", "cell_2": "cell_b", "salt_2": "salt_b"}
+    named = [F.col(c).alias(name) for name, c in pair.items()]
+    left = met.select(*keys, *named, twin, F.lit(0).alias("side"))
+    right = met.where("cell <> cell_b OR salt <> salt_b").select("label", "dim", F.col("cell_b").alias("cell"), F.col("salt_b").alias("salt"), *named, twin, F.lit(1).alias("side"))
+    sides = blocks.join(left.unionByName(right), keys).select("label", "dim", *pair, "side", "twin", "ids", "copies", "points", "shape")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         one, *rest = pdf.sort_values("side").to_dict("records")
@@ -276,7 +278,7 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: in
             out.append(pd.DataFrame({"u": ids_a[i], "v": pd.array(ids_b[j], dtype="Int64"), "n": np.zeros(len(i), np.int64)}))
         return pd.concat(out)
 
-    return sides.groupBy("pair").applyInPandas(compare, "u long, v long, n long")
+    return sides.groupBy("label", "dim", *pair).applyInPandas(compare, "u long, v long, n long")
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS, leaf: int = LEAF) -> DataFrame:
