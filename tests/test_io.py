@@ -121,6 +121,56 @@ def test_csv_files_in_other_orders(spark, tmp_path):
     assert all(r.ask > r.bid for r in rows)
 
 
+def test_a_bad_cell_is_told_with_its_line(spark, tmp_path):
+    lines = [f"{100 + i},1.0,1.1,2" for i in range(4000)]
+    for name, at, line in (("a", 2999, "abc,1.0,1.1,0"), ("b", 0, "5,,1.1,0"), ("c", 3999, "5,1.0,1.1,x"), ("d", 10, "5,1.0")):
+        (tmp_path / f"{name}.csv").write_text("time_ms,bid,ask,flags\n" + "\n".join([*lines[:at], line, *lines[at + 1 :]]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")  # several blocks a file
+    try:
+        for name, told in (("a", r"a.csv line 3001: time_ms = abc"), ("b", r"b.csv line 2: bid = "), ("c", r"c.csv line 4001: flags = x"), ("d", r"d.csv line 12: ask = ")):
+            with pytest.raises(Exception, match=told):
+                scans.csv_ticks(spark, str(tmp_path / f"{name}.csv"), "S").collect()
+        (tmp_path / "e.csv").write_text("time_ms,bid,ask,flags\n" + "\n".join(lines) + "\n")
+        rows = scans.csv_ticks(spark, str(tmp_path / "e.csv"), "S").orderBy("seq").collect()
+        assert [(r.seq, r.time_ms, r.flags) for r in rows] == [(i, 100 + i, 2) for i in range(4000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_manifest_reads_new_files_only(spark, sf_dir, tmp_path):
+    b = fx.all_bars(spark, sf_dir).where("timeframe = 'BASE'")
+    path, manifest = str(tmp_path / "bars"), str(tmp_path / "manifest")
+    for k, symbol in enumerate(("click", "view")):
+        b.where(F.col("symbol") == symbol).coalesce(1).write.mode("append").partitionBy("symbol", "timeframe").parquet(path)
+        files = sinks.update_manifest(spark, path, manifest)
+        assert files.count() == k + 1 == spark.read.parquet(manifest).count()
+    assert sinks.update_manifest(spark, path, manifest).count() == 2 == spark.read.parquet(manifest).count()
+    got = {r.symbol: (r.rows, r.files) for r in sinks.manifest_of(files).collect()}
+    assert got == {s: (b.where(F.col("symbol") == s).count(), 1) for s in ("click", "view")}
+    b.where("symbol = 'view'").limit(3).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe").parquet(path)
+    assert {r.symbol: r.rows for r in sinks.update_manifest(spark, path, manifest).collect()}["view"] == 3
+
+
+def test_json_has_plain_values(spark, tmp_path):
+    sql = "SELECT timestamp'2026-01-02 03:04:05' AS a, timestamp'2026-01-02 03:04:05.25' AS b, double('NaN') AS c, array(double('Infinity'), 1.5D) AS d, map(7, timestamp'2026-01-01 00:00:00') AS e, named_struct('x', double('-Infinity'), 'y', 'z') AS f, CAST(NULL AS STRUCT<x: DOUBLE>) AS g, timestamp_ntz'2026-01-02 03:04:05.000001' AS h"
+    sinks.write_json(spark.sql(sql), str(tmp_path / "j"))
+    (line,) = [r.value for r in spark.read.text(str(tmp_path / "j")).collect()]
+    assert json.loads(line) == {"a": "2026-01-02T03:04:05Z", "b": "2026-01-02T03:04:05.250000Z", "d": [None, 1.5], "e": {"7": "2026-01-01T00:00:00Z"}, "f": {"y": "z"}, "h": "2026-01-02T03:04:05.000001Z"}
+
+
+def test_report_of_arms(spark):
+    from tickspark.plans.studies import research_report
+
+    rows = [("F", p, s, f"c{i}", i * HOUR, g, g - c, 0.0, 1.0) for p, g in (("A", 1.0), ("B", 0.05)) for i in range(12) for s, c in (("BASELINE_1X", 0.04), ("BASELINE_1.25X", 0.05))]
+    facts = spark.createDataFrame(rows, "family string, policy string, scenario string, candidate_id string, exit_ms long, gross_r double, net_r double, mae_r double, mfe_r double")
+    report = research_report(facts, ["family"], samples=20)
+    got = {r.policy: r for r in report.collect()}
+    assert (got["A"].execution_fragile, got["B"].execution_fragile) == (False, True) and got["A"].lower_95 == pytest.approx(0.96)
+    assert got["A"].lineage == got["B"].lineage and len(got["A"].lineage) == 64  # the same trades under two policies
+    text = sinks.research_markdown(report, "Study", ["family", "policy"])
+    assert "| F A | 12 | 0.960 [0.960, 0.960] | 1.000 | 100.0% | 0.000 | 0 |" in text and "- F B: BASELINE_1.25X 0.000; fragile: true" in text and got["A"].lineage in text
+
+
 def test_ingest_after_a_stop_repeats_nothing(spark, tmp_path):
     data, ledger = str(tmp_path / "data"), str(tmp_path / "ledger")
     ticks = spark.createDataFrame([("S", i, MONDAY + i * HOUR, 1.0, 1.1, 0) for i in range(60)], TICK)

@@ -51,7 +51,11 @@ def _flags(zero_ratio: float, *more: tuple[Column, str]) -> Column:
 def base_bars(gapped: DataFrame, width: int = HOUR, extreme: float = 5.0, zero_ratio: float = 0.5) -> DataFrame:
     """One row per symbol and non-empty bar; nothing is made for empty ones."""
     bucketed = gapped.withColumn("bar_start_ms", F.col("time_ms") - F.pmod(F.col("time_ms"), F.lit(width)))
-    bars = bucketed.groupBy("symbol", "bar_start_ms").agg(*_measures(extreme))
+    return with_flags(bucketed.groupBy("symbol", "bar_start_ms").agg(*_measures(extreme)), width, zero_ratio)
+
+
+def with_flags(bars: DataFrame, width: int, zero_ratio: float = 0.5) -> DataFrame:
+    """Add what follows from a base bar's measures: its end, the share of zero spreads, and its flags."""
     bars = bars.withColumn("zero_spread_ratio", F.col("zero_spread_count") / F.col("tick_count"))
     return bars.withColumn("bar_end_ms", F.col("bar_start_ms") + width).withColumn("quality_flags", _flags(zero_ratio)).withColumn("empty_count", F.lit(0).cast("long"))
 

@@ -38,7 +38,7 @@ def post_release(calendar: DataFrame, ticks: DataFrame, observe_ms: int, pip: fl
     symbols = ticks.select("symbol").distinct()
     spans = calendar.select("event_id", "scheduled_ms").withColumn("cutoff_ms", F.col("scheduled_ms") + observe_ms).crossJoin(symbols)
     quotes = ticks.select("symbol", "time_ms", prices.spread_pips(pip).alias("spread"), prices.mid().alias("mid"))
-    seen = interval_join(spans, quotes, "scheduled_ms", "cutoff_ms", "time_ms", observe_ms)
+    seen = interval_join(spans, quotes, "scheduled_ms", "cutoff_ms", "time_ms", observe_ms, observe_ms)
     per = seen.groupBy("event_id", "symbol").agg(F.count("*").alias("ticks"), F.percentile("spread", F.lit(0.5)).alias("median_spread"), ((F.max("mid") - F.min("mid")) / pip).alias("range_pips"))
     return spans.join(per, ["event_id", "symbol"], "left").na.fill(0, ["ticks"]).select("event_id", "symbol", "scheduled_ms", "ticks", "median_spread", "range_pips")
 
@@ -49,7 +49,7 @@ def level_excursions(candidates: DataFrame, ticks: DataFrame, search_ms: int, lo
     The spread is that of the tick itself; with ``look_ahead_spread`` it is the median over all ticks searched, which looks ahead.
     """
     ideas = candidates.where("level > 0 AND atr > 0").select("candidate_id", "symbol", "direction", "level", "atr", "available_ms").withColumn("until_ms", F.col("available_ms") + search_ms)
-    path = interval_join(ideas, ticks.select("symbol", "seq", "time_ms", "bid", "ask"), "available_ms", "until_ms", "time_ms", bucket_ms)
+    path = interval_join(ideas, ticks.select("symbol", "seq", "time_ms", "bid", "ask"), "available_ms", "until_ms", "time_ms", bucket_ms, search_ms)
     spread = F.col("ask") - F.col("bid")
     if look_ahead_spread:
         middle = path.groupBy("candidate_id").agg(F.percentile(spread, F.lit(0.5)).alias("__spread"))
@@ -65,13 +65,14 @@ def _clip(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
-def window_features(events: DataFrame, ticks: DataFrame, pre_ms: int = 30_000, excursion_ms: int = 15_000, post_ms: int = 45_000, baseline: DataFrame | None = None, pip: float = PIP) -> DataFrame:
+def window_features(events: DataFrame, ticks: DataFrame, pre_ms: int = 30_000, excursion_ms: int = 15_000, post_ms: int = 45_000, baseline: DataFrame | None = None, pip: float = PIP, baseline_keys: list[str] = ["symbol"]) -> DataFrame:
     """Fourteen numbers on the quotes before, during and after each event, by conditional aggregates over one interval join.
 
-    An empty stretch after the excursion falls back to the excursion, an empty one before it to the excursion's first tick. ``baseline`` has (symbol, feature, median, mad) for ``tick_intensity`` and ``spread_pips``.
+    An empty stretch after the excursion falls back to the excursion, an empty one before it to the excursion's first tick. ``baseline`` has (symbol, feature, median, mad, n) for ``tick_intensity`` and ``spread_pips``;
+    with ``baseline_keys`` of symbol and session that of the event's session counts. ``baseline_n`` is the least n over its features, 0 without any.
     """
     spans = events.withColumn("__a", F.col("event_ms") - pre_ms).withColumn("__b", F.col("event_ms") + post_ms)
-    around = interval_join(spans, ticks.select("symbol", "seq", "time_ms", "bid", "ask", "flags"), "__a", "__b", "time_ms", pre_ms + post_ms)
+    around = interval_join(spans, ticks.select("symbol", "seq", "time_ms", "bid", "ask", "flags"), "__a", "__b", "time_ms", pre_ms + post_ms, pre_ms + post_ms)
     segment = F.when(F.col("seq") < F.col("event_seq"), "pre").when(F.col("time_ms") <= F.col("event_ms") + excursion_ms, "exc").otherwise("post")
     around = around.withColumn("seg", segment).withColumn("mid", prices.mid()).withColumn("spread", prices.spread_pips(pip))
     w = Window.partitionBy("candidate_id", "seg").orderBy("seq")
@@ -97,10 +98,14 @@ def window_features(events: DataFrame, ticks: DataFrame, pre_ms: int = 30_000, e
     intensity = F.when(n < 2, 0.0).otherwise((n - 1) / F.greatest((after("t1") - after("t0")) / 1000.0, F.lit(1e-3)))
     if baseline is None:
         z = lambda feature, x: F.lit(0.0)
-        base_spread = F.lit(None).cast("double")
+        base_spread, baseline_n = F.lit(None).cast("double"), F.lit(0).cast("long")
     else:
-        wide = baseline.groupBy("symbol").agg(*(F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"{f}_{c}") for f in ("tick_intensity", "spread_pips") for c in ("median", "mad")))
-        a = a.join(wide, "symbol", "left")
+        known = F.min(F.col("n") if "n" in baseline.columns else F.lit(0).cast("long")).alias("__known")
+        wide = baseline.groupBy(*baseline_keys).agg(known, *(F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"{f}_{c}") for f in ("tick_intensity", "spread_pips") for c in ("median", "mad")))
+        if "session" in baseline_keys:
+            a = a.withColumn("session", clock.session(F.col("event_ms")))
+        a = a.join(wide, baseline_keys, "left")
+        baseline_n = F.coalesce("__known", F.lit(0).cast("long"))
         z = lambda feature, x: F.coalesce((x - F.col(f"{feature}_median")) / F.greatest(1.4826 * F.col(f"{feature}_mad"), F.lit(1e-9)), F.lit(0.0))
         base_spread = F.when(F.col("spread_pips_median") != 0, F.col("spread_pips_median"))
     post_spread = F.greatest(after("spread"), F.lit(1e-9))
@@ -123,7 +128,7 @@ def window_features(events: DataFrame, ticks: DataFrame, pre_ms: int = 30_000, e
         "quote_asymmetry": F.coalesce(F.try_divide((F.col("bids") - F.col("asks")).cast("double"), quotes), F.lit(0.0)) * F.col("sign"),
         "alignment": (F.col("side") * F.col("sign")).cast("double"),
     }
-    return a.select("candidate_id", "symbol", "direction", "event_ms", *(v.alias(k) for k, v in values.items()))
+    return a.select("candidate_id", "symbol", "direction", "event_ms", *(v.alias(k) for k, v in values.items()), baseline_n.alias("baseline_n"))
 
 
 def classify_states(features: DataFrame, baseline_n: Column | None = None) -> DataFrame:

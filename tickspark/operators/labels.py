@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs, prices
 from ..schemas import PIP
+from . import extremes
 from .sequence import as_of, interval_join, with_previous
 
 POLICIES = ("FIXED_RR", "DYNAMIC_RR", "STRUCTURE_TARGET", "PARTIAL_TRAILING")
@@ -12,13 +13,13 @@ TARGETS = (1.0, 1.5, 2.0, 3.0)
 GEOMETRY = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
 
 
-def bar_paths(candidates: DataFrame, base: DataFrame, horizon: int) -> DataFrame:
-    """Candidate rows beside each of the ``horizon`` bars, by count, from the one that starts at the candidate's time; without such a bar there is no path."""
+def bar_paths(candidates: DataFrame, base: DataFrame, horizon: int, keep: list[str] = []) -> DataFrame:
+    """Candidate rows (with the columns ``keep``) beside each of the ``horizon`` bars, by count, from the one that starts at the candidate's time; without such a bar there is no path."""
     w = Window.partitionBy("symbol").orderBy("bar_start_ms")
     numbered = base.select("symbol", "bar_start_ms", "bar_end_ms", "bid_high", "bid_low", "bid_close", "ask_high", "ask_low", "ask_close").withColumn("no", F.row_number().over(w) - 1)
     starts = numbered.select("symbol", F.col("bar_start_ms").alias("available_ms"), F.col("no").alias("first_no"))
-    ideas = candidates.select("candidate_id", "symbol", "direction", "entry", "stop_loss", "available_ms", "regime", "session").join(starts, ["symbol", "available_ms"]).withColumn("last_no", F.col("first_no") + horizon - 1)
-    path = interval_join(ideas, numbered.withColumnRenamed("bar_end_ms", "path_end_ms").drop("bar_start_ms"), "first_no", "last_no", "no", horizon)
+    ideas = candidates.select("candidate_id", "symbol", "direction", "entry", "stop_loss", "available_ms", "regime", "session", *keep).join(starts, ["symbol", "available_ms"]).withColumn("last_no", F.col("first_no") + horizon - 1)
+    path = interval_join(ideas, numbered.withColumnRenamed("bar_end_ms", "path_end_ms").drop("bar_start_ms"), "first_no", "last_no", "no", horizon, horizon)
     long, risk = prices.is_long(), prices.planned_risk()
     fav = F.when(long, F.col("bid_high") - F.col("entry")).otherwise(F.col("entry") - F.col("ask_low")) / risk
     adv = F.when(long, F.col("bid_low") - F.col("entry")).otherwise(F.col("entry") - F.col("ask_high")) / risk
@@ -89,7 +90,7 @@ def outcome_geometry(candidates: DataFrame, base: DataFrame, horizon: int = 36,
 
     A target first touched in a bar with a stop is ambiguous, even after an earlier stop; one first touched without a stop counts only if no bar before it had one.
     """
-    path = bar_paths(candidates, base, horizon).withColumn("stop_r", F.col("adv") <= -1)
+    path = bar_paths(candidates, base, horizon, [k for k in keys if k not in ("symbol", "direction", "regime", "session")]).withColumn("stop_r", F.col("adv") <= -1)
     at = lambda test: F.min(F.when(test, F.col("pos")))
     names = [str(t).replace(".", "_") for t in GEOMETRY]
     per = path.groupBy("candidate_id", *keys).agg(at(F.col("stop_r")).alias("s"), *(at(F.col("fav") >= t).alias(f"t_{n}") for t, n in zip(GEOMETRY, names)), *(at((F.col("fav") >= t) & F.col("stop_r")).alias(f"a_{n}") for t, n in zip(GEOMETRY, names)))
@@ -104,7 +105,7 @@ def outcome_geometry(candidates: DataFrame, base: DataFrame, horizon: int = 36,
 def tick_barriers(candidates: DataFrame, ticks: DataFrame, latency_ms: int = 0, entry_slip: float = 0.0, exit_slip: float = 0.0, commission_r: float = 0.0, pip: float = PIP, bucket_ms: int = 3_600_000) -> DataFrame:
     """First barrier that each candidate's quotes touch: profit, stop, both in one millisecond (at the worst price), or time.
 
-    Entry is the first tick at or after the available time plus latency, at the ask for a long one; the search starts at the next tick in order. The time barrier does not move with
+    Of the quotes until the barrier only those of three narrow cells are read, see :mod:`.extremes`. Entry is the first tick at or after the available time plus latency, at the ask for a long one; the search starts at the next tick in order. The time barrier does not move with
     latency: at exactly that time the last tick closes, else the first tick after it, however late.
     """
     long = prices.is_long()
@@ -129,7 +130,7 @@ def tick_barriers(candidates: DataFrame, ticks: DataFrame, latency_ms: int = 0,
     beyond = F.when(long, F.col("entry_fill") <= F.col("stop_loss")).otherwise(F.col("entry_fill") >= F.col("stop_loss"))
     entered = entered.withColumn("refused", F.when(F.col("entry_ms").isNull(), "NO_TICK").when(beyond, "FILL_BEYOND_STOP"))
     live = entered.where("refused IS NULL AND entry_ms <= barrier_ms").select("candidate_id", "symbol", "direction", "stop_loss", "take_profit", "entry_ms", "entry_seq", "barrier_ms")
-    path = interval_join(live, ticks.select("symbol", "seq", "time_ms", "bid", "ask"), "entry_ms", "barrier_ms", "time_ms", bucket_ms).where("seq > entry_seq")
+    path = extremes.touching_ticks(live, ticks.select("symbol", "seq", "time_ms", "bid", "ask"), max(1, bucket_ms // extremes.FAN))
     tp = F.when(long, F.col("bid") >= F.col("take_profit")).otherwise(F.col("ask") <= F.col("take_profit"))
     sl = F.when(long, F.col("bid") <= F.col("stop_loss")).otherwise(F.col("ask") >= F.col("stop_loss"))
     quote = F.struct("seq", "bid", "ask")

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import selection
+
 MIN_ROWS = 800
 
 
+def robust_limits(fit_on: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """Median and median deviation of each feature: two numbers a feature, whatever the number of rows."""
+    return {r.feature: (r.median, r.mad) for r in selection.median_deviations(fit_on, [], features).collect()}
+
+
+def scaled(rows: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """Features less their median, over 1.4826 times their median deviation (1e-9 at least)."""
+    return rows.withColumns({f: (F.col(f) - F.lit(middle)) / max(1e-9, 1.4826 * away) for f, (middle, away) in limits.items()})
+
+
 def robust_scaled(rows: DataFrame, fit_on: DataFrame, features: list[str]) -> DataFrame:
-    """Features less their median, over 1.4826 times their median deviation (1e-9 at least), both from ``fit_on``."""
-    middle = fit_on.agg(*(F.percentile(f, F.lit(0.5)).alias(f"{f}__m") for f in features))
-    away = fit_on.crossJoin(F.broadcast(middle)).agg(*(F.percentile(F.abs(F.col(f) - F.col(f"{f}__m")), F.lit(0.5)).alias(f"{f}__d") for f in features))
-    both = rows.crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(away))  # one row each
-    scaled = {f: (F.col(f) - F.col(f"{f}__m")) / F.greatest(F.lit(1e-9), 1.4826 * F.col(f"{f}__d")) for f in features}
-    return both.withColumns(scaled).select(*rows.columns)
+    """``rows`` scaled by the limits of ``fit_on``."""
+    return scaled(rows, robust_limits(fit_on, features))
 
 
 def conformal_threshold(calibration: DataFrame, keys: list[str] = [], alpha: float = 0.10, p: str = "p", y: str = "y") -> DataFrame:
     """The order statistic of 1 - P(true label) at the upper index of its 1 - alpha quantile."""
     score = 1.0 - F.when(F.col(y) == 1, F.col(p)).otherwise(1.0 - F.col(p))
-    w = Window.partitionBy(*keys)
-    ranked = calibration.withColumn("__s", score).withColumn("__k", F.row_number().over(w.orderBy("__s")) - 1).withColumn("__n", F.count("*").over(w))
-    index = F.least(F.col("__n") - 1, F.greatest(F.lit(0), F.floor((F.col("__n") - 1) * (1.0 - alpha) + 0.999999)))
-    return ranked.where(F.col("__k") == index).select(*keys, F.col("__s").alias("threshold"), F.col("__n").alias("n"))
+    index = F.least(F.col("size") - 1, F.greatest(F.lit(0), F.floor((F.col("size") - 1) * (1.0 - alpha) + 0.999999)))
+    found = selection.order_statistics(calibration.withColumn("__s", score), keys, "__s", [1.0 - alpha], F.array(index))
+    return found.select(*keys, F.col("value").alias("threshold"), F.col("size").alias("n"))
 
 
 def prediction_set(p: Column, threshold: Column) -> Column:
@@ -50,8 +57,9 @@ def meta_label(train: DataFrame, calibration: DataFrame, rows: DataFrame, featur
     if n < min_rows:
         raise ValueError(f"{n} labelled rows, {min_rows} needed")
     join = VectorAssembler(inputCols=features, outputCol="__x")
-    scaled = lambda df: join.transform(robust_scaled(df, train, features))
-    fitted = LogisticRegression(featuresCol="__x", labelCol=label, regParam=0.01, elasticNetParam=0.0, standardization=False, maxIter=100, probabilityCol="__p").fit(scaled(train))
-    probability = lambda df: fitted.transform(scaled(df)).withColumn("p", vector_to_array("__p")[1]).drop("__x", "__p", "rawPrediction", "prediction")
+    limits = robust_limits(train, features)
+    vectors = lambda df: join.transform(scaled(df, limits))
+    fitted = LogisticRegression(featuresCol="__x", labelCol=label, regParam=0.01, elasticNetParam=0.0, standardization=False, maxIter=100, probabilityCol="__p").fit(vectors(train))
+    probability = lambda df: fitted.transform(vectors(df)).withColumn("p", vector_to_array("__p")[1]).drop("__x", "__p", "rawPrediction", "prediction")
     threshold = conformal_threshold(probability(calibration).withColumnRenamed(label, "y"), alpha=alpha)
     return with_prediction_sets(probability(rows), threshold)

@@ -1,10 +1,11 @@
 """Feed quality and history audit: anomalies are counted and flagged, never repaired."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, prices
 from ..schemas import PIP
+from . import selection
 from .sequence import CHUNK, with_previous
 
 SUMMARY = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -15,24 +16,8 @@ def _share(part: str, whole: str) -> Column:
 
 
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """One row per key with named percentiles, by linear interpolation.
-
-    Equal values are counted before they are shuffled together and ranks come from running counts, so no task holds a busy key's values.
-    """
-    whole = Window.partitionBy(*keys)
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    ranked = counted.withColumn("__to", F.sum("__n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    size = ranked.groupBy(*keys).agg(F.max("__to").alias("__size"))
-    placed = ranked.join(size, keys)
-    # the value at place k (from 0) is the least with k + 1 or more values up to it
-    at = lambda k: F.min(F.when(F.col("__to") > k, F.col(value)))
-    out = []
-    for name, q in shares.items():
-        place = (F.col("__size") - 1) * F.lit(q)
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        part = F.max(place - F.floor(place))
-        out.append((low + (high - low) * part).alias(name))
-    return placed.groupBy(*keys).agg(*out)
+    """One row per key with named percentiles, by linear interpolation; see :mod:`.selection`."""
+    return selection.percentiles(rows, keys, value, shares).drop("n")
 
 
 def feed_quality(ticks: DataFrame, keys: list[str] = ["symbol"], expected_interval: int | None = None, gap_threshold: int | None = None, pip: float = PIP, chunk: int = CHUNK, expected: DataFrame | None = None, feed: list[str] = ["symbol"]) -> DataFrame:
@@ -109,15 +94,19 @@ def spread_summary(ticks: DataFrame, keys: list[str], pip: float = PIP) -> DataF
     return exact_percentiles(valid, keys, "spread", {"min": 0.0, **SUMMARY, "max": 1.0})
 
 
+_PROFILE = {"spread_p50": 0.5, "spread_p95": 0.95}
+
+
 def _profile_measures(extreme: float) -> list[Column]:
     s = F.col("spread")
-    return [F.count(s).alias("valid_quotes"), F.count_if(s == 0).alias("zero_spreads"), F.count_if(s >= extreme).alias("extreme_spreads"), F.percentile(s, F.lit(0.5)).alias("spread_p50"), F.percentile(s, F.lit(0.95)).alias("spread_p95")]
+    return [F.count(s).alias("valid_quotes"), F.count_if(s == 0).alias("zero_spreads"), F.count_if(s >= extreme).alias("extreme_spreads")]
 
 
 def daily_profile(ticks: DataFrame, extreme: float = 5.0, pip: float = PIP) -> DataFrame:
     """One row per symbol and UTC day. Ticks of a weekend day are not counted as trading ticks; its quotes are."""
     t = ticks.withColumn("day", clock.day_number(F.col("time_ms"))).withColumn("spread", F.when(prices.valid_quote(), prices.spread_pips(pip)))
     per = t.groupBy("symbol", "day").agg(F.count_if(clock.weekday(F.col("time_ms")) < 5).alias("trading_ticks"), *_profile_measures(extreme))
+    per = per.join(exact_percentiles(t, ["symbol", "day"], "spread", _PROFILE), ["symbol", "day"], "left")
     return per.withColumn("zero_ratio", _share("zero_spreads", "valid_quotes"))
 
 
@@ -125,6 +114,7 @@ def hourly_profile(ticks: DataFrame, extreme: float = 5.0, pip: float = PIP) ->
     """One row per symbol and UTC hour, all 24 of them."""
     t = ticks.withColumn("hour", clock.utc_hour(F.col("time_ms"))).withColumn("spread", F.when(prices.valid_quote(), prices.spread_pips(pip)))
     per = t.groupBy("symbol", "hour").agg(F.count("*").alias("ticks"), *_profile_measures(extreme))
+    per = per.join(exact_percentiles(t, ["symbol", "hour"], "spread", _PROFILE), ["symbol", "hour"], "left")
     spine = ticks.select("symbol").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     full = spine.join(per, ["symbol", "hour"], "left").na.fill(0, ["ticks", "valid_quotes", "zero_spreads", "extreme_spreads"])
     return full.withColumn("zero_ratio", _share("zero_spreads", "valid_quotes"))

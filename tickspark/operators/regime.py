@@ -109,33 +109,42 @@ class Expanding:
 BURST_SCHEMA = "symbol string, seq long, time_ms long, up double, down double, total double, directional double, surprise double"
 
 
+def burst_runs(ticks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """What :func:`burst_walk` needs of ticks: their mid, and the day and run of ``chunk`` places that they belong to."""
+    return ticks.select("symbol", "seq", "time_ms", prices.mid().alias("mid"), clock.day_number(F.col("time_ms")).alias("day"), F.floor(F.col("seq") / chunk).cast("long").alias("run"))
+
+
+def burst_walk(pdf: pd.DataFrame, kept: tuple | None = None, mu: float = 0.25, alpha: float = 1.0, beta: float = 2.0, least: int = 20) -> tuple[pd.DataFrame, tuple]:
+    """Rows of :data:`BURST_SCHEMA` for one run's ticks that follow ``kept``, and what the next ones need: last time and mid, the decayed counts and the sums so far."""
+    pdf = pdf.sort_values("seq")
+    time, mid, level_up, level_down, seen = kept or (pdf["time_ms"].iloc[0], pdf["mid"].iloc[0], 0.0, 0.0, Expanding())
+    gap, move = np.diff(pdf["time_ms"], prepend=time), np.diff(pdf["mid"], prepend=mid)
+    if (gap < 0).any():
+        raise ValueError("ticks go back in time")
+    keep = np.exp(-beta * gap / 1000.0)
+    decayed = lambda jumps, level: np.fromiter(accumulate(zip(keep, alpha * jumps), lambda level, x: level * x[0] + x[1], initial=level), float)[1:]
+    ups, downs = decayed(move > 0, level_up), decayed(move < 0, level_down)
+    up, down = mu + ups, mu + downs
+    total, surprise = up + down, np.full(len(up), np.nan)
+    for i, x in enumerate(total.tolist()):
+        if len(seen.values) >= least:
+            middle = seen.median()
+            surprise[i] = (x - middle) / max(1.4826 * seen.deviation(middle), 1e-9)
+        seen.add(x)
+    out = {"symbol": pdf["symbol"], "seq": pdf["seq"], "time_ms": pdf["time_ms"], "up": up, "down": down, "total": total, "directional": (up - down) / np.maximum(total, 1e-12), "surprise": surprise}
+    return pd.DataFrame(out), (int(pdf["time_ms"].iloc[-1]), float(pdf["mid"].iloc[-1]), float(ups[-1]), float(downs[-1]), seen)
+
+
 def burst_intensity(ticks: DataFrame, mu: float = 0.25, alpha: float = 1.0, beta: float = 2.0, least: int = 20, chunk: int = CHUNK) -> DataFrame:
     """Decaying counts of upward and downward mid changes, and how surprising their sum is against what was seen so far.
 
     What was seen starts anew with each symbol, UTC day and run of ``chunk`` places, so no task holds more than a run.
     """
 
-    def decayed(jumps: np.ndarray, keep: np.ndarray) -> np.ndarray:
-        return mu + np.fromiter(accumulate(zip(keep, alpha * jumps), lambda level, x: level * x[0] + x[1], initial=0.0), float)[1:]
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        gap, move = np.diff(pdf["time_ms"], prepend=pdf["time_ms"].iloc[0]), np.diff(pdf["mid"], prepend=pdf["mid"].iloc[0])
-        if (gap < 0).any():
-            raise ValueError("ticks go back in time")
-        keep = np.exp(-beta * gap / 1000.0)
-        up, down = decayed(move > 0, keep), decayed(move < 0, keep)
-        total, seen, surprise = up + down, Expanding(), np.full(len(up), np.nan)
-        for i, x in enumerate(total.tolist()):
-            if i >= least:
-                middle = seen.median()
-                surprise[i] = (x - middle) / max(1.4826 * seen.deviation(middle), 1e-9)
-            seen.add(x)
-        out = {"symbol": pdf["symbol"], "seq": pdf["seq"], "time_ms": pdf["time_ms"], "up": up, "down": down, "total": total, "directional": (up - down) / np.maximum(total, 1e-12), "surprise": surprise}
-        return pd.DataFrame(out)
-
-    runs = ticks.select("symbol", "seq", "time_ms", prices.mid().alias("mid"), clock.day_number(F.col("time_ms")).alias("day"), F.floor(F.col("seq") / chunk).alias("run"))
-    made = runs.groupBy("symbol", "day", "run").applyInPandas(run, BURST_SCHEMA)
+        return burst_walk(pdf, None, mu, alpha, beta, least)[0]
+
+    made = burst_runs(ticks, chunk).groupBy("symbol", "day", "run").applyInPandas(run, BURST_SCHEMA)
     return made.withColumn("surprise", F.nanvl("surprise", F.lit(None).cast("double")))
 
 
@@ -227,6 +236,40 @@ def change_points(observations: DataFrame, history: int = 2016, ready: int = 30,
     return observations.groupBy("symbol").applyInPandas(run, POINT_SCHEMA)
 
 
+#: What the guard keeps of a symbol: the time of its last observation, the logarithms that the next ones are scaled by (row by row), and the run lengths' weights, counts, means and squares.
+SNAPSHOT_SCHEMA = "symbol string, last_ms long, past array<double>, weights array<double>, counts array<double>, means array<double>, squares array<double>"
+STEP_SCHEMA = f"{POINT_SCHEMA}, {SNAPSHOT_SCHEMA.removeprefix('symbol string, ')}"
+
+
+def _restored(row: pd.Series, dims: int, **point) -> tuple[np.ndarray, ChangePoint]:
+    kept = ChangePoint(dims, **point)
+    kept.posterior, kept.n = np.array(row["weights"], float), np.array(row["counts"], float)
+    kept.mean, kept.m2 = (np.array(row[c], float).reshape(-1, dims) for c in ("means", "squares"))
+    return np.array(row["past"], float).reshape(-1, dims), kept
+
+
+def resumed_points(observations: DataFrame, snapshot: DataFrame, history: int = 2016, ready: int = 30, **point) -> DataFrame:
+    """Rows of :data:`POINT_SCHEMA` for observations that follow a ``snapshot``, and for every symbol a row whose ``last_ms`` is set: its new snapshot.
+
+    Observations up to the snapshot's time are left out before they are grouped. A symbol without new ones keeps its snapshot.
+    """
+    dims = len(OBSERVATION)
+    known = snapshot.select("symbol", "last_ms")
+    new = observations.join(known, "symbol", "left").where("last_ms IS NULL OR ts_ms > last_ms").drop("last_ms")
+
+    def run(key: tuple, rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        past, posterior = _restored(kept.iloc[0], dims, **point) if len(kept) else (np.zeros((0, dims)), ChangePoint(dims, **point))
+        made, past = point_walk(rows, past, posterior, history, ready)
+        last = int(rows["ts_ms"].max()) if len(rows) else int(kept["last_ms"].iloc[0])
+        state = {"symbol": [key[0]], "last_ms": [last], "past": [past.ravel()], "weights": [posterior.posterior], "counts": [posterior.n], "means": [posterior.mean.ravel()], "squares": [posterior.m2.ravel()]}
+        columns = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
+        parts = [df.reindex(columns=columns).astype(object) for df in (made, pd.DataFrame(state)) if len(df)]
+        out = pd.concat(parts)
+        return out.where(out.notna(), None)
+
+    return new.groupBy("symbol").cogroup(snapshot.groupBy("symbol")).applyInPandas(run, STEP_SCHEMA)
+
+
 def guard_verdicts(points: DataFrame, change: float = 0.55, missing: float = 0.02, shadow: bool = True) -> DataFrame:
     """Verdicts on rows of :data:`POINT_SCHEMA`, whose measures are no numbers while the guard warms up.
 

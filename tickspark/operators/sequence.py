@@ -60,17 +60,30 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, va
     return out.where("__row IS NOT NULL").select("__row.*", F.col("__found").alias(value))
 
 
-def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, bucket: int) -> DataFrame:
+#: Cells that an interval is listed under at most, but for one; wider ones are listed under wider cells.
+CELLS = 8
+
+
+def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, bucket: int, length: Column | int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Rows of ``intervals`` with each ``points`` row of the symbol that has start <= at <= end.
 
-    Both sides are listed under buckets of that width, so that the match is an equi-join with a residual range. An interval
-    is listed once per bucket it touches: choose ``bucket`` near the usual width.
+    Both sides are listed under cells, so that the match is an equi-join with a residual range. Cells have the widths ``bucket`` times
+    a power of two; an interval takes the narrowest one that ``CELLS`` of cover it, so it is listed ``CELLS`` + 1 times at most however
+    long it is, and a point once for each width in use. ``length`` says how long an interval is at most (by default just as long), a
+    number if all are alike; ``sizes`` is a smaller table with the same lengths, from which the widths in use are taken.
     """
-    cell = lambda c: F.floor(c / bucket).cast("long")
-    spread = intervals.withColumn("__cell", F.explode(F.when(F.col(end) >= F.col(start), F.sequence(cell(F.col(start)), cell(F.col(end)))).otherwise(F.array().cast("array<long>"))))
-    right = points.withColumn("__cell", cell(F.col(at))).withColumnRenamed("symbol", "__symbol")
-    match = (F.col("symbol") == F.col("__symbol")) & (spread["__cell"] == right["__cell"]) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    return spread.join(right, match).drop("__cell", "__symbol")
+    span = F.col(end) - F.col(start) if length is None else F.lit(length) if isinstance(length, int) else length
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span, F.lit(1)).cast("double") / (bucket * CELLS)))).cast("int")
+    cell = lambda c: F.floor(c / (bucket * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
+    listed = intervals.withColumn("__level", level)
+    spread = listed.withColumn("__cell", F.explode(F.when(F.col(end) >= F.col(start), F.sequence(cell(F.col(start)), cell(F.col(end)))).otherwise(F.array().cast("array<long>"))))
+    if isinstance(length, int):
+        at_levels = points.withColumn("__level", level)
+    else:  # at most one width for each power of two
+        at_levels = points.crossJoin(F.broadcast((intervals if sizes is None else sizes).select(level.alias("__level")).distinct()))
+    right = at_levels.withColumn("__cell", cell(F.col(at))).withColumnRenamed("symbol", "__symbol").withColumnRenamed("__level", "__level_of")
+    match = (F.col("symbol") == F.col("__symbol")) & (F.col("__level") == F.col("__level_of")) & (spread["__cell"] == right["__cell"]) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
+    return spread.join(right, match).drop("__cell", "__symbol", "__level", "__level_of")
 
 
 def run_lengths(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:

@@ -4,34 +4,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from . import scan, selection
 
 WEEK_MS = 7 * clock.DAY
 #: A portable generator: integer mixing that any engine repeats.
 MODULUS, MULTIPLIER = 2147483647, 48271
 
 
-def equity_curve(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Trades with cumulative equity, its running peak (from zero) and the drawdown."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = trades.withColumn("equity", F.sum("net_r").over(w))
-    out = out.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(w)))
-    return out.withColumn("drawdown", F.col("peak") - F.col("equity"))
-
-
-def performance(trades: DataFrame, keys: list[str], order: list[str], time: str = "ts_ms") -> DataFrame:
-    """One row per key: n, expectancy, win rate, excursions, worst drawdown, longest losing run (a zero ends it) and trades a week."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    lost = F.coalesce((F.col("net_r") < 0).cast("int"), F.lit(0))
-    # one sort serves all windows: trades between two that don't lose share a run, which is counted first
-    curve = equity_curve(trades, keys, order).withColumn("__lost", lost).withColumn("__run", F.count("*").over(w) - F.sum("__lost").over(w))
-    of = lambda c: [F.sum(c).alias(f"{c}_s"), F.count(c).alias(f"{c}_n")]
-    runs = curve.groupBy(*keys, "__run").agg(
-        F.count("*").alias("n"), F.sum("__lost").alias("length"), F.count_if(F.col("net_r") > 0).alias("won"), F.max("drawdown").alias("drawdown"), F.min(time).alias("t0"), F.max(time).alias("t1"), *of("net_r"), *of("mae_r"), *of("mfe_r")
-    )
+def equity_curve(trades: DataFrame, keys: list[str], order: list[str], width: int = clock.DAY) -> DataFrame:
+    """Trades with cumulative equity, its running peak (from zero) and the drawdown. ``order`` starts with a time, ``width`` cuts it into segments; see :mod:`.scan`."""
+    local = scan.local_sums(trades, keys, order, "net_r", width)
+    carried = scan.carried(scan.summaries(local, keys), keys).select(*keys, "__seg", "__base", "__top")
+    out = local.join(carried, [*keys, "__seg"])
+    known = F.col("__sum").isNotNull() | F.col("__base").isNotNull()
+    base = F.coalesce("__base", F.lit(0.0))
+    out = out.withColumn("equity", F.when(known, base + F.coalesce("__sum", F.lit(0.0))))
+    out = out.withColumn("peak", F.greatest(F.lit(0.0), F.col("__top"), base + F.col("__max")))
+    return out.withColumn("drawdown", F.col("peak") - F.col("equity")).select(*trades.columns, "equity", "peak", "drawdown")
+
+
+def performance(trades: DataFrame, keys: list[str], order: list[str], time: str = "ts_ms", width: int = clock.DAY) -> DataFrame:
+    """One row per key: n, expectancy, win rate, excursions, worst drawdown, longest losing run (a zero ends it) and trades a week. ``order`` starts with a time, which ``width`` cuts into segments."""
+    more = {"won": (F.count_if(F.col("net_r") > 0), F.sum), "t0": (F.min(time), F.min), "t1": (F.max(time), F.max)}
+    for c in ("net_r", "mae_r", "mfe_r"):
+        more |= {f"{c}_s": (F.sum(c), F.sum), f"{c}_n": (F.count(c), F.sum)}
+    parts = scan.carried(scan.summaries(scan.local_sums(trades, keys, order, "net_r", width), keys, more), keys)
     mean = lambda c: F.try_divide(F.sum(f"{c}_s"), F.sum(f"{c}_n"))
-    return runs.groupBy(*keys).agg(
-        F.sum("n").alias("trades"), mean("net_r").alias("expectancy_r"), F.try_divide(F.sum("won").cast("double"), F.sum("net_r_n")).alias("win_rate"), mean("mae_r").alias("mean_mae_r"), mean("mfe_r").alias("mean_mfe_r"),
-        F.max("drawdown").alias("max_drawdown_r"), F.try_divide(F.sum("n").cast("double"), (F.max("t1") - F.min("t0")) / WEEK_MS).alias("trades_per_week"), F.max("length").alias("longest_losing_run"),
+    return parts.groupBy(*keys).agg(
+        F.sum("__n").alias("trades"), mean("net_r").alias("expectancy_r"), F.try_divide(F.sum("won").cast("double"), F.sum("net_r_n")).alias("win_rate"), mean("mae_r").alias("mean_mae_r"), mean("mfe_r").alias("mean_mfe_r"),
+        F.max("__drawdown").alias("max_drawdown_r"), F.try_divide(F.sum("__n").cast("double"), (F.max("t1") - F.min("t0")) / WEEK_MS).alias("trades_per_week"), F.max("__longest").alias("longest_losing_run"),
     )
 
 
@@ -66,38 +67,38 @@ def block_starts(n: Column, sample: Column, block: Column, seed: int = 0) -> Col
     return ((two * MULTIPLIER) % MODULUS) % n
 
 
-def block_bootstrap(returns: DataFrame, keys: list[str], order: list[str], value: str = "net_r", block: int = 5, samples: int = 500, seed: int = 0) -> DataFrame:
+def block_bootstrap(returns: DataFrame, keys: list[str], order: list[str], value: str = "net_r", block: int = 5, samples: int = 500, seed: int = 0, width: int = clock.DAY) -> DataFrame:
     """Circular moving-block bootstrap of the mean: point estimate and the 2.5 % and 97.5 % order statistics of the resampled means.
 
-    Blocks need not be gathered: with cumulative sums over the doubled series a block's sum is a difference of two of them, so a sample costs a row per block.
+    Values are numbered and summed up by segments of time (:mod:`.scan`; ``order`` starts with a time). Every place then gets the
+    sum of the whole block that starts there and that of the cut last block, each a difference of two cumulative sums; a sample
+    costs a row per block, which meets its place in one join.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    whole = Window.partitionBy(*keys)
-    placed = returns.select(*keys, *order, F.col(value).alias("__v")).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(whole))
-    sums = placed.withColumn("__to", F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = sums.groupBy(*keys).agg(F.max("n").alias("n"), F.max_by("__to", "i").alias("total"))
-    size = F.least(F.lit(block), F.col("n"))
-    draws = totals.withColumn("size", size).withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
-    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("size")) - 1)))
-    start = block_starts(F.col("n"), F.col("sample"), F.col("b"), seed)
-    # the last block is cut so that a sample has n values
-    draws = draws.withColumn("start", start).withColumn("len", F.least(F.col("size"), F.col("n") - F.col("b") * F.col("size"))).withColumn("end", (F.col("start") + F.col("len") - 1) % F.col("n"))
-    before = sums.select(*keys, F.col("i").alias("start"), (F.col("__to") - F.col("__v")).alias("__a"))
-    until = sums.select(*keys, F.col("i").alias("end"), F.col("__to").alias("__b"))
-    joined = draws.join(before, [*keys, "start"]).join(until, [*keys, "end"])
-    part = F.col("__b") - F.col("__a") + F.when(F.col("end") < F.col("start"), F.col("total")).otherwise(0.0)
-    means = joined.groupBy(*keys, "sample").agg((F.sum(part) / F.max("n")).alias("mean"), F.max("n").alias("n"), (F.max("total") / F.max("n")).alias("point"))
-    ranked = means.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("mean", "sample")) - 1)
-    pick = lambda q: F.max(F.when(F.col("k") == F.bround(F.lit((samples - 1) * q), 0).cast("long"), F.col("mean")))
+    local = scan.local_sums(returns.select(*keys, *dict.fromkeys([*order, value])), keys, order, value, width)
+    every = Window.partitionBy(*keys)
+    parts = scan.carried(scan.summaries(local, keys), keys).withColumn("n", F.sum("__n").over(every)).withColumn("total", F.sum("__s").over(every))
+    parts = parts.withColumn("size", F.least(F.lit(block), F.col("n"))).withColumn("blocks", F.ceil(F.col("n") / F.col("size")))
+    sums = local.join(parts.select(*keys, "__seg", "__base", "__before", "n", "total", "size", "blocks"), [*keys, "__seg"])
+    sums = sums.withColumn("i", F.col("__before") + F.col("__i") - 1).withColumn("__to", F.coalesce("__base", F.lit(0.0)) + F.coalesce("__sum", F.lit(0.0)))
+    # a place is the start of two blocks, a whole one and the last one that is cut so that a sample has n values, and the end of two others
+    listed = sums.withColumn("cut", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("len", F.when(F.col("cut"), F.col("n") - (F.col("blocks") - 1) * F.col("size")).otherwise(F.col("size")))
+    starts = F.struct(F.col("i").alias("start"), (F.col("__to") - F.coalesce(value, F.lit(0.0))).alias("a"), F.lit(None).cast("double").alias("b"))
+    ends = F.struct(F.pmod(F.col("i") - F.col("len") + 1, F.col("n")).alias("start"), F.lit(None).cast("double").alias("a"), F.when(F.col("i") < F.col("len") - 1, F.col("__to") + F.col("total")).otherwise(F.col("__to")).alias("b"))
+    at = listed.select(*keys, "cut", F.inline(F.array(starts, ends))).groupBy(*keys, "start", "cut").agg((F.max("b") - F.max("a")).alias("part"))
+    # samples are dealt out before their blocks are listed, so that no task lists all of a key's
+    draws = parts.select(*keys, "n", "total", "size", "blocks").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long")))).repartition(*keys, "sample")
+    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    draws = draws.withColumn("start", block_starts(F.col("n"), F.col("sample"), F.col("b"), seed)).withColumn("cut", F.col("b") == F.col("blocks") - 1)
+    joined = draws.join(at, [*keys, "start", "cut"])
+    means = joined.groupBy(*keys, "sample").agg((F.sum("part") / F.max("n")).alias("mean"), F.max("n").alias("n"), (F.max("total") / F.max("n")).alias("point"))
+    ranked = means.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("mean", "sample")) - 1)  # a row per sample
+    pick = lambda q: F.max(F.when(F.col("__k") == F.bround(F.lit((samples - 1) * q), 0).cast("long"), F.col("mean")))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max("point").alias("point_estimate"), pick(0.025).alias("lower_95"), pick(0.975).alias("upper_95"))
 
 
 def robust_baseline(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Median, median absolute deviation and n per key and feature."""
-    long = rows.unpivot(keys, features, "feature", "x").where("x IS NOT NULL")
-    middle = long.groupBy(*keys, "feature").agg(F.percentile("x", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
-    away = long.join(middle, [*keys, "feature"]).withColumn("d", F.abs(F.col("x") - F.col("median")))
-    return away.groupBy(*keys, "feature").agg(F.max("median").alias("median"), F.percentile("d", F.lit(0.5)).alias("mad"), F.max("n").alias("n"))
+    return selection.median_deviations(rows, keys, features).select(*keys, "feature", "median", "mad", "n")
 
 
 def robust_z(value: Column, median: Column, mad: Column, floor: float = 1e-9) -> Column:

@@ -10,7 +10,7 @@ import math
 
 from ..operators.sequence import CHUNK
 from ..schemas import DAY, HOUR
-from .oracle import _LEVELS, BASE, GAPS, TICKS, D, robust, rounded, sql
+from .oracle import _LEVELS, BASE, GAPS, TICKS, D, robust, rounded, session, sql
 
 OBSERVED = f"""
 observed AS (
@@ -99,6 +99,11 @@ points AS (
   FROM weights w JOIN tops t ON t.symbol = w.symbol AND t.i = w.i GROUP BY ALL)"""
 
 _IDENT = "candidate_id, symbol, direction, level, atr, event_ms, side, sign"
+def _features(keys: str) -> str:
+    """CTEs of the fourteen numbers; ``robust`` has a baseline by ``keys``, which ``wholes`` is given too."""
+    return FEATURES.replace("FROM robust GROUP BY symbol)", f"FROM robust GROUP BY {keys})").replace("SELECT symbol, max(median)", f"SELECT {keys}, min(n) AS known, max(median)").replace("LEFT JOIN based b USING (symbol)", f"LEFT JOIN based b USING ({keys})").replace("SELECT w.*, b.im", "SELECT w.*, b.known, b.im")
+
+
 FEATURES = f"""
 marked AS (SELECT *, CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END AS sign FROM excursions),
 around AS (
@@ -158,6 +163,12 @@ annotated AS (
 
 _BASELINE = robust(f"SELECT symbol, unnest(['tick_intensity', 'spread_pips']) AS feature, unnest([tick_count / 3600{D}, spread_median]) AS x FROM base", "symbol")
 _FEATURE_CTES = (TICKS, GAPS, BASE, _LEVELS, _BASELINE, FEATURES)
+_SESSIONS = robust(f"SELECT symbol, {session('bar_start_ms')} AS session, unnest(['tick_intensity', 'spread_pips']) AS feature, unnest([tick_count / 3600{D}, spread_median]) AS x FROM base", "symbol, session")
+_BY_SESSION = (
+    TICKS, GAPS, BASE, _LEVELS, _SESSIONS,
+    _features("symbol, session").replace(f"SELECT {_IDENT}, max(spread) AS peak", f"SELECT {_IDENT}, {session('event_ms')} AS session, max(spread) AS peak").replace("SELECT candidate_id, event_ms, tick_intensity, coalesce(", "SELECT candidate_id, coalesce(known, 0) AS baseline_n, event_ms, tick_intensity, coalesce("),
+    STATES.replace(" * 0.8::DOUBLE", f" * CASE WHEN baseline_n > 0 THEN least(1, baseline_n / 100{D}) ELSE 0.5{D} END").replace("FROM best)", "FROM best JOIN features USING (candidate_id))"),
+)
 
 
 def sequence_sql() -> dict[str, str]:
@@ -174,6 +185,10 @@ def sequence_sql() -> dict[str, str]:
               FROM observed o LEFT JOIN points p ON p.symbol = o.symbol AND p.i = o.i""",
         ),
         "window_features": sql(*_FEATURE_CTES, select=f"SELECT candidate_id, event_ms, {rounded(*_NAMES, digits=5)} FROM features"),
+        "session_tick_state": sql(
+            *_BY_SESSION,
+            select=f"SELECT candidate_id, state, baseline_n, {rounded('probability', 'margin', 'signal', 'confidence', digits=4)}, CASE WHEN signal > 0.15 THEN 'SUPPORT' WHEN signal < -0.15 THEN 'CONTRADICT' ELSE 'NEUTRAL' END AS effect FROM annotated",
+        ),
         "tick_state": sql(
             *_FEATURE_CTES, STATES,
             select=f"SELECT candidate_id, state, {rounded('probability', 'margin', 'signal', 'confidence', digits=4)}, CASE WHEN signal > 0.15 THEN 'SUPPORT' WHEN signal < -0.15 THEN 'CONTRADICT' ELSE 'NEUTRAL' END AS effect FROM annotated",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..schemas import DAY, HOUR
 from . import fixture as fx
-from .oracle import _OHLC, BARS, CHUNKS, CORE, FAULTY, GAPS, TICKS, D, all_sql, inside, quality, rounded, sql, weekday
+from .oracle import _OHLC, BARS, CHUNKS, CORE, FAULTY, GAPS, TICKS, UNUSABLE, D, all_sql, inside, quality, rounded, sql, weekday
+from .oracle_sequences import sequence_sql
 from .oracle_studies import _STUDY
 from .storage import FROM, TO
 
@@ -41,6 +42,10 @@ def storage_sql() -> dict[str, str]:
         "csv_history": sql(TICKS, "placed AS (SELECT * REPLACE (row_number() OVER (PARTITION BY symbol ORDER BY seq) - 1 AS seq) FROM ticks)", select=f"SELECT {_VALUES} FROM placed"),
         "tick_history": sql(TICKS, quality("ticks"), SOUND, select=f"SELECT {_VALUES} FROM sound WHERE time_ms >= {FROM} AND time_ms < {TO}"),
         "bar_history": sql(TICKS, GAPS, BARS, select=f"SELECT symbol, timeframe, bar_start_ms, bar_end_ms, {rounded(*_OHLC)}, tick_count FROM bars WHERE bar_start_ms >= {FROM} AND bar_start_ms < {TO}"),
+        "bar_manifest": sql(
+            TICKS, GAPS, BARS,
+            select=f"SELECT symbol, timeframe, count(DISTINCT bar_start_ms < {fx.START + 15 * DAY}) AS files, count(*) AS rows, count(*) FILTER ({UNUSABLE}) AS unusable, min(bar_start_ms) AS start_ms, max(bar_end_ms) AS end_ms, true AS sized, 64 AS digest_length FROM bars GROUP BY ALL",
+        ),
         "signed_bar_report": f"SELECT *, true AS intact FROM ({studied['bar_report']})",
         "candidate_import": sql(
             *CORE,
@@ -68,6 +73,7 @@ def storage_sql() -> dict[str, str]:
   count(*) FILTER (chunk_status LIKE '%_MISMATCH') AS mismatches FROM left_over GROUP BY symbol)""",
             select=f"SELECT *, round(100{D} * (completed + closed) / expected, 6) AS percent, CASE WHEN missing + mismatches > 0 THEN 'FAIL' ELSE 'PASS' END AS severity FROM s",
         ),
+        "resumed_guard": sequence_sql()["changepoint_guard"],
         "experiment_results": sql(*_STUDY, select="SELECT family, candidate_id, policy, scenario, outcome, round(net_r, 6) AS net_r FROM facts WHERE policy = 'FIXED_RR' AND scenario = 'BASELINE_1X'"),
         "family_summaries": sql(*_STUDY, METRICS, select="SELECT family, policy, scenario, net_expectancy_r, trades FROM metrics"),
         "best_family": sql(*_STUDY, METRICS, select="SELECT family, policy, scenario, net_expectancy_r AS score FROM metrics WHERE policy = 'FIXED_RR' AND scenario = 'BASELINE_1X' ORDER BY score DESC, family LIMIT 1"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.labels import POLICIES
 from ..schemas import HOUR
 from . import fixture as fx
-from .oracle import _BOOT, BASE, FULL, GAPS, INDEXED, TICKS, D, folds, perf, quality, rounded, sql, weekday
+from .oracle import _BOOT, _GEO, _PERF, BASE, FULL, GAPS, INDEXED, TICKS, D, _n, folds, perf, quality, rounded, sql, weekday
 from .oracle_sequences import OBSERVED
 
 FAMILIES = f"""
@@ -43,6 +44,26 @@ verdicts AS (SELECT w.symbol, coalesce(tick_count, 0) AS tick_count, coalesce(du
   FROM wanted w LEFT JOIN q USING (symbol))"""
 
 
+ONE = "one AS (SELECT * FROM facts WHERE policy = 'FIXED_RR' AND scenario = 'BASELINE_1X')"
+CORRELATED = """
+explained AS (SELECT o.family, o.gross_r, unnest(['past_median', 'impulse']) AS feature, unnest([i.past_median, i.impulse]) AS x FROM one o JOIN validated v ON v.event_id = o.candidate_id JOIN ideas i ON i.candidate_id = v.candidate_id),
+correlated AS (SELECT family, feature, count(*) AS n, round(CASE WHEN stddev_pop(x) = 0 OR stddev_pop(gross_r) = 0 THEN 0 ELSE corr(x, gross_r) END, 6) AS correlation FROM explained GROUP BY ALL HAVING count(*) > 2)"""
+_FIRSTS = ", ".join(f"min(pos) FILTER (fav >= {t}{D}) AS t{_n(t)}, min(pos) FILTER (fav >= {t}{D} AND adv <= -1) AS a{_n(t)}" for t in _GEO)
+_HITS = ", ".join(f"round(avg(coalesce(t{_n(t)} < s, false)::INT), 6) AS hit_{_n(t)}r" for t in _GEO)
+_UNCLEAR = " + ".join(f"(a{_n(t)} IS NOT NULL AND NOT coalesce(t{_n(t)} < s, false))::INT" for t in _GEO)
+GEOMETRY = f"""
+family_firsts AS (SELECT v.family, v.event_id, coalesce(min(pos) FILTER (adv <= -1), 1 << 30) AS s, {_FIRSTS} FROM path JOIN validated v USING (candidate_id) GROUP BY ALL),
+shapes AS (SELECT family, count(*) AS paths, {_HITS}, round(sum({_UNCLEAR}) / (count(*) * {fx.HORIZON}{D}), 6) AS ambiguity_rate FROM family_firsts GROUP BY family)"""
+
+
+SELECTED = f"""
+policy_rows AS (SELECT *, list_position({list(POLICIES)}, policy) AS place FROM outcomes WHERE scenario = 'BASELINE_1X'),
+in_training AS (SELECT f.symbol, f.fold_id, policy, place, count(*) AS train_n, avg(net_r) AS train_ev_r FROM folds f JOIN policy_rows o ON o.candidate_id = f.event_id AND f.role = 'TRAIN' GROUP BY ALL),
+favoured AS (SELECT * FROM in_training QUALIFY row_number() OVER (PARTITION BY symbol, fold_id ORDER BY round(train_ev_r, 9) DESC, place) = 1),
+out_of_sample AS (SELECT o.* EXCLUDE (place), f.fold_id FROM folds f JOIN favoured c ON c.symbol = f.symbol AND c.fold_id = f.fold_id AND f.role = 'VALIDATION' JOIN policy_rows o ON o.candidate_id = f.event_id AND o.policy = c.policy)"""
+_OPEN = (*FULL, INDEXED, "open_events AS (SELECT i.* FROM indexed i ANTI JOIN holdout h ON h.symbol = i.symbol AND h.event_id = i.event_id)", folds("open_events"), SELECTED)
+
+
 def study_sql() -> dict[str, str]:
     return {
         "family_study": sql(
@@ -53,6 +74,25 @@ def study_sql() -> dict[str, str]:
             *_STUDY, "one AS (SELECT * FROM facts WHERE policy = 'FIXED_RR' AND scenario = 'BASELINE_1X')", f"cut AS ({_SLICES})",
             select=f"SELECT family, dimension, value, n, {rounded('gross_ev_r', 'net_ev_r', 'win_rate')} FROM cut",
         ),
+        "failure_correlations": sql(*_STUDY, ONE, CORRELATED, select="SELECT family, feature, n, correlation FROM correlated"),
+        "failure_geometry": sql(*_STUDY, GEOMETRY, select="SELECT * FROM shapes"),
+        "failure_report": sql(
+            *_STUDY, ONE, CORRELATED, GEOMETRY, f"cut AS ({_SLICES})",
+            select="""SELECT family, oos_trades, paths, hit_1_0r AS hit_1r, ambiguity_rate, correlation AS impulse_correlation, slices
+  FROM (SELECT family, count(*) AS oos_trades FROM one GROUP BY family) JOIN shapes USING (family) LEFT JOIN (SELECT * FROM correlated WHERE feature = 'impulse') USING (family) LEFT JOIN (SELECT family, count(*) AS slices FROM cut GROUP BY family) USING (family)""",
+        ),
+        "research_report": sql(
+            *_STUDY, perf("plain", "symbol"), _BOOT, f"bounds_ AS (SELECT symbol, {_BOUNDS} FROM ranked GROUP BY symbol)", f"arms AS (SELECT *, {_ARM} FROM perf)",
+            "stressed AS (SELECT family, policy, scenario, avg(net_r) AS stress_ev_r FROM facts WHERE scenario <> 'BASELINE_1X' GROUP BY ALL)",
+            "fragile AS (SELECT family, policy, stress_ev_r <= 0 AS execution_fragile FROM stressed WHERE scenario = 'BASELINE_1.25X')",
+            select=f"""SELECT family, policy, trades, {rounded('expectancy_r', 'lower_95', 'upper_95', 'gross_ev_r', 'win_rate', 'max_drawdown_r', 'trades_per_week')}, longest AS longest_losing_run, execution_fragile, s.scenario, round(stress_ev_r, 6) AS stress_ev_r
+  FROM (SELECT * EXCLUDE (scenario) FROM arms WHERE scenario = 'BASELINE_1X') JOIN runs USING (symbol) JOIN bounds_ USING (symbol) JOIN stressed s USING (family, policy) JOIN fragile USING (family, policy)""",
+        ),
+        "selected_policies": sql(
+            *_OPEN,
+            select=f"SELECT c.symbol, c.fold_id, c.policy, train_n, {rounded('train_ev_r')}, coalesce(valid_n, 0) AS valid_n, round(valid_ev_r, 6) AS valid_ev_r FROM favoured c LEFT JOIN (SELECT symbol, fold_id, count(*) AS valid_n, avg(net_r) AS valid_ev_r FROM out_of_sample GROUP BY ALL) v ON v.symbol = c.symbol AND v.fold_id = c.fold_id",
+        ),
+        "selected_arm": sql(*_OPEN, perf("out_of_sample", "symbol"), select=f"SELECT symbol, trades, {rounded(*_PERF)}, longest AS longest_losing_run FROM perf JOIN runs USING (symbol)"),
         "hypothesis_registry": sql(*_STUDY, select=f"SELECT family, sha256('{fx.STUDY}') AS config_sha256, 'REJECTED' AS status FROM facts GROUP BY family"),
         "observation_quarantine": sql(TICKS, GAPS, BASE, OBSERVED, FAULTS, select="SELECT symbol, faults, count(*) AS rows FROM marked GROUP BY ALL"),
         "feed_verdicts": sql(TICKS, quality("ticks"), VERDICTS, select="SELECT symbol, tick_count, duplicates, gaps, array_to_string(fs, ',') AS hard_failures, len(fs) = 0 AS valid FROM verdicts"),

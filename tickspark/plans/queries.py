@@ -494,6 +494,18 @@ def tick_state(spark, sf_dir):
     return s.select("candidate_id", "state", r("probability", None, 4), r("margin", None, 4), r("signal", None, 4), r("confidence", None, 4), "effect")
 
 
+@query
+def session_tick_state(spark, sf_dir):
+    """States with the baseline of the event's own session, and a confidence by how much that baseline has seen."""
+    t = fx.ticks(spark, sf_dir)
+    e = context.level_excursions(_level_ideas(spark, sf_dir), t, 3 * HOUR)
+    b = base(spark, sf_dir).select("symbol", clock.session(F.col("bar_start_ms")).alias("session"), (F.col("tick_count") / 3600.0).alias("tick_intensity"), F.col("spread_median").alias("spread_pips"))
+    keys = ["symbol", "session"]
+    f = context.window_features(e, t, HOUR, HOUR // 2, 2 * HOUR, stats.robust_baseline(b, keys, ["tick_intensity", "spread_pips"]), baseline_keys=keys)
+    s = context.classify_states(f, F.col("baseline_n"))
+    return s.select("candidate_id", "state", "baseline_n", r("probability", None, 4), r("margin", None, 4), r("signal", None, 4), r("confidence", None, 4), "effect")
+
+
 def _observations(spark, sf_dir) -> DataFrame:
     return regime.regime_observations(base(spark, sf_dir))
 
@@ -584,19 +596,24 @@ def observation_quarantine(spark, sf_dir):
 
 @fx.shared
 def _family_facts(spark, sf_dir) -> DataFrame:
-    return _family_study(spark, sf_dir)[0]
+    from .studies import exit_facts
 
+    return exit_facts(_family_events(spark, sf_dir), fx.all_bars(spark, sf_dir).where("timeframe = 'BASE'"), fx.cost_buckets(spark), fx.HORIZON)
 
-def _family_study(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    from .studies import exit_ablation
 
-    return exit_ablation(fx.all_bars(spark, sf_dir), fx.cost_buckets(spark), fx.LOOKBACK, fx.STRIDE, fx.HORIZON, HOUR, fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO, fx.SAMPLES, fx.BLOCK, fx.ideas(spark, sf_dir))
+@fx.shared
+def _family_events(spark, sf_dir) -> DataFrame:
+    from .studies import exit_events
+
+    return exit_events(fx.all_bars(spark, sf_dir), fx.LOOKBACK, fx.STRIDE, fx.HORIZON, HOUR, fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO, fx.ideas(spark, sf_dir))
 
 
 @query
 def family_study(spark, sf_dir):
     """Every family, exit policy and cost scenario on validation events before the locked holdout, with a bootstrap interval."""
-    m = _family_study(spark, sf_dir)[1]
+    from .studies import family_metrics
+
+    m = family_metrics(_family_facts(spark, sf_dir), _family_events(spark, sf_dir), fx.SAMPLES, fx.BLOCK)
     return m.select("family", "policy", "scenario", "trades", "no_path", *(r(c) for c in ("expectancy_r", "win_rate", "max_drawdown_r", "gross_ev_r", "cost_drag_r", "lower_95", "upper_95")), "longest_losing_run")
 
 
@@ -609,6 +626,35 @@ def failure_slices(spark, sf_dir):
     return s.select("family", "dimension", "value", "n", *(r(c) for c in ("gross_ev_r", "net_ev_r", "win_rate")))
 
 
+def _named_ideas(spark, sf_dir) -> DataFrame:
+    return candidates.families(fx.ideas(spark, sf_dir), fx.LOOKBACK).withColumn("candidate_id", F.col("family_candidate_id"))
+
+
+@query
+def failure_correlations(spark, sf_dir):
+    from .studies import failure_diagnostics
+
+    return failure_diagnostics(_family_facts(spark, sf_dir), _named_ideas(spark, sf_dir))[1].select("family", "feature", "n", r("correlation"))
+
+
+@query
+def failure_geometry(spark, sf_dir):
+    from .studies import failure_geometry as geometry
+
+    g = geometry(_family_facts(spark, sf_dir), _named_ideas(spark, sf_dir), fx.all_bars(spark, sf_dir).where("timeframe = 'BASE'"), fx.HORIZON)
+    return g.select("family", "paths", *(r(c) for c in g.columns if c.startswith("hit_")), r("ambiguity_rate"))
+
+
+@query
+def research_report(spark, sf_dir):
+    """Every family and exit policy: performance with its interval, every cost scenario, and whether it is fragile."""
+    from .studies import research_report as report
+
+    p = report(_family_facts(spark, sf_dir), ["family"], fx.SAMPLES, fx.BLOCK)
+    out = p.select("family", "policy", "trades", *(r(c) for c in ("expectancy_r", "lower_95", "upper_95", "gross_ev_r", "win_rate", "max_drawdown_r", "trades_per_week")), "longest_losing_run", "execution_fragile", F.explode("stress").alias("scenario", "stress_ev_r"))
+    return out.withColumn("stress_ev_r", F.round("stress_ev_r", 6))
+
+
 @query
 def hypothesis_registry(spark, sf_dir):
     from .studies import registry
@@ -625,6 +671,30 @@ def arm_report(spark, sf_dir):
     return report(m).select("symbol", "policy", "trades", r("expectancy_r"), r("stress_ev_r"), "execution_fragile")
 
 
+def _selected(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    from .studies import selected_after_train
+
+    indexed = fx.indexed(spark, sf_dir)
+    open_events = indexed.join(splits.final_holdout(indexed).select("symbol", "event_id"), ["symbol", "event_id"], "left_anti")
+    return selected_after_train(fx.outcomes(spark, sf_dir), open_events, fx.MIN_TRAIN, fx.VALIDATION, fx.EMBARGO)
+
+
+@query
+def selected_policies(spark, sf_dir):
+    """The exit policy that each fold's training rows choose, and what it makes on the fold's validation rows."""
+    chosen, tried = _selected(spark, sf_dir)
+    scored = tried.groupBy("symbol", "fold_id").agg(F.count("*").alias("valid_n"), F.avg("net_r").alias("valid_ev_r"))
+    out = chosen.join(scored, ["symbol", "fold_id"], "left").na.fill(0, ["valid_n"])
+    return out.select("symbol", "fold_id", "policy", "train_n", r("train_ev_r"), "valid_n", r("valid_ev_r"))
+
+
+@query
+def selected_arm(spark, sf_dir):
+    """Performance of the arm that selects after training, out of sample."""
+    p = stats.performance(_selected(spark, sf_dir)[1], ["symbol"], ["exit_ms", "candidate_id"], "exit_ms")
+    return p.select("symbol", "trades", *(r(c) for c in ("expectancy_r", "win_rate", "mean_mae_r", "mean_mfe_r", "max_drawdown_r", "trades_per_week")), "longest_losing_run")
+
+
 @query
 def metrics_unpivot(spark, sf_dir):
     m = _plain(spark, sf_dir).groupBy("symbol").agg(F.avg("gross_r").alias("gross"), F.avg("cost_r").alias("cost"), F.avg("net_r").alias("net"))

@@ -15,10 +15,10 @@ from ..functions import clock, prices
 from ..operators import bars, quality
 from ..schemas import DAY, HOUR
 from ..sources import scans, sinks
-from ..streaming.ingest import ingest
+from ..streaming.ingest import advance_guard, ingest
 from . import fixture as fx
-from .queries import _BAR, _chunks, _family_facts, _faulty, _session_study, flags, query, r
-from .studies import registry
+from .queries import _BAR, _chunks, _family_facts, _faulty, _named_ideas, _observations, _session_study, flags, query, r
+from .studies import failure_analysis, registry
 
 #: Half-open range that the histories are read back for.
 FROM, TO = fx.START + 5 * DAY, fx.START + 25 * DAY
@@ -203,6 +203,39 @@ def family_summaries(spark, sf_dir):
     return s.select("family", "policy", "scenario", F.col("values.net_expectancy_r").alias("net_expectancy_r"), F.col("values.trades").cast("long").alias("trades"))
 
 
+@query
+def failure_report(spark, sf_dir):
+    """The failure analysis as written, read back: trades, geometry, correlation and slices of each family."""
+    path = fx.new_folder(spark, "failures")
+    facts = _family_facts(spark, sf_dir)
+    sinks.write_failure_analysis(failure_analysis(facts, _named_ideas(spark, sf_dir), fx.all_bars(spark, sf_dir).where("timeframe = 'BASE'"), fx.HORIZON), registry(_family_metrics(spark, sf_dir), fx.STUDY), path)
+    a = scans.failure_analysis(spark, path)
+    return a.select("family", "oos_trades", F.col("geometry.paths").alias("paths"), r("geometry.hit_1_0r", "hit_1r"), r("geometry.ambiguity_rate", "ambiguity_rate"), r(F.col("correlations")["impulse"], "impulse_correlation"), F.size("slices").cast("long").alias("slices"))
+
+
+@query
+def bar_manifest(spark, sf_dir):
+    """Bars written in two parts, the manifest being kept up after each: files, rows, unusable bars and range of each symbol and timeframe."""
+    path, manifest = fx.new_folder(spark, "manifest-bars"), fx.new_folder(spark, "manifest")
+    b = fx.all_bars(spark, sf_dir)
+    early = F.col("bar_start_ms") < fx.START + 15 * DAY
+    for part in (early, ~early):
+        b.where(part).repartition("symbol", "timeframe").write.mode("append").partitionBy("symbol", "timeframe").parquet(path)
+        files = sinks.update_manifest(spark, path, manifest)
+    m = sinks.manifest_of(files)
+    return m.select("symbol", "timeframe", "files", "rows", "unusable", "start_ms", "end_ms", (F.col("bytes") > 0).alias("sized"), F.length("files_sha256").alias("digest_length"))
+
+
+@query
+def resumed_guard(spark, sf_dir):
+    """The regime guard in three runs, each from the snapshot of the one before it and over all observations so far."""
+    path = fx.new_folder(spark, "guard")
+    o = _observations(spark, sf_dir)
+    parts = [advance_guard(spark, o.where(F.col("ts_ms") < fx.START + days * DAY), path) for days in (9, 20, 40)]
+    v = reduce(DataFrame.unionByName, parts)
+    return v.select("symbol", "ts_ms", "event", "valid", *(r(c, None, 5) for c in ("signal", "confidence", "change_probability", "expected_run")), "suggested_multiplier", "applied_multiplier")
+
+
 @query
 def best_family(spark, sf_dir):
     """The one family, policy and scenario with the highest expectancy."""

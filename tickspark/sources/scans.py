@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.bars import usable
+from ..operators.labels import GEOMETRY
 from ..schemas import CALENDAR, CANDIDATE, DAY, LEDGER, LINEAGE, TICK, _struct
 
 _CALENDAR_TOP = ("snapshot_id", "as_of", "source", "events")
@@ -36,9 +38,9 @@ def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[st
 
 
 def csv_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    """Ticks of one symbol from CSV with a header: time_ms, bid and ask in any order among other columns, flags optional (0). A byte-order mark is fine, a missing column or bad cell an error.
+    """Ticks of one symbol from CSV with a header: time_ms, bid and ask in any order among other columns, flags optional (0). A byte-order mark is fine, a missing column an error, and so is a bad cell, which is told with its file, line and column.
 
-    Files may differ in the order of their columns. ``seq`` is the place in the feed: by file name, then by place in the file.
+    Files may differ in the order of their columns. ``seq`` is the place in the feed: by file name, then by place in the file. The header is line 1; blank lines count neither as rows nor as lines.
     """
     kinds = {"time_ms": "long", "bid": "double", "ask": "double", "flags": "int"}
     parts = []
@@ -46,18 +48,24 @@ def csv_ticks(spark: SparkSession, path: str, symbol: str) -> DataFrame:
         missing = {"time_ms", "bid", "ask"} - set(names)
         if missing:
             raise ValueError(f"columns missing: {sorted(missing)}")
-        schema = _struct(" ".join(f"{n}:{kinds.get(n, 'string')}" for n in names))
-        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST").csv(files)
-        flags = F.coalesce("flags", F.lit(0)) if "flags" in names else F.lit(0)
-        parts.append(rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__i"), "time_ms", "bid", "ask", flags.cast("int").alias("flags")))
+        rows = spark.read.schema(_struct(" ".join(f"{n}:string" for n in names))).option("header", True).option("enforceSchema", True).csv(files)
+        flags = F.col("flags") if "flags" in names else F.lit(None).cast("string")
+        parts.append(rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__i"), "time_ms", "bid", "ask", F.coalesce(F.nullif(flags, F.lit("")), F.lit("0")).alias("flags")))
     if not parts:
         raise ValueError(f"no rows in {path}")
     rows = reduce(DataFrame.unionByName, parts)
     # rows of a block are numbered in a row; blocks are few and shifted by the rows before them
     blocks = rows.groupBy("__file", "__at").agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
     before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = blocks.select("__file", "__at", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return rows.join(shifts, ["__file", "__at"]).select(F.lit(symbol).alias("symbol"), (F.col("__i") + F.col("__shift")).alias("seq"), "time_ms", "bid", "ask", "flags")
+    earlier = lambda w: F.coalesce(F.sum("__n").over(w), F.lit(0)) - F.col("__first")
+    in_file = Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = blocks.select("__file", "__at", earlier(before).alias("__shift"), earlier(in_file).alias("__lines"))
+    placed = rows.join(shifts, ["__file", "__at"])
+    value = {n: F.col(n).try_cast(kind) for n, kind in kinds.items()}
+    bad = F.concat_ws(", ", *(F.when(v.isNull(), F.concat(F.lit(f"{n} = "), F.coalesce(n, F.lit("")))) for n, v in value.items()))
+    told = F.concat(F.lit("bad cell in "), "__file", F.lit(" line "), F.col("__i") + F.col("__lines") + 2, F.lit(": "), bad)
+    checked = placed.where(F.when(bad == "", True).otherwise(F.raise_error(told).cast("boolean")))
+    return checked.select(F.lit(symbol).alias("symbol"), (F.col("__i") + F.col("__shift")).alias("seq"), *(v.alias(n) for n, v in value.items()))
 
 
 def csv_bad_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -166,5 +174,20 @@ def family_summaries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("family", parts[0].alias("policy"), parts[1].alias("scenario"), "values")
 
 
+def failure_analysis(spark: SparkSession, path: str) -> DataFrame:
+    """A written failure analysis: a row per family with slices, correlations and geometry."""
+    hits = ", ".join(f"hit_{str(t).replace('.', '_')}r: double" for t in GEOMETRY)
+    slices = "array<struct<dimension: string, value: string, n: long, gross_ev_r: double, net_ev_r: double, win_rate: double>>"
+    return spark.read.schema(f"family string, oos_trades long, slices {slices}, correlations map<string,double>, geometry struct<paths: long, {hits}, ambiguity_rate: double>").json(f"{path}/failure_analysis")
+
+
+def bar_files(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """A row per Parquet file of a bar history (of ``files`` only, if given): symbol, timeframe, file, bytes, time of change, rows, unusable ones, and the range of time."""
+    bars = spark.read.option("basePath", path).parquet(*(files or [path]))
+    meta = F.col("_metadata")
+    own = bars.select("symbol", "timeframe", meta["file_path"].alias("file"), meta["file_size"].alias("bytes"), F.unix_millis(meta["file_modification_time"]).alias("changed_ms"), "bar_start_ms", "bar_end_ms", usable().alias("usable"))
+    return own.groupBy("symbol", "timeframe", "file", "bytes", "changed_ms").agg(F.count("*").alias("rows"), F.count_if(~F.col("usable")).alias("unusable"), F.min("bar_start_ms").alias("start_ms"), F.max("bar_end_ms").alias("end_ms"))
+
+
 def best_family(summaries: DataFrame, metric: str = "net_expectancy_r") -> DataFrame:
     return summaries.withColumn("score", F.col("values")[metric]).orderBy(F.desc_nulls_last("score"), "family").limit(1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators import quality
+from ..operators import quality, regime
 from ..operators.quality import CHUNK_KEY
 from ..schemas import TICK
 from ..sources import scans, sinks
@@ -29,6 +29,23 @@ def _beside(spark: SparkSession, path: str, todo: DataFrame, start_ms: int, step
     return quality.with_chunk(shared, start_ms, step).join(todo.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
 
 
+def advance_guard(spark: SparkSession, observations: DataFrame, path: str, change: float = 0.55, missing: float = 0.02, shadow: bool = True, **options) -> DataFrame:
+    """Verdicts of the regime guard on the sound observations that it has not seen, from the snapshot in ``path`` on.
+
+    Points and snapshots of a run are written together as one version, so a run that stops leaves the version before it; the next one takes up there.
+    """
+    sound = regime.quarantine(observations)[0].select("symbol", "ts_ms", "missing_ratio", *regime.OBSERVATION)
+    written = spark.read.schema(f"{regime.STEP_SCHEMA}, version long")
+    steps = written.parquet(path) if scans.exists(spark, path) else None
+    version = (steps.agg(F.max("version")).first()[0] or 0) if steps is not None else 0
+    columns = [c.split()[0] for c in regime.SNAPSHOT_SCHEMA.split(", ")]
+    before = steps.where((F.col("version") == version) & F.col("last_ms").isNotNull()).select(*columns) if steps is not None else spark.createDataFrame([], regime.SNAPSHOT_SCHEMA)
+    made = regime.resumed_points(sound, before, **options)
+    made.withColumn("version", F.lit(version + 1)).write.mode("append").partitionBy("version").parquet(path)
+    points = written.parquet(path).where((F.col("version") == version + 1) & F.col("last_ms").isNull())
+    return regime.guard_verdicts(points.drop("version", "last_ms", *columns[2:]), change, missing, shadow)
+
+
 def ingest(
     spark: SparkSession,
     ticks: DataFrame,

@@ -63,6 +63,31 @@ def stream_durations(scores: DataFrame, order: str = "ts_ms", least: int = 3) ->
     return out.withColumn("confidence", F.least(F.lit(1.0), F.col("duration") / (2.0 * least)))
 
 
+def stream_bursts(ticks: DataFrame, chunk: int = regime.CHUNK, **options) -> DataFrame:
+    """:func:`tickspark.operators.regime.burst_intensity` on ticks in order of ``seq``, across micro-batches and midnights.
+
+    State of a symbol: its current day and run, last time and mid, the decayed counts, and the sums seen in the run, in order. A tick
+    of the next day or run starts anew, so the state holds ``chunk`` numbers at most.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        place, kept = None, None
+        if state.exists:
+            day, run, time, mid, up, down, seen = state.get
+            place, known = (day, run), regime.Expanding()
+            known.values = list(seen)
+            kept = (time, mid, up, down, known)
+        for now, rows in _sorted(parts, "seq").groupby(["day", "run"], sort=True):
+            made, kept = regime.burst_walk(rows, kept if now == place else None, **options)
+            place = now
+            yield made
+        time, mid, up, down, known = kept
+        state.update((int(place[0]), int(place[1]), time, mid, up, down, known.values))
+
+    held = "day long, run long, time long, mid double, up double, down double, seen array<double>"
+    return _stateful(regime.burst_runs(ticks, chunk), step, regime.BURST_SCHEMA, held).withColumn("surprise", F.nanvl("surprise", F.lit(None).cast("double")))
+
+
 def stream_guard(observations: DataFrame, history: int = 2016, ready: int = 30, change: float = 0.55, missing: float = 0.02, shadow: bool = True, **point) -> DataFrame:
     """:func:`tickspark.operators.regime.regime_guard` on the sound observations."""
 
