@@ -11,7 +11,8 @@ smaller id.
    chunk. Equal chunks are grouped exactly first: all but the least document's lose all their windows. Of the chunks left,
    those that share an anchor with a different chunk are opened, and their windows grouped one by one. A window's least
    document always has it in a chunk that is opened or alone, so the two levels give what grouping all windows would.
-3. Cutting. Only documents that lose some of their words and keep others are joined with their texts again.
+3. Cutting. Only documents that lose some of their words and keep others are joined with their texts again; the join moves
+   all texts once, unless such documents are few.
 
 The merged sketch is a bitmap of ``CELLS`` bits (cells that count two or more), 32 MiB whatever the input; it goes to the
 tasks as a broadcast. When documents have more anchors than that can part (some 10 GB of text; give more ``cells`` there)
