@@ -219,6 +219,16 @@ def test_a_bad_tick_loses_its_chunk_only(spark, tmp_path):
     assert len(set(ids)) == len(ids) == 5
 
 
+def test_runs_that_bring_nothing_or_stop_early(spark, tmp_path):
+    tick = lambda h, ask: ("S", h, MONDAY + h * HOUR, 1.0, ask, 0)
+    ledger = str(tmp_path / "ledger")
+    bad = spark.createDataFrame([tick(1, 0.5)], TICK)
+    ingest.ingest(spark, bad, halves(spark, 1), scans.lineage_json(spark, ledger), DAY // 2, MONDAY, str(tmp_path / "data"), ledger)
+    # nothing was written and nothing entered, so the next run has the same number; its own verdicts count
+    made, last, held = run(spark, tmp_path, [tick(1, 1.5), tick(2, 1.5)], halves(spark, 1))
+    assert (held, {k: (r.status, r.run) for k, r in last.items()}) == ({0: 2}, {0: ("COMPLETED", 1)})
+
+
 def test_order_is_judged_within_a_chunk(spark, tmp_path):
     """A tick that is late by a chunk breaks no order in the chunk that its time lies in."""
     rows = [("S", 0, MONDAY + 20 * HOUR, 1.0, 1.1, 0), ("S", 1, MONDAY + 2 * HOUR, 1.0, 1.1, 0), ("S", 2, MONDAY + 21 * HOUR, 1.0, 1.1, 0), ("S", 3, MONDAY + HOUR, 1.0, 1.1, 0)]

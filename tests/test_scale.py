@@ -82,12 +82,11 @@ def test_segments_of_any_width(spark, width):
     own = {"mixed": [rng.choice((-1.0, -0.5, 0.0, 2.0, None)) for _ in range(120)], "losing": [-1.0] * 60, "winning": [0.25] * 30, "late": [None, None, None, -1.0, 3.0, -4.0], None: [-1.0, -1.0, 1.0, -1.0]}
     rows = [(k, i, f"{i:03}", v, -0.5, 0.5) for k, vs in own.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "k string, ts_ms long, id string, net_r double, mae_r double, mfe_r double")
-    found = {(r.k, r.ts_ms): (r.equity, r.peak, r.drawdown) for r in stats.equity_curve(df.where("k IS NOT NULL"), ["k"], ["ts_ms", "id"], width).collect()}
+    found = {(r.k, r.ts_ms): (r.equity, r.peak, r.drawdown) for r in stats.equity_curve(df, ["k"], ["ts_ms", "id"], width).collect()}
     perf = {r.k: r for r in stats.performance(df, ["k"], ["ts_ms", "id"], width=width).collect()}
     for k, vs in own.items():
         want, worst, longest = curve(vs)
-        if k is not None:
-            assert [found[k, i] for i in range(len(vs))] == [pytest.approx(w) for w in want]
+        assert [found[k, i] for i in range(len(vs))] == [pytest.approx(w) for w in want]
         assert (perf[k].trades, perf[k].max_drawdown_r, perf[k].longest_losing_run) == (len(vs), pytest.approx(worst), longest)
     sizes = scan.summaries(scan.local_sums(df, ["k"], ["ts_ms", "id"], "net_r", width), ["k"]).groupBy("k").count().collect()
     assert {r.k: r["count"] for r in sizes} == {k: -(-len(vs) // width) for k, vs in own.items()}

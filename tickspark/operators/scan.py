@@ -53,3 +53,13 @@ def carried(parts: DataFrame, keys: list[str]) -> DataFrame:
     since = F.last(mark, ignorenulls=True).over(earlier)["upto"]
     into = F.col("__before") - F.coalesce(since, F.lit(0))
     return out.withColumn("__longest", F.greatest(F.col("__inside"), into + F.col("__lead"))).drop("__reach")
+
+
+def attach(local: DataFrame, parts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows of :func:`local_sums` with ``columns`` of their segment; null keys are equal to each other."""
+    names = {k: f"__p{i}" for i, k in enumerate([*keys, "__seg"])}
+    right = parts.select(*(F.col(k).alias(n) for k, n in names.items()), *columns)
+    match = F.lit(True)
+    for k, n in names.items():
+        match = match & F.col(k).eqNullSafe(F.col(n))
+    return local.join(right, match).drop(*names.values())

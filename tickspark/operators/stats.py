@@ -14,8 +14,7 @@ MODULUS, MULTIPLIER = 2147483647, 48271
 def equity_curve(trades: DataFrame, keys: list[str], order: list[str], width: int = clock.DAY) -> DataFrame:
     """Trades with cumulative equity, its running peak (from zero) and the drawdown. ``order`` starts with a time, ``width`` cuts it into segments; see :mod:`.scan`."""
     local = scan.local_sums(trades, keys, order, "net_r", width)
-    carried = scan.carried(scan.summaries(local, keys), keys).select(*keys, "__seg", "__base", "__top")
-    out = local.join(carried, [*keys, "__seg"])
+    out = scan.attach(local, scan.carried(scan.summaries(local, keys), keys), keys, ["__base", "__top"])
     known = F.col("__sum").isNotNull() | F.col("__base").isNotNull()
     base = F.coalesce("__base", F.lit(0.0))
     out = out.withColumn("equity", F.when(known, base + F.coalesce("__sum", F.lit(0.0))))
@@ -78,7 +77,7 @@ def block_bootstrap(returns: DataFrame, keys: list[str], order: list[str], value
     every = Window.partitionBy(*keys)
     parts = scan.carried(scan.summaries(local, keys), keys).withColumn("n", F.sum("__n").over(every)).withColumn("total", F.sum("__s").over(every))
     parts = parts.withColumn("size", F.least(F.lit(block), F.col("n"))).withColumn("blocks", F.ceil(F.col("n") / F.col("size")))
-    sums = local.join(parts.select(*keys, "__seg", "__base", "__before", "n", "total", "size", "blocks"), [*keys, "__seg"])
+    sums = scan.attach(local, parts, keys, ["__base", "__before", "n", "total", "size", "blocks"])
     sums = sums.withColumn("i", F.col("__before") + F.col("__i") - 1).withColumn("__to", F.coalesce("__base", F.lit(0.0)) + F.coalesce("__sum", F.lit(0.0)))
     # a place is the start of two blocks, a whole one and the last one that is cut so that a sample has n values, and the end of two others
     listed = sums.withColumn("cut", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("len", F.when(F.col("cut"), F.col("n") - (F.col("blocks") - 1) * F.col("size")).otherwise(F.col("size")))

@@ -92,7 +92,14 @@ def shared(f):
 
 
 def forget() -> None:
-    """Let the next query write its stages anew."""
+    """Delete the shared stages, so that the next query writes its own anew."""
+    for table in _SHARED.values():
+        context = table.sparkSession.sparkContext
+        if context._jsc is None:  # a session that has ended
+            continue
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     _SHARED.clear()
 
 

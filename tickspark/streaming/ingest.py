@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clock
 from ..operators import quality, regime
@@ -25,7 +28,7 @@ def _beside(spark: SparkSession, path: str, todo: DataFrame, start_ms: int, step
     """Ticks of the history that stand in a pending chunk's days and are of no pending chunk; none if chunks are whole days."""
     day = clock.day_number
     days = todo.select("symbol", F.explode(F.sequence(day(F.col("chunk_start_ms")), day(F.col("chunk_end_ms") - 1))).alias("day")).distinct()
-    shared = spark.read.parquet(path).join(days, ["symbol", "day"], "left_semi").select(*TICK.fieldNames())
+    shared = spark.read.schema(T.StructType([*TICK.fields, T.StructField("day", T.LongType())])).parquet(path).join(days, ["symbol", "day"], "left_semi").select(*TICK.fieldNames())
     return quality.with_chunk(shared, start_ms, step).join(todo.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
 
 
@@ -79,9 +82,10 @@ def ingest(
 
     # verdicts are written down first: they decide twice, on the data and on the entries
     verdict_path = verdict_path or ledger_path.rstrip("/") + "-verdicts"
-    verdicts = quality.chunk_quality(own, todo).join(todo, CHUNK_KEY).withColumn("run", F.lit(run).cast("long"))
+    attempt = uuid.uuid4().hex  # a run that stopped here may have left verdicts under the same number
+    verdicts = quality.chunk_quality(own, todo).join(todo, CHUNK_KEY).withColumn("run", F.lit(run).cast("long")).withColumn("attempt", F.lit(attempt))
     verdicts.write.mode("append").parquet(verdict_path)
-    verdicts = spark.read.schema(verdicts.schema).parquet(verdict_path).where(F.col("run") == run).dropDuplicates(CHUNK_KEY)
+    verdicts = spark.read.schema(verdicts.schema).parquet(verdict_path).where(F.col("attempt") == attempt)
     good = quality.gate(own, verdicts, feed=CHUNK_KEY)
     sinks.replace_days(good.unionByName(_beside(spark, data_path, todo, start_ms, step)) if scans.exists(spark, data_path) else good, data_path)
 
